@@ -13,6 +13,7 @@ from lakesignal.operators.numeric_drift import (
     wasserstein_rows,
 )
 from lakesignal.plans.tabular_check import missing_features, tabular_signals, tabular_verdict
+from lakesignal.scale import attach_row, pinned
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -142,11 +143,9 @@ s as (select feature, d, p, 0.05 / count(*) over () as threshold, p < 0.05 / cou
 from s""",
 )
 def tabular_check(spark, sf_dir):
-    from lakesignal.scale import pinned
-
     signals = pinned(tabular_signals(lineitem_long(spark, sf_dir)))
     verdict = tabular_verdict(signals).select("drift_score", F.col("is_drifted").alias("check_drifted"))
-    return signals.crossJoin(F.broadcast(verdict)).select(  # verdict is one row
+    return attach_row(signals, verdict).select(
         "feature",
         F.round("statistic", 6).alias("statistic"),
         F.round("p_value", 6).alias("p_value"),
@@ -177,12 +176,12 @@ def tabular_check_by_flag(spark, sf_dir):
 @query(
     "missing_features",
     """select feature from (
-  select distinct 'l_' || lower(l_returnflag) || lower(l_linestatus) as feature, l_shipdate < timestamp '1998-07-01' as base from lineitem)
+  select 'shipped_' || year(l_shipdate) as feature, l_shipdate < timestamp '1998-07-01' as base from lineitem)
 group by 1 having bool_or(base) and not bool_or(not base)""",
 )
 def missing_features_query(spark, sf_dir):
-    flags = F.concat(F.lit("l_"), F.lower("l_returnflag"), F.lower("l_linestatus"))
-    long = table(spark, sf_dir, "lineitem").select(flags.alias("feature"), halves("l_shipdate", "1998-07-01").alias("sample"))
+    name = F.concat(F.lit("shipped_"), F.year("l_shipdate"))
+    long = table(spark, sf_dir, "lineitem").select(name.alias("feature"), halves("l_shipdate", "1998-07-01").alias("sample"))
     return missing_features(long)
 
 

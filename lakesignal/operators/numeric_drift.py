@@ -26,17 +26,17 @@ def unpivot_features(df: DataFrame, features: Sequence[str], sample: Column, kee
     return long.where(F.col("value").isNotNull())
 
 
-def ranked_values(long: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+def ranked_values(long: DataFrame, keys: Sequence[str], buckets: int | None = None, side: str = "sample") -> DataFrame:
     """Distinct values per key with counts and cumulative counts of both samples.
 
     Columns: keys, value, nb, nc, cum_b, cum_c, n_baseline, n_current, next_value.
     """
     keys = list(keys)
-    is_base = F.col("sample") == BASELINE
+    is_base = F.col(side) == BASELINE
     counts = (
         value_buckets(long.where(F.col("value").isNotNull()), keys, "value", buckets)
         .groupBy(*keys, "_bucket", "value")
-        .agg(F.count_if(is_base).alias("nb"), F.count_if(F.col("sample") == CURRENT).alias("nc"))
+        .agg(F.count_if(is_base).alias("nb"), F.count_if(F.col(side) == CURRENT).alias("nc"))
     )
     per_key = W.partitionBy(*keys)
     ordered = per_key.orderBy("_bucket")
@@ -207,8 +207,8 @@ def nearest_rank_percentile(df: DataFrame, keys: Sequence[str], value: str, pct:
     """Nearest-rank percentile per key (half-even rank), plus ``n``; exact, no per-key sort task."""
     from lakesignal.functions.stats import nearest_rank
 
-    long = df.select(*keys, F.lit(BASELINE).alias("sample"), F.col(value).cast("double").alias("value"))
-    ranked = ranked_values(long, keys, buckets)
+    long = df.select(*keys, F.lit(BASELINE).alias("_side"), F.col(value).cast("double").alias("value"))
+    ranked = ranked_values(long, keys, buckets, side="_side")
     return ranked.groupBy(*keys).agg(
         F.min(F.when(F.col("cum_b") > nearest_rank(F.col("n_baseline"), pct), F.col("value"))).alias(name),
         F.max("n_baseline").alias("n"),

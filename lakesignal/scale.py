@@ -182,6 +182,35 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return narrow.withColumn(name, F.row_number().over(final)).where(F.col(name) <= k)
 
 
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], column: str, name: str, bucket: str = "_bucket") -> DataFrame:
+    """``lag(column)`` along the order, in the same two levels as ``running``."""
+    inner = W.partitionBy(*keys, bucket).orderBy(*order)
+    last = df.groupBy(*keys, bucket).agg(F.max_by(column, F.struct(*order)).alias("_last"))
+    carried = last.select(*keys, bucket, F.lag("_last").over(W.partitionBy(*keys).orderBy(bucket)).alias("_before"))
+    out = df.withColumn("_lag", F.lag(column).over(inner)).withColumn("_first", F.row_number().over(inner) == 1)
+    out = out.join(carried, [*keys, bucket]).withColumn(name, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag")))
+    return out.drop("_lag", "_first", "_before")
+
+
+def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The row with the greatest ``order`` per key, by a map-side combined aggregate."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return best.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+
+
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row, as a scalar subquery."""
+    names = one_row.columns
+    value = one_row.select(F.struct(*names).alias("_one")).scalar()
+    return df.withColumn("_one", value).withColumns({n: F.col("_one")[n] for n in names}).drop("_one")
+
+
+def stacked(names: Sequence[str], rows: Sequence[Sequence[Column]]) -> Column:
+    """``inline`` of literal rows: one input row becomes one output row per entry."""
+    return F.inline(F.array(*[F.struct(*[c.alias(n) for n, c in zip(names, row)]) for row in rows]))
+
+
 def small_rows(df: DataFrame, limit: int) -> list:
     """Collect a configuration-sized table; more than ``limit`` rows is an error, never a cut."""
     rows = df.limit(limit + 1).collect()
