@@ -142,7 +142,7 @@ q as (select doc_id as qid, unnest(list_filter(regexp_extract_all(lower(text), '
 qtf as (select qid, term, count(*) as tf from q group by 1, 2), qw as (select qid, term, tf * idf as w from qtf join idf using (term)), qn as (select qid, sqrt(sum(w * w)) as n from qw group by 1),
 s as (select qid, cid, sum(cw.w * qw.w) / (max(cn.n) * max(qn.n)) as sim from cw join qw using (term) join cn using (cid) join qn using (qid) group by 1, 2),
 r as (select *, row_number() over (partition by qid order by round(sim, 12) desc, cid) as rank from s)
-select d.doc_id as query_id, rank::int as rank, cid as corpus_id, round(greatest(0, least(1, sim)), 6) as similarity,
+select d.doc_id as query_id, rank::int as rank, cid as corpus_id, case when sim is not null then round(greatest(0, least(1, sim)), 6) end as similarity,
   coalesce(max(sim) over (partition by d.doc_id) >= 0.05, false) as grounded from documents d left join (select * from r where rank <= 3) on qid = d.doc_id""",
 )
 def tfidf_nearest(spark, sf_dir):

@@ -136,18 +136,18 @@ def obligation_counts(obligations: DataFrame, keys: Sequence[str] = ("doc_id",))
 def overview_fields(outputs: DataFrame, chunks: DataFrame, documents: DataFrame, fields: Sequence[tuple[str, str]] = OVERVIEW_FIELDS) -> DataFrame:
     """One row per document and field; a found / unclear field without a grounded quote becomes insufficient_evidence."""
     parsed = with_parsed(outputs).where(~F.col("parse_error"))
-
-    def entry(key: str, label: str) -> Column:
-        status = F.try_variant_get("data", f"$.fields.{key}.status", "string")
-        return F.struct(
-            F.lit(key).alias("key"),
-            F.lit(label).alias("label"),
-            F.when(status.isin(*OVERVIEW_STATUSES), status).otherwise("insufficient_evidence").alias("claimed"),
-            text_or(F.col("data"), f"$.fields.{key}.value", None).alias("value"),
-            text_or(F.col("data"), f"$.fields.{key}.source_quote", None).alias("source_quote"),
-        )
-
-    rows = parsed.select("doc_id", F.inline(F.array(*[entry(k, lab) for k, lab in fields])))
+    names = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(lab).alias("label")) for k, lab in fields])
+    given = parsed.select("doc_id", F.try_variant_get("data", "$.fields", "map<string,variant>").alias("_given"), F.inline(names))
+    entry = given.withColumn("_e", F.try_element_at("_given", F.col("key")))
+    status = F.try_variant_get("_e", "$.status", "string")
+    rows = entry.select(
+        "doc_id",
+        "key",
+        "label",
+        F.when(status.isin(*OVERVIEW_STATUSES), status).otherwise("insufficient_evidence").alias("claimed"),
+        text_or(F.col("_e"), "$.value", None).alias("value"),
+        text_or(F.col("_e"), "$.source_quote", None).alias("source_quote"),
+    )
     checked = ground_quotes(rows.withColumn("_quote", F.coalesce("source_quote", F.lit(""))), chunks, documents, ["key"], "_quote")
     claims = F.col("claimed").isin("found", "unclear")
     kept = claims & F.col("source_quote").isNotNull() & F.col("grounded")

@@ -6,14 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakesignal.functions.text import strip
 
-EVAL_SCHEMA = T.StructType.fromDDL(
-    "id string, question string, expected_answer string, relevant_document string, category string, relevant_chunks array<int>, expected_citations array<int>"
-)
-CLAUSE_SCHEMA = T.StructType.fromDDL("text string, label string, source_document string, chunk_index int, group_id string, is_synthetic boolean")
+EVAL_SCHEMA = "id string, question string, expected_answer string, relevant_document string, category string, relevant_chunks array<int>, expected_citations array<int>"
+CLAUSE_SCHEMA = "text string, label string, source_document string, chunk_index int, group_id string, is_synthetic boolean"
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -61,10 +58,9 @@ def numbered_cases(cases: DataFrame, document: str, order: Sequence[str]) -> Dat
     return numbered(cases, [document], order, "_no").withColumn("id", F.concat_ws("-", stem, padded)).drop("_no", "_bucket")
 
 
-def read_raw_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_raw_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with broken lines kept in ``_corrupt_record``."""
-    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
 def backfill_plan(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
