@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-_MODULES = ["drift", "checks", "monitoring", "text", "answers", "retrieval", "evaluation", "classify"]
+_MODULES = ["drift", "checks", "monitoring", "text", "answers", "retrieval", "evaluation", "classify", "tables"]
 
 
 def query(name: str, sql: str | None = None):
