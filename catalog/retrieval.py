@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog import query, table
 from catalog.text import CHUNKS, chunk_table, docs
 from lakesignal.operators.neighbours import nearest
-from lakesignal.operators.retrieval import all_candidates, bm25_index, bm25_ranking, bm25_scores, first_relevant_rank, fuse, hybrid_top_k
+from lakesignal.operators.retrieval import all_candidates, bm25_index, bm25_ranking, bm25_scores, first_relevant_rank, fuse, hybrid_top_k, query_terms
 from lakesignal.operators.tfidf import nearest_texts
 from lakesignal.scale import pinned
 
@@ -35,7 +35,7 @@ def questions(spark, sf_dir):
 def bm25_topk(spark, sf_dir):
     chunks = pinned(chunk_table(spark, sf_dir))
     q = questions(spark, sf_dir)
-    ranked = bm25_ranking(bm25_scores(bm25_index(chunks), q), all_candidates(q, chunks))
+    ranked = bm25_ranking(bm25_scores(bm25_index(chunks, terms=query_terms(q)), q), all_candidates(q, chunks))
     return ranked.where("rank <= 6").select("doc_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
 
 
@@ -80,7 +80,7 @@ def dense_in_document(spark, sf_dir):
 def _hybrid(spark, sf_dir, k):
     chunks = pinned(chunk_table(spark, sf_dir))
     q = questions(spark, sf_dir)
-    lexical = bm25_ranking(bm25_scores(bm25_index(chunks), q), all_candidates(q, chunks))
+    lexical = bm25_ranking(bm25_scores(bm25_index(chunks, terms=query_terms(q)), q), all_candidates(q, chunks))
     return hybrid_top_k(_dense_full(spark, sf_dir, chunks), lexical, ["doc_id", "query_id"], "chunk_index", k)
 
 
@@ -123,7 +123,7 @@ def first_relevant_rank_query(spark, sf_dir):
     """Chunks with index 1, 4, 7, ... count as relevant."""
     chunks = pinned(chunk_table(spark, sf_dir))
     q = questions(spark, sf_dir)
-    ranked = bm25_ranking(bm25_scores(bm25_index(chunks), q), all_candidates(q, chunks)).where("rank <= 6")
+    ranked = bm25_ranking(bm25_scores(bm25_index(chunks, terms=query_terms(q)), q), all_candidates(q, chunks)).where("rank <= 6")
     ranked = pinned(ranked.select("query_id", F.col("chunk_index").alias("item_id"), "rank"))
     relevant = chunks.where("chunk_index % 3 = 1").select(F.col("doc_id").alias("query_id"), F.col("chunk_index").alias("item_id"))
     return first_relevant_rank(ranked, relevant)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog import query, table
+from catalog import query, spread_table, table
 from lakesignal.functions.fixed_rules import COVERAGE_CATEGORIES, NEGOTIATION_QUESTIONS, RISK_RULES, Category, Rule
 from lakesignal.functions.text import duration_days, html_text
 from lakesignal.operators.chunking import chunk_documents, clause_lines, sentences
@@ -28,7 +28,7 @@ CATEGORIES = (
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread_table(spark, sf_dir, "documents", "doc_id")
 
 
 # -- SQL of the chunker ------------------------------------------------------

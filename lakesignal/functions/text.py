@@ -30,9 +30,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: ASCII white space, as trimmed by ``strip``.
+WHITE_SPACE = " \t\n\r\x0b\x0c"
+
+
 def strip(text: Column) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def collapse(text: Column) -> Column:
@@ -51,6 +55,12 @@ def content_words(text: Column, stopwords: Sequence[str] = STOPWORDS, longer_tha
     return F.filter(words, lambda w: (F.length(w) > longer_than) & ~F.array_contains(stop, w))
 
 
+def distinct_content_words(text: Column, stopwords: Sequence[str] = STOPWORDS, longer_than: int = 1) -> Column:
+    """The set of content words of a text."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.filter(F.array_except(words, F.array(*[F.lit(w) for w in stopwords])), lambda w: F.length(w) > longer_than)
+
+
 def overlap_ratio(quote_words: Column, words: Column) -> Column:
     """Share of ``quote_words`` (repeats count) found in ``words``; 0 for no words."""
     hit = F.size(F.filter(quote_words, lambda w: F.array_contains(words, w)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesignal.functions.text import CASE_STOPWORDS, content_words, normalize, overlap_ratio
+from lakesignal.functions.text import CASE_STOPWORDS, content_words, distinct_content_words, normalize, overlap_ratio
 from lakesignal.scale import salted_lookup, top_per_key
 
 OVERLAP_THRESHOLD, MIN_CONTENT_WORDS = 0.85, 3
@@ -24,7 +24,7 @@ def ground_quotes(
     """
     keys = ["doc_id", *quote_keys]
     q = quotes.select(*keys, normalize(F.col(quote)).alias("_q"), content_words(F.col(quote)).alias("_w")).where(F.col("_q") != "")
-    c = chunks.select("doc_id", "chunk_index", normalize(F.col("text")).alias("_t"), F.array_distinct(content_words(F.col("text"))).alias("_cw"))
+    c = chunks.select("doc_id", "chunk_index", normalize(F.col("text")).alias("_t"), distinct_content_words(F.col("text")).alias("_cw"))
     by_clause = (
         salted_lookup(q, c, ["doc_id"], salts)
         .groupBy(*keys)
@@ -33,7 +33,7 @@ def ground_quotes(
             F.max(F.struct(overlap_ratio(F.col("_w"), F.col("_cw")).alias("ratio"), (-F.col("chunk_index")).alias("neg"))).alias("_best"),
         )
     )
-    d = documents.select("doc_id", normalize(F.col("text")).alias("_d"), F.array_distinct(content_words(F.col("text"))).alias("_dw"))
+    d = documents.select("doc_id", normalize(F.col("text")).alias("_d"), distinct_content_words(F.col("text")).alias("_dw"))
     by_doc = salted_lookup(q, d, ["doc_id"], salts).select(
         *keys, F.size("_w").alias("_n"), F.contains("_d", "_q").alias("_in_doc"), overlap_ratio(F.col("_w"), F.col("_dw")).alias("_doc_ratio")
     )
@@ -53,7 +53,7 @@ def best_chunks_by_overlap(
     answers: DataFrame, chunks: DataFrame, keys: Sequence[str] = ("case_id",), text: str = "expected_answer", top_n: int = 2, min_overlap: int = 2
 ) -> DataFrame:
     """Chunks of the case's document sharing most distinct words with the expected answer."""
-    words = lambda c: F.array_distinct(content_words(F.col(c), CASE_STOPWORDS, 2))
+    words = lambda c: distinct_content_words(F.col(c), CASE_STOPWORDS, 2)
     a = answers.select("doc_id", *keys, words(text).alias("_a"))
     c = chunks.select("doc_id", "chunk_index", words("text").alias("_c"))
     pairs = salted_lookup(a, c, ["doc_id"], 4).select(*keys, "doc_id", "chunk_index", F.size(F.array_intersect("_a", "_c")).alias("overlap"))

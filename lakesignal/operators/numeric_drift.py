@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lakesignal.functions.stats import clamp01, ks_p_value
 from lakesignal.operators.detector import BASELINE, CURRENT, MIN_SAMPLE_SIZE, detector_rows
-from lakesignal.scale import value_buckets
+from lakesignal.scale import value_cuts, with_bucket
 
 
 def unpivot_features(df: DataFrame, features: Sequence[str], sample: Column, keep: Sequence[str] = ()) -> DataFrame:
@@ -26,18 +26,24 @@ def unpivot_features(df: DataFrame, features: Sequence[str], sample: Column, kee
     return long.where(F.col("value").isNotNull())
 
 
+def value_counts(long: DataFrame, keys: Sequence[str], buckets: int | None = None, side: str = "sample") -> DataFrame:
+    """Rows per distinct value and sample: ``(keys, value, nb, nc, _bucket)``."""
+    rows = long.where(F.col("value").isNotNull())
+    counts = rows.groupBy(*keys, "value").agg(F.count_if(F.col(side) == BASELINE).alias("nb"), F.count_if(F.col(side) == CURRENT).alias("nc"))
+    return with_bucket(counts, value_cuts(rows, keys, "value", buckets), keys, "value", buckets)
+
+
 def ranked_values(long: DataFrame, keys: Sequence[str], buckets: int | None = None, side: str = "sample") -> DataFrame:
     """Distinct values per key with counts and cumulative counts of both samples.
 
     Columns: keys, value, nb, nc, cum_b, cum_c, n_baseline, n_current, next_value.
     """
+    return ranked_counts(value_counts(long, keys, buckets, side), keys)
+
+
+def ranked_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The cumulative form of ``value_counts``."""
     keys = list(keys)
-    is_base = F.col(side) == BASELINE
-    counts = (
-        value_buckets(long.where(F.col("value").isNotNull()), keys, "value", buckets)
-        .groupBy(*keys, "_bucket", "value")
-        .agg(F.count_if(is_base).alias("nb"), F.count_if(F.col(side) == CURRENT).alias("nc"))
-    )
     per_key = W.partitionBy(*keys)
     ordered = per_key.orderBy("_bucket")
     before = ordered.rowsBetween(W.unboundedPreceding, -1)
@@ -140,8 +146,8 @@ def wasserstein_test(long: DataFrame, keys: Sequence[str], relative_threshold: f
 def psi_buckets(long: DataFrame, keys: Sequence[str], bins: int = 10, buckets: int | None = None) -> DataFrame:
     """Counts of both samples per baseline-quantile bucket ``(lo, hi]``."""
     keys = list(keys)
-    ranked = ranked_values(long, keys, buckets)
-    edges = ranked.groupBy(*keys).agg(
+    counts = value_counts(long, keys, buckets)
+    edges = ranked_counts(counts, keys).groupBy(*keys).agg(
         F.array(*[quantile_of("cum_b", "n_baseline", i / bins) for i in range(bins + 1)]).alias("_q"),
         F.max("n_baseline").alias("n_baseline"),
         F.max("n_current").alias("n_current"),
@@ -153,7 +159,7 @@ def psi_buckets(long: DataFrame, keys: Sequence[str], bins: int = 10, buckets: i
         (F.size("_edges") - 1).alias("k"),
         F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0))).alias("_inner"),
     )
-    placed = ranked.select(*keys, "value", "nb", "nc").join(edges, keys)
+    placed = counts.select(*keys, "value", "nb", "nc").join(edges, keys)
     return (
         placed.withColumn("psi_bucket", F.size(F.filter("_inner", lambda e: e < F.col("value"))))
         .groupBy(*keys, "psi_bucket")

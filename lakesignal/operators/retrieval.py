@@ -17,9 +17,12 @@ def _words(text: str):
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\S+"), F.lit(0))
 
 
-def bm25_index(chunks: DataFrame, scope: Sequence[str] = ("doc_id",), item: str = "chunk_index", text: str = "text") -> DataFrame:
+def bm25_index(chunks: DataFrame, scope: Sequence[str] = ("doc_id",), item: str = "chunk_index", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """Term weights (scope, item, term, weight): built once per collection, not per query.
 
+    With ``terms`` (scope, term) only the weights of those terms are kept, for
+    a one-off set of queries.
+
     Okapi weights inside each scope; a negative idf is replaced by a quarter of
     the scope's mean idf over its distinct terms.
     """
@@ -31,10 +34,16 @@ def bm25_index(chunks: DataFrame, scope: Sequence[str] = ("doc_id",), item: str
     df = df.withColumn("_idf", F.ln(F.col("_n") - F.col("_df") + 0.5) - F.ln(F.col("_df") + 0.5))
     mean = df.groupBy(*scope).agg((EPSILON * F.avg("_idf")).alias("_eps"))
     idf = df.join(mean, scope).select(*scope, "term", "_avg", F.when(F.col("_idf") < 0, F.col("_eps")).otherwise(F.col("_idf")).alias("_idf"))
+    if terms is not None:
+        idf = idf.join(terms.select(*scope, "term").distinct(), [*scope, "term"], "left_semi")
     saturation = F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
     return tf.join(idf, [*scope, "term"]).select(*scope, item, "term", (F.col("_idf") * saturation).alias("weight"))
 
 
+def query_terms(queries: DataFrame, scope: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+    return queries.select(*scope, F.explode(F.array_distinct(_words(text))).alias("term"))
+
+
 def bm25_scores(index: DataFrame, queries: DataFrame, scope: Sequence[str] = ("doc_id",), item: str = "chunk_index", query: str = "query_id", text: str = "text") -> DataFrame:
     """Scores of the chunks that share a term with the query (repeated query words count again)."""
     q = queries.select(*scope, query, F.explode(_words(text)).alias("term")).groupBy(*scope, query, "term").agg(F.count(F.lit(1)).alias("_times"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesignal.scale import attach_row, salted_lookup, top_per_key
+from lakesignal.scale import attach_row, pinned, salted_lookup, top_per_key
 
 #: Fixed value: tokens are runs of two or more word characters.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -23,8 +23,13 @@ def document_frequencies(terms: DataFrame, n_docs: DataFrame, weight: Column | N
     return attach_row(df, n_docs).select("term", (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def pair_similarity(pairs: DataFrame, pair_id: Sequence[str], left: str, right: str, salts: int = 8) -> DataFrame:
-    """Cosine of the two texts of every row, the model fitted on all texts of both columns."""
+def pair_similarity(pairs: DataFrame, pair_id: Sequence[str], left: str, right: str, salts: int = 1) -> DataFrame:
+    """Cosine of the two texts of every row, the model fitted on all texts of both columns.
+
+    The lookup of a frequent term is a skewed join; a regrouping follows it, so
+    adaptive execution may split the skewed partitions.  ``salts`` > 1 splits
+    every term up front instead.
+    """
     ids = list(pair_id)
     both = pairs.select(*ids, tokens(F.col(left)).alias("_l"), tokens(F.col(right)).alias("_r"))
     n_docs = pairs.agg((F.count(F.lit(1)) * 2).alias("n_docs"))
@@ -52,11 +57,13 @@ def pair_similarity(pairs: DataFrame, pair_id: Sequence[str], left: str, right:
     return pairs.join(scored, ids, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
+def _kept(text: Column, stopwords: Sequence[str]) -> Column:
+    toks = tokens(text)
+    return F.filter(toks, lambda t: ~t.isin(list(stopwords))) if stopwords else toks
+
+
 def _terms(df: DataFrame, ids: Sequence[str], text: str, stopwords: Sequence[str]) -> DataFrame:
-    toks = tokens(F.col(text))
-    if stopwords:
-        toks = F.filter(toks, lambda t: ~t.isin(list(stopwords)))
-    return df.select(*ids, F.explode(toks).alias("term")).groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return df.select(*ids, F.explode(_kept(F.col(text), stopwords)).alias("term")).groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def nearest_texts(
@@ -68,7 +75,6 @@ def nearest_texts(
     top_k: int = 3,
     stopwords: Sequence[str] = (),
     floor: float = 0.05,
-    salts: int = 8,
 ) -> DataFrame:
     """Top-k corpus texts per query by TF-IDF cosine; the model is fitted on the corpus only.
 
@@ -78,11 +84,11 @@ def nearest_texts(
     """
     c = _terms(corpus, [corpus_id], text, stopwords)
     n_docs = corpus.agg(F.count(F.lit(1)).alias("n_docs"))
-    idf = document_frequencies(c, n_docs)
-    cw = salted_lookup(c, idf, ["term"], salts).select(corpus_id, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    idf = pinned(document_frequencies(c, n_docs))  # the fitted model: its size decides how it is joined
+    cw = c.join(idf, "term").select(corpus_id, "term", (F.col("tf") * F.col("idf")).alias("w"))
     cn = cw.groupBy(corpus_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("cn"))
-    q = _terms(queries, [query_id], text, stopwords)
-    qw = salted_lookup(q, idf, ["term"], salts).select(query_id, "term", (F.col("tf") * F.col("idf")).alias("qw"))
+    known = queries.select(query_id, F.explode(_kept(F.col(text), stopwords)).alias("term")).join(idf, "term")
+    qw = known.groupBy(query_id, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("qw"))
     qn = qw.groupBy(query_id).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     dots = cw.join(qw, "term").groupBy(query_id, corpus_id).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     scored = dots.join(cn, corpus_id).join(qn, query_id)

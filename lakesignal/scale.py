@@ -5,7 +5,7 @@ All three ideas used across the library live here:
 * ``pinned``: a small derived table is written once to the shared checkpoint
   folder, so later stages (and retries after a lost executor) all read the same
   rows.
-* ``value_buckets``: cut points per key so that an ordered computation over one
+* ``value_cuts`` / ``with_bucket``: cut points per key so that an ordered computation over one
   hot key runs in many buckets instead of one sort.
 * ``running``: running sums, minima and maxima per key in two levels: inside a
   bucket by a window, across buckets by a window over one row per bucket.
@@ -22,9 +22,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranks of ``percentile_approx`` are off by at most 1 / accuracy.
-CUT_ACCURACY = 10_000
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one only where none is named."""
@@ -51,35 +48,48 @@ def default_buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def value_buckets(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
-    """Add ``_bucket``: a rank-balanced, order-preserving bucket of ``value`` per key.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a plain table scan by ``keys`` when it has fewer partitions than there are cores.
+
+    For CPU-heavy map work on small or single-row-group files.  A large table
+    already has more splits than cores and is returned as it is, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def value_cuts(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None) -> DataFrame | None:
+    """``(keys, _cuts)``: cut points of ``value`` per key for ``buckets`` rank-balanced buckets.
 
-    The cut points come from a quantile sketch that is merged map-side (no data
-    shuffle) and then pinned, so every stage that follows sees the same cuts.
-    With ``buckets=1`` nothing is computed: use it where groups are small.
+    The cuts come from a quantile sketch that is merged map-side (no data
+    shuffle) and are pinned, so every stage that follows sees the same ones.
+    With one bucket there is nothing to cut: None.
     """
     n = default_buckets(df.sparkSession) if buckets is None else buckets
     if n <= 1:
-        return df.withColumn("_bucket", F.lit(0))
+        return None
     probs = [i / n for i in range(1, n)]
-    cuts = pinned(
+    return pinned(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys)
-        .agg(F.percentile_approx(value, probs, CUT_ACCURACY).alias("_cuts"))
+        .agg(F.percentile_approx(value, probs, max(1000, 20 * n)).alias("_cuts"))
         .withColumn("_cuts", F.array_distinct("_cuts"))
     )
-    return df.join(cuts, list(keys), "left").withColumn("_bucket", _cut_index(F.col("_cuts"), F.col(value), n)).drop("_cuts")
-
 
-def _cut_index(cuts: Column, value: Column, n: int) -> Column:
-    """Number of cuts below ``value``, by binary search."""
-    steps = [1 << i for i in range(max(1, math.ceil(math.log2(n + 1))) - 1, -1, -1)]
 
-    def step(pos: Column, width: Column) -> Column:
-        nxt = pos + width
-        return F.when((nxt <= F.size(cuts)) & (F.try_element_at(cuts, nxt) < value), nxt).otherwise(pos)
+def with_bucket(df: DataFrame, cuts: DataFrame | None, keys: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
+    """Add ``_bucket``: the number of cuts below ``value``, an order-preserving bucket.
 
-    return F.coalesce(F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step), F.lit(0))
+    Binary search, one projection per step, so it stays in generated code.
+    """
+    if cuts is None:
+        return df.withColumn("_bucket", F.lit(0))
+    n = default_buckets(df.sparkSession) if buckets is None else buckets
+    out = df.join(cuts, list(keys), "left").withColumn("_bucket", F.lit(0))
+    for i in range(max(1, math.ceil(math.log2(n + 1))) - 1, -1, -1):
+        nxt = F.col("_bucket") + (1 << i)
+        out = out.withColumn("_bucket", F.when(F.get("_cuts", nxt - 1) < F.col(value), nxt).otherwise(F.col("_bucket")))
+    return out.drop("_cuts")
 
 
 def ordered_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int | None = None) -> DataFrame:
