@@ -52,11 +52,11 @@ def chi_square_tail(x: Column, dof: Column) -> Column:
             lambda a: a["total"],
         )
     )
-    # odd: first term x^(1/2) / gamma(3/2), each next one times x / (i + 1/2)
+    # odd: first term h^(1/2) / gamma(3/2), the i-th one is the one before times h / (i - 1/2), h = x / 2
     first = F.sqrt(half) / F.lit(math.gamma(1.5))
 
     def odd_step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * half / (i + F.lit(0.5))
+        term = acc["term"] * half / (i - F.lit(0.5))
         return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
     odd_sum = F.when(dof <= 1, F.lit(0.0)).when(dof <= 3, first).otherwise(

@@ -23,7 +23,7 @@ def _totals(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts with the totals of their key attached.  One row per key; size decides how it is joined."""
     kept = counts.where(F.col("nb") + F.col("nc") > 0)
     totals = kept.groupBy(*keys).agg(
-        F.sum("nb").alias("n_baseline"), F.sum("nc").alias("n_current"), F.count(F.lit(1)).alias("k")
+        F.sum("nb").alias("n_baseline"), F.sum("nc").alias("n_current"), F.count(F.lit(1)).alias("_k")
     )
     return kept.join(totals, list(keys))
 
@@ -40,7 +40,7 @@ def chi_square_test(counts: DataFrame, keys: Sequence[str], alpha: float = 0.05)
 
     def part(observed: Column, expected: Column) -> Column:
         gap = F.abs(observed - expected)
-        gap = F.when(F.col("k") == 2, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
+        gap = F.when(F.col("_k") == 2, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
         return F.when(expected > 0, gap * gap / expected).otherwise(F.lit(0.0))
 
     per_key = (
@@ -50,9 +50,9 @@ def chi_square_test(counts: DataFrame, keys: Sequence[str], alpha: float = 0.05)
             F.sum(part(F.col("nb"), eb) + part(F.col("nc"), ec)).alias("chi2"),
             F.max("n_baseline").alias("n_baseline"),
             F.max("n_current").alias("n_current"),
-            F.max("k").alias("k"),
+            F.max("_k").alias("_k"),
         )
-        .withColumn("dof", F.col("k") - 1)
+        .withColumn("dof", F.col("_k") - 1)
         .withColumn("_p", F.when(F.col("dof") > 0, chi_square_tail(F.col("chi2"), F.col("dof"))))
     )
     return detector_rows(
@@ -64,14 +64,14 @@ def chi_square_test(counts: DataFrame, keys: Sequence[str], alpha: float = 0.05)
         p_value=F.col("_p"),
         drifted=F.col("_p") < alpha,
         confidence=clamp01(1 - F.col("_p")),
-        insufficient=F.col("k") < 2,
+        insufficient=F.col("_k") < 2,
         detail={"alpha": F.lit(alpha), "degrees_of_freedom": F.col("dof")},
     )
 
 
 def jensen_shannon_test(counts: DataFrame, keys: Sequence[str], threshold: float = 0.1) -> DataFrame:
     """Base-2 Jensen-Shannon divergence per key, in [0, 1]."""
-    p, q = F.col("nb") / F.col("n_baseline"), F.col("nc") / F.col("n_current")
+    p, q = F.try_divide("nb", "n_baseline"), F.try_divide("nc", "n_current")
     mid = (p + q) / 2
 
     def part(x: Column) -> Column:
@@ -84,7 +84,7 @@ def jensen_shannon_test(counts: DataFrame, keys: Sequence[str], threshold: float
             F.sum(0.5 * part(p) + 0.5 * part(q)).alias("jsd"),
             F.max("n_baseline").alias("n_baseline"),
             F.max("n_current").alias("n_current"),
-            F.max("k").alias("k"),
+            F.max("_k").alias("_k"),
         )
     )
     confidence = clamp01(F.col("jsd") / threshold) if threshold > 0 else F.lit(0.0)
@@ -96,7 +96,7 @@ def jensen_shannon_test(counts: DataFrame, keys: Sequence[str], threshold: float
         effect_size=F.col("jsd"),
         drifted=F.col("jsd") >= threshold,
         confidence=confidence,
-        insufficient=F.col("k") < 2,
+        insufficient=F.col("_k") < 2,
         detail={"threshold": F.lit(threshold)},
     )
 
@@ -107,10 +107,10 @@ def two_proportion_test(pairs: DataFrame, keys: Sequence[str], alpha: float = 0.
     No variance in the pooled sample: statistic 0, p = 1, not drifted.
     """
     nb, nc = F.col("baseline_n"), F.col("current_n")
-    rate_b, rate_c = F.col("baseline_successes") / nb, F.col("current_successes") / nc
-    pooled = (F.col("baseline_successes") + F.col("current_successes")) / (nb + nc)
+    rate_b, rate_c = F.try_divide("baseline_successes", "baseline_n"), F.try_divide("current_successes", "current_n")
+    pooled = F.try_divide(F.col("baseline_successes") + F.col("current_successes"), nb + nc)
     scored = (
-        pairs.withColumn("_se", F.sqrt(pooled * (1 - pooled) * (1 / nb + 1 / nc)))
+        pairs.withColumn("_se", F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), nb) + F.try_divide(F.lit(1), nc))))
         .withColumn("_z", F.when(F.col("_se") > 0, (rate_c - rate_b) / F.col("_se")).otherwise(F.lit(0.0)))
         .withColumn("_p", F.when(F.col("_se") > 0, normal_two_sided(F.col("_z"))).otherwise(F.lit(1.0)))
         .withColumn("n_baseline", nb)

@@ -86,7 +86,8 @@ def quantile_of(cumulative: str, n: str, p: float) -> Column:
 
 
 def _gap() -> Column:
-    return F.abs(F.col("cum_b") / F.col("n_baseline") - F.col("cum_c") / F.col("n_current"))
+    """Distance of the two distribution functions at a value; null when a sample is empty."""
+    return F.abs(F.try_divide("cum_b", "n_baseline") - F.try_divide("cum_c", "n_current"))
 
 
 def distance_summary(long: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
@@ -156,7 +157,7 @@ def psi_buckets(long: DataFrame, keys: Sequence[str], bins: int = 10, buckets: i
         *keys,
         "n_baseline",
         "n_current",
-        (F.size("_edges") - 1).alias("k"),
+        (F.size("_edges") - 1).alias("n_bins"),
         F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0))).alias("_inner"),
     )
     placed = counts.select(*keys, "value", "nb", "nc").join(edges, keys)
@@ -166,7 +167,7 @@ def psi_buckets(long: DataFrame, keys: Sequence[str], bins: int = 10, buckets: i
         .agg(
             F.sum("nb").alias("nb"),
             F.sum("nc").alias("nc"),
-            F.max("k").alias("k"),
+            F.max("n_bins").alias("n_bins"),
             F.max("n_baseline").alias("n_baseline"),
             F.max("n_current").alias("n_current"),
         )
@@ -178,13 +179,13 @@ def psi_test(long: DataFrame, keys: Sequence[str], bins: int = 10, buckets: int
     placed = psi_buckets(long, keys, bins, buckets)
 
     def share(count: Column, n: Column) -> Column:
-        return (count + 0.5) / (n + 0.5 * F.col("k"))
+        return (count + 0.5) / (n + 0.5 * F.col("n_bins"))
 
     fb, fc = share(F.col("nb"), F.col("n_baseline")), share(F.col("nc"), F.col("n_current"))
     eb, ec = share(F.lit(0), F.col("n_baseline")), share(F.lit(0), F.col("n_current"))
     summed = placed.groupBy(*keys).agg(
-        (F.sum((fc - fb) * F.ln(fc / fb)) + (F.max("k") - F.count(F.lit(1))) * F.max((ec - eb) * F.ln(ec / eb))).alias("_psi"),
-        F.max("k").alias("bins"),
+        (F.sum((fc - fb) * F.ln(fc / fb)) + (F.max("n_bins") - F.count(F.lit(1))) * F.max((ec - eb) * F.ln(ec / eb))).alias("_psi"),
+        F.max("n_bins").alias("bins"),
         F.max("n_baseline").alias("n_baseline"),
         F.max("n_current").alias("n_current"),
     )
