@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lakesignal.scale import numbered
@@ -70,7 +71,7 @@ def start_micro_batches(
         rows.write.mode("overwrite").parquet(f"{folder}/pending/epoch={epoch}")
         done = read(spark, "reported", "number bigint, upto bigint").where(F.col("upto") < epoch)
         last = done.agg(F.count(F.lit(1)).alias("n"), F.max("upto").alias("upto")).first()
-        held = read(spark, "pending", rows.schema.add("epoch", "bigint")).where((F.col("epoch") > (-1 if last["upto"] is None else last["upto"])) & (F.col("epoch") <= epoch))
+        held = read(spark, "pending", T.StructType([*rows.schema.fields, T.StructField("epoch", T.LongType())])).where((F.col("epoch") > (-1 if last["upto"] is None else last["upto"])) & (F.col("epoch") <= epoch))
         if held.limit(min_batch).count() < min_batch:
             return
         on_batch(held.drop("epoch"), last["n"])
