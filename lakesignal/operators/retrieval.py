@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakesignal.scale import salted_lookup, top_per_key
+from lakesignal.scale import pinned, salted_lookup, top_per_key
 
 K1, B, EPSILON, FUSION_K = 1.5, 0.75, 0.25, 60
 
@@ -29,13 +29,20 @@ def bm25_index(chunks: DataFrame, scope: Sequence[str] = ("doc_id",), item: str
     scope = list(scope)
     sized = chunks.select(*scope, item, _words(text).alias("_w")).withColumn("_len", F.size("_w"))
     stats = sized.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"))
-    tf = sized.select(*scope, item, "_len", F.explode("_w").alias("term")).groupBy(*scope, item, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
-    df = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("_df")).join(stats, scope)
-    df = df.withColumn("_idf", F.ln(F.col("_n") - F.col("_df") + 0.5) - F.ln(F.col("_df") + 0.5))
-    mean = df.groupBy(*scope).agg((EPSILON * F.avg("_idf")).alias("_eps"))
-    idf = df.join(mean, scope).select(*scope, "term", "_avg", F.when(F.col("_idf") < 0, F.col("_eps")).otherwise(F.col("_idf")).alias("_idf"))
+    # terms are made distinct inside the row, so document frequencies need one shuffle
+    df = sized.select(*scope, F.explode(F.array_distinct("_w")).alias("term")).groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("_df"))
+    raw_idf = F.ln(F.col("_n") - F.col("_df") + 0.5) - F.ln(F.col("_df") + 0.5)
+    # the mean idf of a scope only needs how many terms have each frequency
+    shape = df.groupBy(*scope, "_df").agg(F.count(F.lit(1)).alias("_m")).join(stats, scope)
+    per_scope = shape.groupBy(*scope).agg(
+        (EPSILON * F.sum(F.col("_m") * raw_idf) / F.sum("_m")).alias("_eps"), F.max("_n").alias("_n"), F.max("_avg").alias("_avg")
+    )
+    tokens = sized.select(*scope, item, "_len", F.explode("_w").alias("term"))
     if terms is not None:
-        idf = idf.join(terms.select(*scope, "term").distinct(), [*scope, "term"], "left_semi")
+        wanted = pinned(terms.select(*scope, "term").distinct())  # small for a set of questions; its size decides the join
+        tokens, df = (t.join(wanted, [*scope, "term"], "left_semi") for t in (tokens, df))
+    tf = tokens.groupBy(*scope, item, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
+    idf = df.join(per_scope, scope).select(*scope, "term", "_avg", F.when(raw_idf < 0, F.col("_eps")).otherwise(raw_idf).alias("_idf"))
     saturation = F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
     return tf.join(idf, [*scope, "term"]).select(*scope, item, "term", (F.col("_idf") * saturation).alias("weight"))
 
