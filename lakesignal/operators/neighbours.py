@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakesignal.scale import top_per_key
+from lakesignal.scale import pinned, top_per_key
 
 BLOCK_ROWS = 2048
 
 
 def _blocked(df: DataFrame, scope: Sequence[str], row_id: str, name: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    counts = df.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(f"n_{name}"))
+    # one row per scope, written once: its exact size lets Spark broadcast it without shuffling the vectors by scope
+    counts = pinned(df.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(f"n_{name}")))
     return df.join(counts, list(scope)).withColumn(name, F.pmod(F.xxhash64(row_id), F.col(f"n_{name}")).cast("int")), counts
 
 

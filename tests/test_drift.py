@@ -114,14 +114,14 @@ def brute_mmd(x, y):
     return (kxx.sum() - m) / (m * (m - 1)) + (kyy.sum() - n) / (n * (n - 1)) - 2 * kxy.mean(), gamma
 
 
-@pytest.mark.parametrize("block_rows", [16, 1000])
-def test_mmd(spark, block_rows):
+@pytest.mark.parametrize("block_rows,window_rows", [(16, 0), (1000, 200_000)])
+def test_mmd(spark, block_rows, window_rows):
     r = np.random.default_rng(0)
     sets = {"same": (r.normal(size=(30, 4)), r.normal(size=(25, 4))), "far": (r.normal(size=(30, 4)), r.normal(size=(25, 4)) + 3)}
     rows = [(g, s, i + 1000 * (s == "current"), v.tolist()) for g, (x, y) in sets.items() for s, m in (("baseline", x), ("current", y)) for i, v in enumerate(m)]
     rows += [("mixed", "baseline", i, [1.0, 2.0]) for i in range(10)] + [("mixed", "current", i, [1.0]) for i in range(10)]
     df = spark.createDataFrame(rows, "g string, sample string, id bigint, embedding array<double>")
-    got = {q["g"]: q for q in mmd_test(df, ["g"], permutations=60, block_rows=block_rows).collect()}
+    got = {q["g"]: q for q in mmd_test(df, ["g"], permutations=60, block_rows=block_rows, window_rows=window_rows).collect()}
     for g, (x, y) in sets.items():
         value, gamma = brute_mmd(x, y)
         assert abs(got[g]["statistic"] - value) < 1e-9 and abs(got[g]["detail"]["gamma"] - gamma) < 1e-12
