@@ -14,7 +14,6 @@ All three ideas used across the library live here:
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -24,12 +23,17 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lakesignal-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The folder that all executors share: ``spark.checkpoint.dir``, or ``spark.lakesignal.work_dir``.
+
+    A local master may do without both and then uses the warehouse folder.  On a cluster that is an error: a folder of
+    one machine would lose rows.
+    """
+    for name in ("spark.checkpoint.dir", "spark.lakesignal.work_dir"):
+        if folder := spark.conf.get(name, None):
+            return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir (or spark.lakesignal.work_dir) to a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def pinned(df: DataFrame) -> DataFrame:
