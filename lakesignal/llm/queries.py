@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakesignal.llm import pii, quality
-from lakesignal.llm.common import load
+from lakesignal.llm import html, pii, quality, secrets, sentencepiece_bpe, token_counts, warc
+from lakesignal.llm.common import load, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,11 +19,36 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.loaded_totals(load(spark, sf_dir, "documents"), f"{shared_folder(spark)}/token_counts/{uuid.uuid4().hex}")
+
+
 @_query
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(load(spark, sf_dir, "documents")))
 
 
+@_query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode(load(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(load(spark, sf_dir, "documents")))
+
+
+@_query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(load(spark, sf_dir, "pages"))
+
+
+@_query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf_dir, "pages"))
+
+
 @_query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(load(spark, sf_dir, "documents"))
