@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakesignal.llm import html, pii, quality, secrets, sentencepiece_bpe, token_counts, warc
+from lakesignal.llm import html, pii, quality, secrets, sentencepiece_bpe, token_counts, toxicity, warc
 from lakesignal.llm.common import load, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode(load(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 @_query
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(load(spark, sf_dir, "documents")))
