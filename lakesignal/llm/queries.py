@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakesignal.llm import html, pii, quality, secrets, sentencepiece_bpe, token_counts, toxicity, warc
+from lakesignal.llm import decontaminate, html, ngram_join, pii, quality, secrets, sentencepiece_bpe, token_counts, toxicity, warc
 from lakesignal.llm.common import load, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,11 +39,21 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+@_query
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(load(spark, sf_dir, "documents")).drop("_key")
+
+
 @_query
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(load(spark, sf_dir, "documents")))
 
 
+@_query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(load(spark, sf_dir, "pages"))
