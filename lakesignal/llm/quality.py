@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesignal.llm.common import SPACE_CLASS, SPACES, text_or_empty
-from lakesignal.scale import pinned, salted_lookup
+from lakesignal.scale import attach_row, pinned, salted_lookup
 
 SYMBOLS = "#*$%&|<>"
 
@@ -124,10 +124,11 @@ def thresholds(measured: DataFrame, lang: str, source: str, k: int, reach: float
     by_source = by_source.withColumn("_all", F.lit(1))
     by_lang = merge(by_source, "_all", lang)
     overall = merge(by_lang, "_all")
-    pick = by_source.alias("s").join(by_lang.alias("l"), F.col(f"s.{lang}").eqNullSafe(F.col(f"l.{lang}"))).join(overall.alias("o"), F.col("s._all") == F.col("o._all"))
+    pick = by_source.drop("_all").alias("s").join(by_lang.drop("_all").alias("l"), F.col(f"s.{lang}").eqNullSafe(F.col(f"l.{lang}")))
+    pick = attach_row(pick, overall.select(*[F.col(m).alias(f"_o_{m}") for m in names]))
 
     def chosen(name: str) -> Column:
-        return F.when(F.col("s.n") >= enough, F.col(f"s.{name}")).when(F.col("l.n") >= enough, F.col(f"l.{name}")).otherwise(F.col(f"o.{name}"))
+        return F.when(F.col("s.n") >= enough, F.col(f"s.{name}")).when(F.col("l.n") >= enough, F.col(f"l.{name}")).otherwise(F.col(f"_o_{name}"))
 
     sketches = pick.select(F.col(f"s.{lang}").alias(lang), F.col(f"s.{source}").alias(source), *[chosen(m).alias(m) for m in names])
     out = sketches
