@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog import query, spread_table, table
+from catalog import query, table
 from lakesignal.functions.fixed_rules import COVERAGE_CATEGORIES, NEGOTIATION_QUESTIONS, RISK_RULES, Category, Rule
 from lakesignal.functions.text import duration_days, html_text
 from lakesignal.operators.chunking import chunk_documents, clause_lines, sentences
@@ -28,7 +28,7 @@ CATEGORIES = (
 
 
 def docs(spark, sf_dir):
-    return spread_table(spark, sf_dir, "documents", "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 # -- SQL of the chunker ------------------------------------------------------
@@ -242,6 +242,7 @@ def compare_documents_query(spark, sf_dir):
 
 # -- grounding --------------------------------------------------------------------
 
+# Fixed values, as in lakesignal.functions.text.
 _STOP = "['the','a','an','is','are','of','to','and','or','in','on','for','by','with','this','that','be','will','shall','at','as','it','not','no','any','may','can','does','do','who','what','which','under','from','such','if','would','than','then']"
 
 
@@ -289,7 +290,8 @@ def ground_quotes_query(spark, sf_dir):
     return ground_quotes(quotes(spark, sf_dir), chunks, docs(spark, sf_dir)).select("doc_id", "quote_id", "grounded", "evidence_chunk_index")
 
 
-_CASE_STOP = _STOP.split(",'under'")[0] + "]"
+# Fixed values, as in lakesignal.functions.text.
+_CASE_STOP = "['the','a','an','is','are','of','to','and','or','in','on','for','by','with','this','that','be','will','shall','at','as','it','not','no','any','may','can','does','do','who','what','which']"
 
 
 @query(

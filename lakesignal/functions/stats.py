@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Above this sample size the exact two-sample KS distribution is not used.
+#: With method auto, the exact two-sample KS distribution is used up to this sample size.
 KS_EXACT_LIMIT = 10_000
 _ERF_TERMS = 240
 
@@ -89,31 +89,44 @@ def kolmogorov_tail(d: Column, n: Column, m: Column) -> Column:
 
 
 def _ks_exact(d: float, n: int, m: int) -> float:
-    """P(D_nm >= d) by the lattice-path recurrence, one cumulative sum per row."""
-    n, m = (n, m) if n <= m else (m, n)
-    q = (0.5 + math.floor(d * n * m - 1e-7)) / (n * m)
-    j = np.arange(m + 1) / m
-    u = np.where(j > q, 0.0, 1.0)
-    for i in range(1, n + 1):
-        inside = np.abs(i / n - j) <= q
-        u *= i / (i + m)
-        u[~inside] = 0.0
-        u = np.where(inside, np.cumsum(u), 0.0)
-    return float(min(1.0, max(0.0, 1.0 - u[m])))
+    """P(D_nm >= d): the share of lattice paths from (0, 0) to (n, m) that leave the band |i/n - j/m| < d.
+
+    Recurrence of J. L. Hodges, "The significance probability of the Smirnov two-sample test" (1958), for shares in
+    place of counts: a path reaches (i, j) from (i-1, j) with weight i/(i+j), otherwise from (i, j-1).  Points with
+    equal i + j are computed together, so a test takes n + m vector steps of at most n + 1 entries.
+    """
+    reach = math.ceil(d * n * m - 1e-7)
+    i = np.arange(n + 1)
+    left = np.zeros(n + 1)
+    left[0] = float(reach <= 0)
+    for s in range(1, n + m + 1):
+        share = i / s
+        left = (1 - share) * left + share * np.concatenate([[0.0], left[:-1]])
+        left[np.abs(i * m - (s - i) * n) >= reach] = 1.0
+    return float(left[n])
 
 
 @F.pandas_udf(T.DoubleType())
 def ks_exact_tail(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    out = []
-    for dd, nn, mm in zip(d, n, m):
-        usable = dd == dd and nn and mm and max(nn, mm) <= KS_EXACT_LIMIT
-        out.append(_ks_exact(float(dd), int(nn), int(mm)) if usable else None)
-    return pd.Series(out, dtype="float64")
+    """Exact p-values, null for rows without both samples; the work of one test is n times m."""
+    usable = [dd == dd and nn and mm for dd, nn, mm in zip(d, n, m)]
+    return pd.Series([_ks_exact(float(dd), int(nn), int(mm)) if ok else None for ok, dd, nn, mm in zip(usable, d, n, m)], dtype="float64")
 
 
-def ks_p_value(d: Column, n: Column, m: Column) -> Column:
-    """Exact up to 10,000 rows a side, large-sample law beyond (one value per test, not per row)."""
-    return F.when(F.greatest(n, m) > KS_EXACT_LIMIT, kolmogorov_tail(d, n, m)).otherwise(ks_exact_tail(d, n, m))
+def ks_p_value(d: Column, n: Column, m: Column, method: str = "auto") -> Column:
+    """Two-sample KS p-value, one per test.
+
+    ``exact`` and ``asymptotic`` use one law for every sample size.  ``auto`` is the reference behaviour: exact up to
+    ``KS_EXACT_LIMIT`` rows a side and the large-sample law beyond, so its p-values change law at that size.
+    """
+    if method == "exact":
+        return ks_exact_tail(d, n, m)
+    if method == "asymptotic":
+        return kolmogorov_tail(d, n, m)
+    if method != "auto":
+        raise ValueError(f"unknown method {method!r}: exact, asymptotic or auto")
+    large = F.greatest(n, m) > KS_EXACT_LIMIT
+    return F.when(large, kolmogorov_tail(d, n, m)).otherwise(ks_exact_tail(F.when(~large, d), n, m))
 
 
 def nearest_rank(n: Column, pct: float) -> Column:

@@ -4,28 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lakesignal.plans.health import DEGRADED, HEALTHY, RECOVERING, WARNING
+
 OUTPUT = "model_id string, run_id bigint, state string, consecutive_drifted bigint, consecutive_clean bigint, opens_alert boolean, resolves_alerts boolean"
 STATE = "state string, consecutive_drifted bigint, consecutive_clean bigint"
 
 
-def step(state: str, drifted_streak: int, clean_streak: int, is_drifted: bool, warning_after: int, degraded_after: int, recovery_after: int):
-    """One run: (state, drifted streak, clean streak, opens alert, resolves alerts)."""
-    incident = state in ("degraded", "recovering")
-    if is_drifted:
-        streak = drifted_streak + 1
-        if streak >= degraded_after:
-            return "degraded", streak, 0, not incident, False
-        if streak >= warning_after:
-            return "warning", streak, 0, False, False
-        return (state if incident else "healthy"), streak, 0, False, False
-    streak = clean_streak + 1
-    if state == "degraded":
-        return ("recovering" if streak >= recovery_after else "degraded"), 0, streak, False, False
-    return "healthy", 0, streak, False, state == "recovering"
+def _last(at: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Position of the last hit up to each row, 0 before the first."""
+    return np.maximum.accumulate(np.where(hit, at, 0))
+
+
+def fold_runs(drifted: np.ndarray, stored: tuple[str, int, int], warning_after: int, degraded_after: int, recovery_after: int) -> pd.DataFrame:
+    """The batch timeline's formulation (``plans.health``) on one model's ordered runs, whole arrays at a time.
+
+    Streaks are distances to the last run with the other verdict; runs that fix the state are resets; between resets
+    the state follows from the number of full clean streaks.  ``stored`` is (state, drifted streak, clean streak) before.
+    """
+    start, drifted_before, clean_before = stored
+    at = np.arange(1, len(drifted) + 1)
+    last_clean, last_drift = _last(at, ~drifted), _last(at, drifted)
+    bad = np.where(drifted, at - last_clean + np.where(last_clean == 0, drifted_before, 0), 0)
+    good = np.where(~drifted, at - last_drift + np.where(last_drift == 0, clean_before, 0), 0)
+    reset = np.select([drifted & (bad >= degraded_after), drifted & (bad >= warning_after)], [DEGRADED, WARNING], "")
+    full = ~drifted & (good >= recovery_after)
+    fulls, last_full, last_reset = np.cumsum(full), _last(at, full), _last(at, reset != "")
+    unset = last_reset == 0
+    base = np.where(unset, DEGRADED if start in (DEGRADED, RECOVERING) else WARNING, reset[last_reset - 1])
+    carried = unset & (start == RECOVERING)
+    since = fulls - np.where(unset, 0, fulls[last_reset - 1]) + carried
+    clean_after_full = last_clean > np.where(carried, 0, last_full)
+    state = np.select(
+        [reset != "", base == WARNING, since == 0, (since >= 2) | clean_after_full], [reset, HEALTHY, DEGRADED, HEALTHY], RECOVERING
+    )
+    was = np.concatenate([[start], state[:-1]])
+    opens = (reset == DEGRADED) & ~np.isin(was, (DEGRADED, RECOVERING))
+    return pd.DataFrame(
+        {"state": state, "consecutive_drifted": bad, "consecutive_clean": good, "opens_alert": opens, "resolves_alerts": ~drifted & (was == RECOVERING)}
+    )
 
 
 def stream_health(runs: DataFrame, warning_after: int = 1, degraded_after: int = 1, recovery_after: int = 1) -> DataFrame:
@@ -37,14 +58,14 @@ def stream_health(runs: DataFrame, warning_after: int = 1, degraded_after: int =
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, cd, cc = held.get if held.exists else ("healthy", 0, 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "run_id"], kind="stable")
-        out = []
-        for run_id, is_drifted in zip(rows["run_id"], rows["is_drifted"]):
-            state, cd, cc, opens, resolves = step(state, cd, cc, bool(is_drifted), warning_after, degraded_after, recovery_after)
-            out.append((key[0], int(run_id), state, cd, cc, opens, resolves))
-        held.update((state, cd, cc))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        stored = held.get if held.exists else (HEALTHY, 0, 0)
+        out = fold_runs(rows["is_drifted"].to_numpy(bool), stored, warning_after, degraded_after, recovery_after)
+        end = out.iloc[-1]
+        held.update((str(end["state"]), int(end["consecutive_drifted"]), int(end["consecutive_clean"])))
+        out.insert(0, "model_id", key[0])
+        out.insert(1, "run_id", rows["run_id"].to_numpy())
+        yield out
 
     slim = runs.select("model_id", "run_id", "ts", "is_drifted")
     return slim.groupBy("model_id").applyInPandasWithState(fold, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
