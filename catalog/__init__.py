@@ -7,8 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakesignal.scale import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -33,11 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
-    """The table for CPU-heavy map work: one file with one row group is split over the cores first."""
-    return spread(table(spark, sf_dir, name), *keys)
-
-
 def load_all() -> None:
     for module in _MODULES:
         importlib.import_module(f"catalog.{module}")

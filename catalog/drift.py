@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog import query, spread_table, table
+from catalog import query, table
 from lakesignal.operators.categorical_drift import category_counts, chi_square_test, jensen_shannon_test, two_proportion_test
 from lakesignal.operators.numeric_drift import (
     distance_summary,
@@ -24,7 +24,7 @@ def halves(column: str, day: str):
 
 
 def lineitem_long(spark, sf_dir, *keep):
-    rows = spread_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").select(*FEATURES, "l_shipdate", *keep)
+    rows = table(spark, sf_dir, "lineitem").select(*FEATURES, "l_shipdate", *keep)
     return unpivot_features(rows, FEATURES, halves("l_shipdate", "1998-07-01"), keep)
 
 

@@ -52,16 +52,6 @@ def default_buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a plain table scan by ``keys`` when it has fewer partitions than there are cores.
-
-    For CPU-heavy map work on small or single-row-group files.  A large table
-    already has more splits than cores and is returned as it is, unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
 def value_cuts(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None) -> DataFrame | None:
     """``(keys, _cuts)``: cut points of ``value`` per key for ``buckets`` rank-balanced buckets.
 

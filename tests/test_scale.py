@@ -69,7 +69,20 @@ def test_configuration_tables_are_never_cut(spark):
         scale.small_rows(spark.range(6), 5)
 
 
-def test_spread_leaves_wide_tables_alone(spark):
-    wide = spark.range(100, numPartitions=16)
-    assert scale.spread(wide, "id") is wide
-    assert scale.spread(spark.range(100, numPartitions=1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+class _Conf(dict):
+    def __call__(self, *_):
+        return self
+
+
+def test_the_work_folder_is_never_a_machine_local_fallback():
+    class Session:
+        def __init__(self, master, **conf):
+            self.sparkContext = type("C", (), {"master": master})
+            self.conf = _Conf(conf)
+
+    assert scale.shared_folder(Session("spark://x", **{"spark.checkpoint.dir": "hdfs://a/b/"})) == "hdfs://a/b"
+    assert scale.shared_folder(Session("yarn", **{"spark.lakesignal.work_dir": "s3://w"})) == "s3://w"
+    assert scale.shared_folder(Session("local[2]", **{"spark.sql.warehouse.dir": "file:/w"})) == "file:/w/_work"
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            scale.shared_folder(Session(master))
