@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesignal.scale import latest, numbered, pinned, previous, running
+from lakesignal.scale import latest, numbered, previous, running
 
 HEALTHY, WARNING, DEGRADED, RECOVERING = "healthy", "warning", "degraded", "recovering"
 
@@ -144,9 +144,10 @@ def alert_message(model_id="model_id", version="version", drift_score="drift_sco
     )
 
 
-def current_health(health: DataFrame, models: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Latest stored health per model; without one, degraded with streak 1 if an alert is open, else healthy."""
-    newest = latest(health.select("model_id", "state", "consecutive_drifted", "consecutive_clean", "updated_at"), ["model_id"], ["updated_at"])
+def current_health(health: DataFrame, models: DataFrame, alerts: DataFrame, order: Sequence[str] = ("updated_at",)) -> DataFrame:
+    """Latest stored health per model by ``order``; without one, degraded with streak 1 if an alert is open, else healthy."""
+    names = ["model_id", "state", "consecutive_drifted", "consecutive_clean", "updated_at"]
+    newest = latest(health.select(*names, *[c for c in order if c not in names]), ["model_id"], list(order))
     open_alerts = alerts.where(~F.col("resolved")).select("model_id").distinct().withColumn("_open", F.lit(True))
     joined = models.select("model_id").join(newest, "model_id", "left").join(open_alerts, "model_id", "left")
     is_open = F.coalesce("_open", F.lit(False))
@@ -177,6 +178,3 @@ def baseline_as_of(runs: DataFrame, baselines: DataFrame, ts: str = "ts", create
     found = carried.where("_kind = 1").select("model_id", F.col("_tie").alias("run_id"), F.col("_found.version").alias("baseline_version"), F.col("_found.id").alias("baseline_id"))
     return runs.join(found, ["model_id", "run_id"], "left")
 
-
-def materialised(timeline: DataFrame) -> DataFrame:
-    return pinned(timeline)

@@ -3,6 +3,11 @@
 Rows are never changed in place: a later row with the same key supersedes an
 earlier one, and readers take the latest (``scale.latest``).  Ids come from the
 caller's keys, so re-running an append job cannot invent new ones.
+
+Health rows are ordered by an append sequence, not by the caller's times.  A
+batch of runs writes its alerts and health first and its runs last; rows that
+name a run which is not stored yet do not count, so the runs are the commit and
+a batch that broke off can simply be repeated.
 """
 
 from __future__ import annotations
@@ -25,15 +30,15 @@ TABLES = {
     "models": "model_id string, name string, check_name string, current_version int, created_at timestamp, config string",
     "baselines": "model_id string, id bigint, version int, data string, created_at timestamp",
     "runs": "model_id string, run_id bigint, version int, ts timestamp, drift_score double, quality_score double, is_drifted boolean, signals string, statistics string",
-    "alerts": "model_id string, run_id bigint, created_at timestamp, message string, resolved boolean, resolved_at timestamp",
+    "alerts": "model_id string, run_id bigint, created_at timestamp, message string, resolved boolean, resolved_at timestamp, by_run_id bigint",
     "versions": "model_id string, id bigint, version int, created_at timestamp, reason string",
-    "health": "model_id string, state string, consecutive_drifted bigint, consecutive_clean bigint, updated_at timestamp",
+    "health": "model_id string, state string, consecutive_drifted bigint, consecutive_clean bigint, updated_at timestamp, run_id bigint, seq bigint",
     "experiments": "experiment_id string, name string, kind string, created_at timestamp, config string, results string, status string",
     "traces": "trace_id string, model_id string, created_at timestamp, data string",
 }
 
 #: Natural key of the tables whose rows are superseded, with the order that decides the latest.
-CURRENT_ROW = {"models": (["model_id"], ["current_version"]), "health": (["model_id"], ["updated_at"]), "alerts": (["model_id", "run_id"], ["resolved"])}
+CURRENT_ROW = {"models": (["model_id"], ["current_version"]), "health": (["model_id"], ["seq"]), "alerts": (["model_id", "run_id"], ["resolved"])}
 
 
 class UnknownModel(LookupError):
@@ -66,9 +71,25 @@ class Registry:
 
     def read(self, name: str) -> DataFrame:
         """Current rows: the latest per key where rows are superseded."""
-        rows = self.raw(name)
+        rows = self._committed(name)
         return latest(rows, *CURRENT_ROW[name]) if name in CURRENT_ROW else rows
 
+    def _committed(self, name: str) -> DataFrame:
+        """Rows without those of a batch whose runs were never stored."""
+        rows = self.raw(name)
+        by = {"health": "run_id", "alerts": "by_run_id"}.get(name)
+        if by is None:
+            return rows
+        stored = self.raw("runs").select("model_id", F.col("run_id").alias(by)).distinct()
+        free = rows.where(F.col(by).isNull())
+        return free.unionByName(rows.join(stored, ["model_id", by], "left_semi").select(*rows.columns))
+
+    def _next_seq(self) -> DataFrame:
+        return self.raw("health").groupBy("model_id").agg((F.max(F.coalesce("seq", F.lit(0))) + 1).alias("_seq"))
+
+    def _append_health(self, rows: DataFrame) -> None:
+        self.append("health", rows.join(self._next_seq(), "model_id", "left").withColumn("seq", F.coalesce("_seq", F.lit(1))))
+
     # -- actions ------------------------------------------------------------
 
     def register(self, models: DataFrame, baselines: DataFrame) -> None:
@@ -84,30 +105,35 @@ class Registry:
         return latest_baseline(self.read("baselines"))
 
     def health(self) -> DataFrame:
-        return current_health(self.raw("health"), self.read("models"), self.read("alerts"))
+        return current_health(self.read("health"), self.read("models"), self.read("alerts"), ["seq"])
 
     def record_runs(self, runs: DataFrame, warning_after: int = 1, degraded_after: int = 1, recovery_after: int = 1, buckets: int | None = None) -> DataFrame:
         """Store check results, fold health from its stored state, open and resolve alerts.
 
         ``runs`` has the columns of the runs table without ``version``.  All new
-        runs of all models are folded in one job.  Returns the timeline.
+        runs of all models are folded in one job; runs stored before are left
+        out, so a repeated batch changes nothing.  Returns the new timeline.
         """
         models = self.read("models")
         if runs.join(models, "model_id", "left_anti").limit(1).count():
             raise UnknownModel("a run belongs to a model that is not registered")
-        versioned = runs.drop("version").join(models.select("model_id", F.col("current_version").alias("version")), "model_id")
+        stored = self.raw("runs").select("model_id", "run_id")
+        new = runs.join(stored, ["model_id", "run_id"], "left_anti").dropDuplicates(["model_id", "run_id"])
+        versioned = new.drop("version").join(models.select("model_id", F.col("current_version").alias("version")), "model_id")
         timeline = pinned(
             health_timeline(versioned, ["model_id"], ["ts", "run_id"], warning_after, degraded_after, recovery_after, initial=self.health(), buckets=buckets)
         )
-        still_open = pinned(self.read("alerts").where(~F.col("resolved")))
-        self.append("runs", timeline)
-        self.append("health", latest(timeline.select("model_id", "rn", "state", "consecutive_drifted", "consecutive_clean", F.col("ts").alias("updated_at")), ["model_id"], ["rn"]))
+        last = pinned(latest(timeline.select("model_id", "rn", "run_id", "state", "consecutive_drifted", "consecutive_clean", F.col("ts").alias("updated_at")), ["model_id"], ["rn"]))
+        by = last.select("model_id", F.col("run_id").alias("by_run_id"))
+        still_open = pinned(self.read("alerts").where(~F.col("resolved")).drop("by_run_id"))
         life = alert_lifecycle(timeline)
-        fresh = life.join(timeline.select("model_id", "run_id", alert_message().alias("message")), ["model_id", "run_id"])
+        fresh = life.join(timeline.select("model_id", "run_id", alert_message().alias("message")), ["model_id", "run_id"]).join(by, "model_id")
         self.append("alerts", fresh.withColumnRenamed("opened_at", "created_at"))
         first = timeline.where("resolves_alerts").groupBy("model_id").agg(F.min("ts").alias("_resolved_at"))
-        closing = still_open.join(first, "model_id").withColumns({"resolved": F.lit(True), "resolved_at": F.col("_resolved_at")})
+        closing = still_open.join(first, "model_id").join(by, "model_id").withColumns({"resolved": F.lit(True), "resolved_at": F.col("_resolved_at")})
         self.append("alerts", closing)
+        self._append_health(last)
+        self.append("runs", timeline.repartition("model_id"))
         return timeline
 
     def rebaseline(self, baselines: DataFrame, retrain=None) -> None:
@@ -127,9 +153,8 @@ class Registry:
         still_open = pinned(self.read("alerts").where(~F.col("resolved")).join(bumped.select("model_id", "_at"), "model_id"))
         self.append("baselines", new)
         self.append("versions", new.withColumn("reason", F.lit("retrain")))
-        self.append("alerts", still_open.withColumns({"resolved": F.lit(True), "resolved_at": F.col("_at")}))
-        self.append(
-            "health",
+        self.append("alerts", still_open.drop("by_run_id").withColumns({"resolved": F.lit(True), "resolved_at": F.col("_at")}))
+        self._append_health(
             bumped.select("model_id", F.lit("healthy").alias("state"), F.lit(0).alias("consecutive_drifted"), F.lit(0).alias("consecutive_clean"), F.col("_at").alias("updated_at")),
         )
         self.append("models", bumped)
@@ -146,8 +171,10 @@ def history(runs: DataFrame, model_id: str | None = None, limit: int | None = No
 
 
 def alerts_of(alerts: DataFrame, model_id: str | None = None, active_only: bool = False) -> DataFrame:
+    """Newest alerts first; of equal times the one with the greater run_id, then model_id."""
     rows = alerts if model_id is None else alerts.where(F.col("model_id") == model_id)
-    return rows.where(~F.col("resolved")) if active_only else rows
+    rows = rows.where(~F.col("resolved")) if active_only else rows
+    return rows.orderBy(F.desc("created_at"), F.desc("run_id"), F.desc("model_id"))
 
 
 def traces_of(traces: DataFrame, model_id: str | None = None, grounded: bool | None = None, limit: int = 50) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from lakesignal.plans.calibration import calibrate
 from lakesignal.plans.health import alert_lifecycle, baseline_as_of, current_health, health_timeline
 from lakesignal.sources.registry import Registry, UnknownModel, alert_outbox, metric_rows, replace_rows
-from lakesignal.streaming.health import step
+from lakesignal.streaming.health import fold_runs
 
 LIMITS = [(1, 1, 1), (1, 2, 2), (2, 3, 2), (3, 2, 1), (2, 4, 3)]
 
@@ -19,15 +20,31 @@ def run_rows(seed=4):
 
 
 def fold(rows, limits, start=("healthy", 0, 0)):
+    """One run at a time, the state handed on, as a stream with one run per micro-batch does."""
     out, held = {}, {}
     for m, i, _, bad in sorted(rows, key=lambda x: (x[0], x[2], x[1])):
-        state, cd, cc = held.get(m, start)
-        state, cd, cc, opens, resolves = step(state, cd, cc, bad, *limits)
-        held[m] = (state, cd, cc)
-        out[(m, i)] = (state, cd, cc, opens, resolves)
+        row = tuple(fold_runs(np.array([bad]), held.get(m, start), *limits).astype(object).iloc[0])
+        held[m], out[(m, i)] = row[:3], row
     return out
 
 
+@pytest.mark.parametrize("limits", LIMITS)
+def test_batch_size_does_not_change_the_fold(limits):
+    r = random.Random(8)
+    flags = [r.random() < 0.5 for _ in range(200)]
+    rows = [("m", i, i, f) for i, f in enumerate(flags)]
+    whole = [tuple(x) for x in fold_runs(np.array(flags), ("healthy", 0, 0), *limits).astype(object).to_numpy()]
+    assert whole == [fold(rows, limits)[("m", i)] for i in range(200)]
+
+
+def test_states_by_hand():
+    states = lambda flags, *limits: "".join(s[0] for s in fold_runs(np.array([c == "x" for c in flags]), ("healthy", 0, 0), *limits)["state"])
+    assert states("x..x...", 1, 1, 1) == "drhdrhh"
+    assert states("x.xx....", 1, 2, 2) == "whwddrhh"
+    assert states("xx.x..x", 2, 3, 1) == "hwhhhhh"
+    assert states("xxx..x.", 2, 3, 2) == "hwddrrh"
+
+
 @pytest.mark.parametrize("limits", LIMITS)
 def test_timeline_equals_the_fold(spark, limits):
     rows = run_rows()
@@ -118,3 +135,38 @@ def test_exports(spark):
     assert alert_outbox(alerts, "slack").first()["payload"].startswith('{"text":":rotating_light: ')
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     assert sorted(map(tuple, replace_rows(old, spark.createDataFrame([(2, "c")], "id int, v string"), ["id"]).collect())) == [(1, "a"), (2, "c")]
+
+
+def _registered(spark, tmp_path):
+    registry = Registry(spark, str(tmp_path / "registry"))
+    models = spark.sql("select 'm' as model_id, 'n' as name, 'tabular' as check_name, timestamp_seconds(1) as created_at, '{}' as config")
+    registry.register(models, spark.sql("select 'm' as model_id, 'b1' as data, timestamp_seconds(1) as created_at"))
+    runs = "select 'm' as model_id, {} as run_id, timestamp_seconds({}) as ts, 0.5D as drift_score, 0.5D as quality_score, {} as is_drifted, '[]' as signals, '{{}}' as statistics"
+    return registry, lambda *rows: spark.sql(" union all ".join(runs.format(*r) for r in rows))
+
+
+def _state(registry):
+    return registry.health().select("state", "consecutive_drifted").first()
+
+
+def test_a_rebaseline_dated_before_the_runs_is_not_lost(spark, tmp_path):
+    registry, runs = _registered(spark, tmp_path)
+    registry.record_runs(runs((1, 100, "true"), (2, 200, "true")), buckets=1)
+    assert tuple(_state(registry)) == ("degraded", 2)
+    registry.rebaseline(spark.sql("select 'm' as model_id, 'b2' as data, timestamp_seconds(50) as created_at"))
+    assert tuple(_state(registry)) == ("healthy", 0) and registry.read("alerts").where("not resolved").count() == 0
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    registry, runs = _registered(spark, tmp_path)
+    batch = runs((1, 100, "true"), (2, 200, "true"))
+    registry.record_runs(batch, buckets=1)
+    assert registry.record_runs(batch, buckets=1).count() == 0
+    assert registry.raw("runs").count() == 2 and tuple(_state(registry)) == ("degraded", 2)
+
+
+def test_a_batch_without_its_runs_does_not_count(spark, tmp_path):
+    registry, runs = _registered(spark, tmp_path)
+    registry.append("health", spark.sql("select 'm' as model_id, 'degraded' as state, 7 as consecutive_drifted, 0 as consecutive_clean, timestamp_seconds(9) as updated_at, 77 as run_id, 1 as seq"))
+    registry.append("alerts", spark.sql("select 'm' as model_id, 77 as run_id, timestamp_seconds(9) as created_at, 'x' as message, false as resolved, 77 as by_run_id"))
+    assert tuple(_state(registry)) == ("healthy", 0) and registry.read("alerts").count() == 0
