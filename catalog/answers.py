@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import query, table
 from catalog.text import CHUNKS, QUOTES, chunk_table, docs, quotes, strip_sql, words_sql, collapse_sql
+from lakesignal.functions.fixed_rules import ANSWER_TEXTS
 from lakesignal.operators.answers import (
     citation_score,
     grounded_obligations,
@@ -36,6 +37,22 @@ def json_salvage(spark, sf_dir):
     return with_parsed(outputs(spark, sf_dir)).select("event_id", "parse_error", F.try_variant_get("data", "$.answer", "string").alias("answer"))
 
 
+def _caller_sql(caller, text_numbers):
+    """The same answers with another caller's fixed texts, and the no-context answer for questions without hits."""
+    t = {k: v.replace("'", "''") for k, v in ANSWER_TEXTS[caller].items()}
+    return f"""with a as ({_answers_sql(text_numbers)}), h as (select event_id, (props->>'$.k')::int % 5 as n_hits from events)
+select event_id, grounded, cited, case when n_hits = 0 then 0 else citations_requested end as citations_requested, n_hits > 0 and parse_error as parse_error,
+  case when n_hits = 0 then '{t["no_context"]}' when parse_error then '{t["parse_error"]}'
+       when not grounded and answer = 'I couldn''t find a specific part of the document that supports a citeable answer to this question.' then '{t["ungrounded"]}' else answer end as answer
+from a join h using (event_id)"""
+
+
+def _caller_answers(spark, sf_dir, caller, text_numbers=False):
+    a = parse_answers(outputs(spark, sf_dir), accept_text_numbers=text_numbers, caller=caller, need_context=True)
+    a = a.withColumn("cited", F.array_join(F.transform("cited", lambda x: x.cast("string")), ","))
+    return a.select("event_id", "grounded", "cited", "citations_requested", "parse_error", "answer")
+
+
 def _answers_sql(text_numbers):
     as_text = "or (json_type(x) = 'VARCHAR' and regexp_matches(x->>'$', '^-*[0-9]+$'))" if text_numbers else ""
     return f"""with {_RAW_SQL},
@@ -62,6 +79,24 @@ def parse_answers_text_numbers(spark, sf_dir):
     return _answers(spark, sf_dir, True).select("event_id", "grounded", "cited", "citations_requested", "parse_error", "answer")
 
 
+@query("parse_scenario_answers", _caller_sql("scenario", True))
+def parse_scenario_answers(spark, sf_dir):
+    """Scenario answers: numbers written as text count, and the texts are the scenario's."""
+    return _caller_answers(spark, sf_dir, "scenario", True)
+
+
+@query("parse_cross_document_answers", _caller_sql("cross_document", False))
+def parse_cross_document_answers(spark, sf_dir):
+    return _caller_answers(spark, sf_dir, "cross_document")
+
+
+@query("no_context_answers", f"select event_id, answer from ({_caller_sql('chat', False)}) join (select event_id, (props->>'$.k')::int % 5 as n_hits from events) using (event_id) where n_hits = 0")
+def no_context_answers(spark, sf_dir):
+    """What questions without any retrieved excerpt are answered."""
+    empty = outputs(spark, sf_dir).where("n_hits = 0")
+    return parse_answers(empty, need_context=True).select("event_id", "answer")
+
+
 @query(
     "citation_resolution",
     f"with a as ({_answers_sql(False)}), c as (select event_id, unnest(string_split(cited, ',')) as r from a where cited <> '') select event_id, r::int as rank, (event_id * 10 + r::int)::bigint as chunk_index, count(*)::bigint as n from c group by 1, 2, 3",
@@ -263,3 +298,13 @@ def claim_support(spark, sf_dir):
 def grounding_scores_query(spark, sf_dir):
     g = grounding_scores(_verified(spark, sf_dir), ["doc_id", "quote_id"])
     return g.select("doc_id", "quote_id", F.round("grounding_score", 6).alias("grounding_score"), "n_claims")
+
+
+@query(
+    "grounding_scores_every_document",
+    f"with {_CLAIMS}, g as (select doc_id, avg(case when sim >= 0.55 then 1.0 when sim >= 0.35 then 0.5 else 0.0 end) as s, count(*)::bigint as n from ver group by 1) select d.doc_id, round(s, 6) as grounding_score, coalesce(n, 0)::bigint as n_claims from documents d left join g using (doc_id)",
+)
+def grounding_scores_every_document(spark, sf_dir):
+    """Documents whose answers make no claim have a null score."""
+    g = grounding_scores(_verified(spark, sf_dir), ["doc_id"], every=docs(spark, sf_dir))
+    return g.select("doc_id", F.round("grounding_score", 6).alias("grounding_score"), "n_claims")

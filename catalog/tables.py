@@ -10,8 +10,10 @@ from catalog.monitoring import _fold, hourly_runs
 from catalog.text import CHUNKS, RULES, _HITS, chunk_table, docs
 from lakesignal.functions.fixed_rules import NEGOTIATION_QUESTIONS
 from lakesignal.operators.rules import impact_text, rules_from_table, scan_rules, severity_rank
+from lakesignal.plans.run_check import run_telemetry_checks, telemetry_baselines
 from lakesignal.scale import shared_folder, top_per_key
 from lakesignal.sources import datasets, documents, files, registry
+from lakesignal.sources.registry import Registry
 from lakesignal.sources.telemetry import newest, traced, with_defaults
 from lakesignal.streaming.telemetry import micro_batches, windowed_metrics
 
@@ -312,3 +314,58 @@ def registry_rebaseline(spark, sf_dir):
     reg.rebaseline(new)
     open_alerts = reg.read("alerts").where(~F.col("resolved")).groupBy("model_id").agg(F.count(F.lit(1)).alias("open_alerts"))
     return reg.baselines().select("model_id", "version").join(open_alerts, "model_id", "left").withColumn("open_alerts", F.coalesce("open_alerts", F.lit(0)))
+
+
+_DAILY_LIMITS = {"refusal_tolerance": 0.02, "citation_tolerance": 0.03, "latency_multiplier": 1.02}
+
+_DAILY_RUNS = f"""{TEL},
+b as (select segment, avg((not grounded)::int) as r, avg((citations > 0)::int) as c,
+      list_sort(list(latency_ms))[greatest(1, least(count(*), round_even(0.95 * count(*) + 0.5, 0)::bigint))] as l from tel where sample = 'baseline' group by 1),
+m as (select segment, day(ts)::bigint as run_id, avg((not grounded)::int) as r, avg((citations > 0)::int) as c,
+      list_sort(list(latency_ms))[greatest(1, least(count(*), round_even(0.95 * count(*) + 0.5, 0)::bigint))] as l, count(*) as n
+      from tel where sample = 'current' group by 1, 2),
+d as (select m.segment, run_id, m.r,
+        (n >= 5 and m.r - b.r > 0.02)::int + (n >= 5 and b.c - m.c > 0.03)::int + (n >= 5 and case when b.l > 0 then m.l / b.l else 1.0 end > 1.02)::int as k
+      from m join b using (segment)),
+p as (select *, k > 0 as bad, row_number() over w as rn, max(case when k > 0 then run_id end) over (partition by segment order by run_id rows between unbounded preceding and 1 preceding) as bad_before
+      from d window w as (partition by segment order by run_id)),
+t as (select *, case when bad then 'degraded' when bad_before is null then 'healthy' when run_id - bad_before = 1 then 'recovering' else 'healthy' end as state from p),
+u as (select *, coalesce(lag(state) over (partition by segment order by run_id), 'healthy') as was from t)"""
+
+
+def _checked_days(spark, sf_dir, times):
+    """Segments are models; each day of the second half is a run against the first half, recorded ``times`` times."""
+    events = telemetry(spark, sf_dir).withColumn("model_id", F.col("segment").cast("string")).withColumn("run_id", F.dayofmonth("ts").cast("bigint"))
+    reg = Registry(spark, f"{shared_folder(spark)}/registry/{uuid.uuid4().hex}")
+    start = F.timestamp_seconds(F.lit(0))
+    base = telemetry_baselines(events.where("sample = 'baseline'")).withColumn("created_at", start)
+    models = base.select("model_id", F.col("model_id").alias("name"), F.lit("live_telemetry").alias("check_name"), "created_at", F.lit("{}").alias("config"))
+    reg.register(models, base)
+    for _ in range(times):
+        out = run_telemetry_checks(reg, events.where("sample = 'current'"), _DAILY_LIMITS)
+    return reg, out
+
+
+@query(
+    "run_check_end_to_end",
+    f"""with {_DAILY_RUNS} select segment::varchar as model_id, run_id, round(k / 3.0, 6) as drift_score, round(1 - r, 6) as quality_score, bad as is_drifted, state,
+  bad and was not in ('degraded', 'recovering') as opens_alert, not bad and was = 'recovering' as resolves_alerts from u""",
+)
+def run_check_end_to_end(spark, sf_dir):
+    """From stored baseline to runs with their health."""
+    _, out = _checked_days(spark, sf_dir, 1)
+    return out.timeline.select("model_id", "run_id", F.round("drift_score", 6).alias("drift_score"), F.round("quality_score", 6).alias("quality_score"), "is_drifted", "state", "opens_alert", "resolves_alerts")
+
+
+@query(
+    "run_check_replayed",
+    f"""with {_DAILY_RUNS} select segment::varchar as model_id, count(*)::bigint as n_runs, sum(bad::int)::bigint as n_drifted,
+  sum((bad and was not in ('degraded', 'recovering'))::int)::bigint as n_alerts, max_by(state, run_id) as state from u group by 1""",
+)
+def run_check_replayed(spark, sf_dir):
+    """The same events again: stored runs, alerts and health are those of one call."""
+    reg, _ = _checked_days(spark, sf_dir, 2)
+    runs = reg.raw("runs").groupBy("model_id").agg(F.count(F.lit(1)).alias("n_runs"), F.count_if("is_drifted").alias("n_drifted"))
+    alerts = reg.read("alerts").groupBy("model_id").agg(F.count(F.lit(1)).alias("n_alerts"))
+    joined = runs.join(alerts, "model_id", "left").join(reg.health().select("model_id", "state"), "model_id")
+    return joined.withColumn("n_alerts", F.coalesce("n_alerts", F.lit(0)))

@@ -156,6 +156,15 @@ def severity_counts_query(spark, sf_dir):
     return severity_counts(scan_rules(chunk_table(spark, sf_dir), RULES))
 
 
+@query(
+    "severity_counts_every_document",
+    _HITS + " select d.doc_id, count(*) filter (where severity = 'high')::bigint as high, count(*) filter (where severity = 'medium')::bigint as medium, count(*) filter (where severity = 'low')::bigint as low from documents d left join hits h using (doc_id) group by 1",
+)
+def severity_counts_every_document(spark, sf_dir):
+    """Documents without a finding have a row of zeros."""
+    return severity_counts(scan_rules(chunk_table(spark, sf_dir), RULES), every=docs(spark, sf_dir))
+
+
 _LABELS = _HITS + ", lab as (select c.doc_id, c.chunk_index, c.text, coalesce(min(case severity when 'high' then '0high' when 'medium' then '1medium' when 'low' then '2low' end), '3none')[2:] as label from chunks c left join hits h using (doc_id, chunk_index) group by 1, 2, 3)"
 
 

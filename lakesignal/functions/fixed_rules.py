@@ -196,3 +196,22 @@ OVERVIEW_FIELDS = (
 # Answer texts.
 UNGROUNDED_ANSWER = "I couldn't find a specific part of the document that supports a citeable answer to this question."
 PARSE_ERROR_ANSWER = "Sorry, I couldn't produce a valid grounded answer for this question."
+
+# What each caller answers without context, without a valid citation, and for unusable output.
+ANSWER_TEXTS = {
+    "chat": {
+        "no_context": "This document has no indexed content to search, so I can't answer that.",
+        "ungrounded": "I couldn't find a specific part of the document that supports a citeable answer to this question.",
+        "parse_error": "Sorry, I couldn't produce a valid grounded answer for this question.",
+    },
+    "scenario": {
+        "no_context": "This document has no indexed content to search, so I can't analyze that scenario.",
+        "ungrounded": "I couldn't find a specific part of the document that governs this scenario.",
+        "parse_error": "Sorry, I couldn't produce a valid grounded analysis for this scenario.",
+    },
+    "cross_document": {
+        "no_context": "None of the selected documents have indexed content to search, so I can't answer that.",
+        "ungrounded": "I couldn't find a specific part of the selected documents that supports a citeable answer to this question.",
+        "parse_error": "Sorry, I couldn't produce a valid grounded answer for this question.",
+    },
+}

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesignal.functions.fixed_rules import OBLIGATION_CATEGORIES, OVERVIEW_FIELDS, OVERVIEW_STATUSES, PARSE_ERROR_ANSWER, UNGROUNDED_ANSWER
+from lakesignal.functions.fixed_rules import ANSWER_TEXTS, OBLIGATION_CATEGORIES, OVERVIEW_FIELDS, OVERVIEW_STATUSES
 from lakesignal.functions.text import normalize, strip
 from lakesignal.operators.grounding import ground_quotes
 
@@ -58,13 +58,19 @@ def items(data: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(data, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
-def parse_answers(outputs: DataFrame, n_hits: str = "n_hits", raw: str = "raw", accept_text_numbers: bool = False) -> DataFrame:
+def parse_answers(
+    outputs: DataFrame, n_hits: str = "n_hits", raw: str = "raw", accept_text_numbers: bool = False, caller: str = "chat", need_context: bool = False
+) -> DataFrame:
     """Add answer, grounded, cited (valid 1-based excerpt numbers in order), citations_requested, parse_error.
 
     Grounded means at least one valid citation, whatever the model claimed.  A
     claim without any becomes a refusal with a fixed text.  Booleans are never
     numbers; ``accept_text_numbers`` also takes numbers written as strings.
+    ``caller`` picks the fixed texts (chat, scenario, cross_document).  With
+    ``need_context`` a question without any hit gets the no-context answer,
+    whatever the output says: such a question is never put to the model.
     """
+    texts = ANSWER_TEXTS[caller]
     parsed = with_parsed(outputs, raw)
     asked = items(F.col("data"), "$.cited_excerpts")
 
@@ -84,9 +90,18 @@ def parse_answers(outputs: DataFrame, n_hits: str = "n_hits", raw: str = "raw",
     out = parsed.withColumns(
         {
             "grounded": grounded,
-            "answer": F.when(F.col("parse_error"), PARSE_ERROR_ANSWER).when(F.col("_claims") & ~grounded, UNGROUNDED_ANSWER).otherwise(answer),
+            "answer": F.when(F.col("parse_error"), texts["parse_error"]).when(F.col("_claims") & ~grounded, texts["ungrounded"]).otherwise(answer),
         }
     )
+    if need_context:
+        bare = F.col(n_hits) == 0
+        out = out.withColumns(
+            {
+                "answer": F.when(bare, texts["no_context"]).otherwise(F.col("answer")),
+                "citations_requested": F.when(bare, 0).otherwise(F.col("citations_requested")),
+                "parse_error": ~bare & F.col("parse_error"),
+            }
+        )
     return out.drop("data", "_numbers", "_claims")
 
 

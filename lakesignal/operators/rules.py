@@ -87,8 +87,12 @@ def _factors(text: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
-def severity_counts(findings: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    return findings.groupBy(*keys).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+def severity_counts(findings: DataFrame, keys: Sequence[str] = ("doc_id",), every: DataFrame | None = None) -> DataFrame:
+    """Findings per severity; with ``every`` (a table of the keys) also zero rows for those without a finding."""
+    counts = findings.groupBy(*keys).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+    if every is None:
+        return counts
+    return every.select(*keys).distinct().join(counts, list(keys), "left").fillna(0, list(SEVERITIES))
 
 
 def clause_labels(chunks: DataFrame, findings: DataFrame) -> DataFrame:

@@ -116,7 +116,13 @@ def verify_claims_lexical(claims: DataFrame, evidence: DataFrame, keys: Sequence
     ).drop("_f")
 
 
-def grounding_scores(verified: DataFrame, keys: Sequence[str] = ("trace_id",)) -> DataFrame:
-    """Mean support of an answer's claims: 1 supported, 0.5 partial, 0 unsupported."""
+def grounding_scores(verified: DataFrame, keys: Sequence[str] = ("trace_id",), every: DataFrame | None = None) -> DataFrame:
+    """Mean support of an answer's claims: 1 supported, 0.5 partial, 0 unsupported.
+
+    With ``every`` (a table of the keys) an answer without claims has a row with a null score and no claims.
+    """
     weight = F.when(F.col("status") == "supported", 1.0).when(F.col("status") == "partial", 0.5).otherwise(0.0)
-    return verified.groupBy(*keys).agg(F.avg(weight).alias("grounding_score"), F.count(F.lit(1)).alias("n_claims"))
+    scores = verified.groupBy(*keys).agg(F.avg(weight).alias("grounding_score"), F.count(F.lit(1)).alias("n_claims"))
+    if every is None:
+        return scores
+    return every.select(*keys).distinct().join(scores, list(keys), "left").fillna(0, ["n_claims"])
