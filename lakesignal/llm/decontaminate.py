@@ -44,10 +44,11 @@ def _window_hashes(codes: Column, mask: str, seed: int) -> Column:
 def window_table(texts: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
     """(key, hash, at): the windows of each text through each of the masks, which are equally wide."""
     step = texts.select(key, F.transform(words(F.col("_text")), lambda w: F.hash(w)).alias("_codes"))
-    step = step.withColumn("_n", F.size("_codes") - len(masks[0]) + 1).where("_n > 0")
     every = F.concat(*[_window_hashes(F.col("_codes"), m, i + 100 * len(m)) for i, m in enumerate(masks)])
-    step = step.select(key, "_n", every.alias("_hashes"))
-    return step.select(key, "_n", F.posexplode("_hashes").alias("_p", "hash")).select(key, "hash", (F.col("_p") % F.col("_n")).alias("at"))
+    step = step.select(key, (F.size("_codes") - len(masks[0]) + 1).alias("_n"), every.alias("_hashes"))
+    # The outer form: for the plain one Spark adds a filter on the array's size, which would build every array twice.
+    out = step.select(key, "_n", F.posexplode_outer("_hashes").alias("_p", "hash")).where("hash is not null")
+    return out.select(key, "hash", (F.col("_p") % F.col("_n")).alias("at"))
 
 
 def _best_stretch(equal: Column, cost: int) -> Column:
