@@ -48,6 +48,7 @@ def collapse_sql(x):
     return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 
 
+# The boundary and duration patterns, as in the library.
 def boundary_sql(x):
     t = strip_sql(x)
     return f"({t} <> '' and (regexp_matches({t}, '{_P1}') or regexp_matches({t}, '{_P2}') or regexp_matches({t}, '{_P3}') or regexp_matches({t}, '{_P4}')))"

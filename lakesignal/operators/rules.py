@@ -159,6 +159,7 @@ def compare_documents(pairs: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def impact_text(in_a: Column, in_b: Column, affects: Column) -> Column:
+    # The sentences below.
     def only(here: str, there: str) -> Column:
         return F.concat(
             F.lit(f"Present in Document {here} only, absent from Document {there} -- this specific risk to "),

@@ -1,4 +1,7 @@
-"""Which subsystem moved: per run from its signals, and per request trace."""
+"""Which subsystem moved: per run from its signals, and per request trace.
+
+The reasoning texts and messages in this module are fixed values.
+"""
 
 from __future__ import annotations
 

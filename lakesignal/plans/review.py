@@ -38,6 +38,7 @@ def extraction_quality(pages: DataFrame, keys: Sequence[str] = ("doc_id",)) -> D
         F.count(F.lit(1)).alias("total_pages"), F.count_if("used_ocr").alias("ocr_page_count"), F.count_if("flagged_low_text").alias("low_text_page_count")
     )
     ocr, low = F.col("ocr_page_count"), F.col("low_text_page_count")
+    # The sentences of the status line.
     parts = F.concat_ws(
         "; ",
         F.when(ocr > 0, F.format_string("%d of %d page(s) required OCR (no native text layer)", ocr, F.col("total_pages"))),
@@ -79,6 +80,7 @@ def review_items(findings: DataFrame, conflicts: DataFrame, gaps: DataFrame) ->
         F.col("label").alias("title"),
         F.col("explanation").alias("detail"),
     )
+    # Fixed values from here on: the sentences of titles and details.
     values = F.array_join(F.transform("values_days", lambda v: F.concat(v.cast("string"), F.lit(" days"))), ", ")
     conflict = conflicts.select(
         "doc_id",
