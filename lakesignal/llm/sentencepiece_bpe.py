@@ -22,14 +22,16 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 BLANK = "▁"
-#: Words and pairs of pieces remembered per worker, each some 250 bytes.
+#: Words in each of two generations, and pairs of pieces and prefixes, remembered per worker; an entry takes some 200 bytes.
 CACHE, PAIRS = 400_000, 600_000
 
 
@@ -50,7 +52,14 @@ class Pieces:
         self.longest = max(map(len, self.id))
         self.endings = {p[i:] for p in self.id for i in range(len(p))}
         self.compatible_pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.prefixes: dict[str, str] = {}
+        # Ids of words as the bytes of 32-bit integers.  A full generation becomes the old one, so frequent words stay.
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        # What a piece adds to a text; a byte of ASCII is a character of its own.
+        self.shown = [chr(self.bytes[i]) if i in self.bytes and self.bytes[i] < 128 else p.replace(BLANK, " ") for i, p in enumerate(self.text)]
+        self.shown[0] = self.shown[1] = self.shown[2] = ""  # unknown, begin and end carry no text
+        self.part_bytes = {i for i, b in self.bytes.items() if b >= 128}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE of a short string: merge the best neighbours, leftmost first, until none is in the vocabulary."""
@@ -136,39 +145,92 @@ def ids_of(pieces: Pieces, parts: list[str]) -> list[int]:
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]*")
 
 
-def encode_text(pieces: Pieces, text: str) -> list[int]:
+def last_piece(pieces: Pieces, prefix: str) -> str:
+    """The backpointer at the end of a short prefix: the piece that ends its encoding.
+
+    The same choice as in ``segments``, made only for the boundaries that it asks for and remembered for other words.
+    """
+    held = pieces.prefixes
+    known = held.get(prefix)
+    if known is not None:
+        return known
+    options, size = [], len(prefix)
+    for length in range(1, size + 1):
+        piece = prefix[size - length :]
+        if piece not in pieces.endings:
+            break
+        if piece in pieces.id:
+            options.append(piece)
+    chosen = prefix[-1]
+    for piece in reversed(options):
+        rest = prefix[: size - len(piece)]
+        before = last_piece(pieces, rest) if rest else ""
+        fit = pieces.compatible_pairs.get((before, piece))
+        if fit if fit is not None else pieces.compatible(before, piece):
+            chosen = piece
+            break
+    if len(held) >= PAIRS:
+        held.clear()
+    held[prefix] = chosen
+    return chosen
+
+
+def word_ids(pieces: Pieces, word: str) -> bytes:
+    """Ids of one word, found in the cache or by the search."""
+    found = pieces.old_words.get(word)
+    if found is None:
+        if len(word) <= 64:
+            parts, rest = [], word
+            while rest:
+                parts.append(last_piece(pieces, rest))
+                rest = rest[: len(rest) - len(parts[-1])]
+            parts.reverse()
+        else:
+            parts = [p for run in segments(pieces, word) for p in run]
+        found = np.array(ids_of(pieces, parts), np.int32).tobytes()
+    if len(word) <= 64:
+        if len(pieces.words) >= CACHE:
+            pieces.old_words, pieces.words = pieces.words, {}
+        pieces.words[word] = found
+    return found
+
+
+def encode_bytes(pieces: Pieces, text: str) -> bytes:
+    """Ids of a text as the bytes of 32-bit integers."""
     if not text:
-        return []
-    out: list[int] = []
+        return b""
     words = pieces.words
+    out = []
     for word in _WORD.findall(BLANK + text.replace(" ", BLANK)):
         ids = words.get(word)
         if ids is None:
-            ids = tuple(i for run in segments(pieces, word) for i in ids_of(pieces, run))
-            if len(word) <= 64:
-                if len(words) >= CACHE:
-                    words.clear()
-                words[word] = ids
-        out += ids
-    return out
+            ids = word_ids(pieces, word)
+            words = pieces.words
+        out.append(ids)
+    return b"".join(out)
+
+
+def encode_text(pieces: Pieces, text: str) -> list[int]:
+    return np.frombuffer(encode_bytes(pieces, text), np.int32).tolist()
 
 
 def decode_ids(pieces: Pieces, ids) -> str:
-    out: list[str] = []
-    pending = bytearray()
-    for i in ids:
-        if i in pieces.bytes:
-            pending.append(pieces.bytes[i])
-            continue
-        if pending:
-            out.append(pending.decode("utf-8", "replace"))
-            pending.clear()
-        if i in (0, 1, 2):  # unknown, begin and end carry no text
-            continue
-        out.append(pieces.text[i])
-    out.append(pending.decode("utf-8", "replace"))
-    whole = "".join(out)
-    return whole[whole.startswith(BLANK) :].replace(BLANK, " ")
+    shown = pieces.shown
+    if pieces.part_bytes.isdisjoint(ids):
+        whole = "".join([shown[i] for i in ids])
+    else:
+        out: list[str] = []
+        pending = bytearray()
+        for i in ids:
+            if i in pieces.part_bytes:
+                pending.append(pieces.bytes[i])
+                continue
+            if pending:
+                out.append(pending.decode("utf-8", "replace"))
+                pending.clear()
+            out.append(shown[i])
+        whole = "".join(out) + pending.decode("utf-8", "replace")
+    return whole[whole.startswith(" ") :]
 
 
 @lru_cache(maxsize=2)
@@ -181,20 +243,21 @@ def with_ids(docs: DataFrame, path: str = MODEL, text: str = "text", ids: str =
     others = [c for c in docs.columns if c != text]
     schema = T.StructType([*[docs.schema[c] for c in others], T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(same, T.BooleanType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load_pieces(path)
-        for batch in batches:
+        for whole in batches:
             # Small slices: the ids of a batch of long texts take more room than the texts.
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                texts = ["" if t is None else t for t in part[text]]
-                found = [encode_text(pieces, t) for t in texts]
-                out = part[others].copy()
-                out[ids] = found
-                out[same] = [decode_ids(pieces, f) == t.replace(BLANK, " ") for f, t in zip(found, texts)]
-                yield out
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                texts = [t or "" for t in batch.column(len(others)).to_pylist()]
+                found = [encode_bytes(pieces, t) for t in texts]
+                flat = pa.array(np.frombuffer(b"".join(found), np.int32))
+                ends = np.cumsum([0, *(len(f) // 4 for f in found)]).astype(np.int32)
+                good = [decode_ids(pieces, np.frombuffer(f, np.int32).tolist()) == t.replace(BLANK, " ") for f, t in zip(found, texts)]
+                columns = [*(batch.column(i) for i in range(len(others))), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(good, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*others, ids, same])
 
-    return docs.select(*others, text).mapInPandas(run, schema)
+    return docs.select(*others, text).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str = MODEL, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -206,7 +269,7 @@ def decode(encoded: DataFrame, path: str = MODEL, ids: str = "ids", text: str =
         pieces = load_pieces(path)
         for batch in batches:
             out = batch[others].copy()
-            out[text] = [None if i is None else decode_ids(pieces, i) for i in batch[ids]]
+            out[text] = [None if i is None else decode_ids(pieces, list(i)) for i in batch[ids]]
             yield out
 
     return encoded.select(*others, ids).mapInPandas(run, schema)
