@@ -244,6 +244,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _hub_edges(large: DataFrame) -> DataFrame:
+    """(a, b): edges that connect the nodes of each signature, few per node.
+
+    The smallest node of a signature is its head.  A node is tied to the smallest of its heads, and that one to the
+    others; the same few heads meet again and again, so there are hardly more edges than nodes.
+    """
+    heads = large.groupBy("sig").agg(F.min("node").alias("head"))
+    tied = pinned(large.join(heads, "sig").select("node", "head").distinct())
+    first = tied.groupBy("node").agg(F.min("head").alias("a"))
+    between = tied.join(first, "node").select("a", F.col("head").alias("b")).distinct().where("a <> b")
+    return first.select("a", F.col("node").alias("b")).unionByName(between)
+
+
 def _links_in_blocks(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Verified links between two blocks (or inside one): for each node a linked one to join it with, and its number of links."""
     first = group["block"].to_numpy() == group["bi"].iloc[0]
@@ -301,8 +314,7 @@ def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     shared = shared_signatures(texts, size, percent, salt)
 
     large = shared.where(F.col("m") > SMALL)
-    heads = large.groupBy("sig").agg(F.min("node").alias("a"))
-    clusters = pinned(components(large.join(heads, "sig").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("label", "cluster"))
+    clusters = pinned(components(_hub_edges(large)).withColumnRenamed("label", "cluster"))
     small = shared.where(F.col("m") <= SMALL).select("sig", "node")
     pairs = small.select("sig", F.col("node").alias("a")).join(small.select("sig", F.col("node").alias("b")), "sig").where("a < b").select("a", "b").distinct()
     # Pairs inside one cluster are verified there.
