@@ -8,8 +8,8 @@ that group but the one that differs.
 
 1. Equal sets are one node.  Signatures are shuffled as (signature, node); only shared ones stay.
 2. Up to SMALL nodes with one signature are paired and verified once.
-3. Nodes with larger signature groups form dense clusters.  Those are cut into blocks by hash, and each pair of blocks is
-   verified in one task by bit sets, which returns one row per node, not one per pair.
+3. Nodes with larger signature groups form dense clusters.  Those are cut by size class and into blocks by hash, and
+   each pair of blocks is verified in one task by bit sets, which returns one row per node, not one per pair.
 4. Components of the links get the smallest doc_id.
 
 Nothing is capped: every pair that shares a signature is verified, so no link is lost.  Hot groups: copies collapse to a
@@ -24,6 +24,7 @@ repeated rows are in one component; an empty table gives an empty result; ``keep
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -262,6 +263,7 @@ def _links_in_blocks(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     first = group["block"].to_numpy() == group["bi"].iloc[0]
     sets = [np.asarray(s, np.int64) for s in group["set"]]
     inside = bool((group["bi"] == group["bj"]).iloc[0])
+    low = group["own"].to_numpy() == group["level"].iloc[0]
     sizes = np.array([len(s) for s in sets], np.int64)
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(counts > 1) - 1
@@ -292,6 +294,8 @@ def _links_in_blocks(group: pd.DataFrame, percent: int) -> pd.DataFrame:
             rest = others
         else:
             continue
+        if not low[i]:
+            rest = rest[low[rest]]  # two sets of the upper class meet in their own level
         rest = rest[(percent * np.maximum(sizes[rest], sizes[i])) <= 100 * np.minimum(sizes[rest], sizes[i])]
         if not len(rest):
             continue
@@ -342,12 +346,15 @@ def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     held = held.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
     linked = pinned(held.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
 
-    weight = clusters.join(sizes, "node").groupBy("cluster").agg(F.count(F.lit(1)).alias("s"), F.sum("n").alias("e"))
-    blocks = weight.select("cluster", F.greatest(F.ceil(F.col("s") / BLOCK_SETS), F.ceil(F.col("e") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    placed = clusters.join(blocks, "cluster").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    # Linked sets are in one size class or in neighbouring ones: a level holds one class and the next larger.
+    own = F.floor(F.log("n") / math.log(102 / percent)).cast("int")
+    level = clusters.join(sizes, "node").withColumn("own", own).withColumn("level", F.explode(F.array("own", F.col("own") - 1)))
+    weight = level.groupBy("cluster", "level").agg(F.count(F.lit(1)).alias("s"), F.sum("n").alias("e"), F.bool_or(F.col("own") == F.col("level")).alias("low"))
+    blocks = weight.where("low").select("cluster", "level", F.greatest(F.ceil(F.col("s") / BLOCK_SETS), F.ceil(F.col("e") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    placed = level.join(blocks, ["cluster", "level"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")).join(sets, "node")
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "set")
-    dense = pinned(spread.groupBy("cluster", "bi", "bj").applyInPandas(lambda g: _links_in_blocks(g, percent), "a long, b long, links long"))
+    spread = spread.select("cluster", "level", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "own", "block", "node", "set")
+    dense = pinned(spread.groupBy("cluster", "level", "bi", "bj").applyInPandas(lambda g: _links_in_blocks(g, percent), "a long, b long, links long"))
 
     edges = linked.unionByName(dense.where("a <> b").select("a", "b"))
     counts = linked.select(F.col("a").alias("node"), F.lit(1).cast("long").alias("links")).unionByName(linked.select(F.col("b").alias("node"), F.lit(1).cast("long").alias("links")))

@@ -78,6 +78,17 @@ def test_join_equals_brute_force(spark, size, percent):
     assert {i: got[i].n_links for i in sets} == links
 
 
+def test_clusters_in_many_blocks_equal_brute_force(spark, monkeypatch):
+    """Every shared signature forms a cluster, cut into tiny blocks over several size classes."""
+    monkeypatch.setattr(ngram_join, "SMALL", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 25)
+    rows = corpus(11)
+    got = {r.doc_id: r for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), size=5, percent=80).collect()}
+    sets = plain_sets(rows, 5)
+    roots, links = plain_components(sets, 80)
+    assert {i: got[i].component_id for i in sets} == roots and {i: got[i].n_links for i in sets} == links
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(5)
     for percent in (80, 85, 95):
