@@ -362,31 +362,38 @@ def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     return keys, edges, counts
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links, _key): one row per document; links are to other sets, so copies count once."""
+def _labelled(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+    """The rows of ``classes`` and ``_label``, the smallest node of the component; null for texts without words."""
     keys, edges, counts = set_links(docs, doc_id, text, size, percent)
     some = keys.where("n > 0").groupBy("node").agg(F.min("_doc").alias("least"))
     labelled = some.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    table = labelled.select("node", "label").join(least, "label").join(counts, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    table = labelled.select("node", "label").join(least, "label").join(counts, "node", "left").select("node", "label", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     full = salted_lookup(keys.where("n > 0"), pinned(table), ["node"], 16)
-    cols = [F.col("_doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_links", "_key"]
-    empty = keys.where("n = 0").withColumn("component_id", F.col("_doc")).withColumn("n_links", F.lit(0).cast("long"))
+    cols = [F.col("_doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_links", "_key", F.col("label").alias("_label")]
+    empty = keys.where("n = 0").withColumn("component_id", F.col("_doc")).withColumn("n_links", F.lit(0).cast("long")).withColumn("label", F.lit(None).cast("long"))
     return full.select(*cols).unionByName(empty.select(*cols))
 
 
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, _key): one row per document; links are to other sets, so copies count once."""
+    return _labelled(docs, doc_id, text, size, percent).drop("_label")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest doc_id; all columns are kept.
+    """``docs`` with one row of each component, the one with the smallest doc_id; null ids come last.  All columns are kept.
 
-    Texts without words are kept.  Of repeated rows of that doc_id the one with the smallest text digest stays, once.
+    Texts without words are kept.  Of a component's rows with that doc_id the one with the smallest text digest stays,
+    once; rows of one doc_id in several components, null ids too, stay once in each.
     """
-    key, order, first = fresh_names(docs.columns, "_key", "_order", "_first")
-    found = classes(docs, doc_id, text, size, percent).where("n_shingles > 0")
-    stay = pinned(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("_key").alias(key)))
+    key, first, digest = fresh_names(docs.columns, "_key", "_first", "_digest")
+    found = _labelled(docs, doc_id, text, size, percent).where("n_shingles > 0")
+    chosen = found.groupBy("_label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_key")).alias("c"))
+    stay = pinned(chosen.select(F.col("c.doc_id").alias(first), F.col("c._key").alias(digest)))
     rows = docs.withColumn(key, F.md5(text_or_empty(text)))
     bare = F.trim(text_or_empty(text), F.lit(" \t\n\x0b\x0c\r")) == ""
-    named = rows.where(~bare).withColumn(first, F.col(doc_id))
-    stay = stay.withColumnRenamed("doc_id", first)
-    kept = named.join(bounded_broadcast(stay, stay.count()), [first, key], "left_semi")
+    # A text is in one component, so a row meets one chosen pair at most.
+    few = bounded_broadcast(stay, stay.count())
+    kept = rows.where(~bare).join(few, F.col(doc_id).eqNullSafe(F.col(first)) & (F.col(key) == F.col(digest)), "left_semi")
     kept = kept.dropDuplicates([doc_id, key])
     return kept.select(*docs.columns).unionByName(rows.where(bare).select(*docs.columns))

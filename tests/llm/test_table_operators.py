@@ -114,6 +114,15 @@ def test_join_odd_tables(spark):
     assert ngram_join.classes(docs.limit(0)).count() == 0 and ngram_join.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_unlinked_rows(spark):
+    """A lone null id, unrelated null ids, null copies, and one id with unrelated texts."""
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k l"), (5, "m n o p q r"), (5, "s t u v w x"), (5, "S t u v w x"), (6, "s t u v w x"), (None, "m n o p q r"), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text.lower()) for r in ngram_join.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "a b c d e f"), (None, "g h i j k l"), (5, "m n o p q r"), (5, "s t u v w x"), (None, " ")], key=str)
+    assert ngram_join.keep_one(docs.where("doc_id is null")).count() == 4
+
+
 def test_components_of_a_long_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in ngram_join.components(path).collect()}
