@@ -4,29 +4,68 @@ Every window of a text is hashed through fixed masks that ignore some of its wor
 after words at ignored positions were replaced.  Window hashes of the benchmark are joined with those of the documents;
 each hit names a document, an item and their offset.  Around every hit the two word sequences are laid over each other
 at that offset and compared word by word: equal words earn one point, replaced ones cost ``cost``; the best stretch must
-reach ``least`` points, or ``share`` of a shorter item.
+reach ``least`` points, or ``share`` of a shorter item.  The masks are proved to hit each stretch that is accepted: for
+the words and points in question, ``missed`` searches all patterns of equal and replaced words for one without a hit,
+and ``masks_for`` takes the first masks for which there is none.
 
 Windows of documents meet the benchmark's hashes in the tasks that read them when the counted hashes are within a
 limit, and by a shuffled join on the hash beyond it.  Texts are looked at again only for documents with a hit.  Copies
 of a text are one row from the first aggregation on.
 
 Defined cases: case, punctuation and white space do not count; a null or empty text or item has no word and no overlap;
-an item with fewer words than a mask is wide is looked up by all its words in a row; items below ``fewest`` words are
+items below ``fewest`` words are
 never found; repeated documents and items are each reported once per distinct (doc_id, item_id), null ids included;
 empty tables give an empty result; ``drop_contaminated`` keeps every column of the documents it keeps.
 """
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesignal.llm.common import bounded_broadcast, fresh_names, text_or_empty
 from lakesignal.scale import pinned
 
-# The masks; 1 is a word that counts, 0 one that is ignored.
-MASKS = ("11101011011", "10111101011")
-WIDTH = 11
+# The masks; 1 is a word that counts, 0 one that is ignored.  The runs serve short items and other costs.
+MASKS = ("101111", "10111001")
+RUNS = ("11111", "1111", "111", "11", "1")
+
+
+def missed(masks: tuple[str, ...], points: int, cost: int, longest: int | None = None) -> str | None:
+    """The shortest pattern of equal (1) and replaced (0) words with ``points`` that no mask hits; None if there is none.
+
+    All patterns of up to ``longest`` words are searched.  What a mask sees of one are its last words and its score; a
+    score of zero or less is worth no more than a fresh start.
+    """
+    full = (1 << max(map(len, masks))) - 1
+    bits = [int(m, 2) for m in masks]
+    before, todo = {(0, 0): ("", 0)}, deque([(0, 0)])
+    while todo:
+        state = todo.popleft()
+        pattern, n = before[state]
+        if longest is not None and n >= longest:
+            return None
+        for same in (1, 0):
+            seen, score = (state[0] << 1 | same) & full, state[1] + (1 if same else -cost)
+            if score <= 0 or any(seen & m == m for m in bits):
+                continue
+            if score >= points:
+                return f"{pattern}{same}"
+            after = (seen & full >> 1, score)
+            if after not in before:
+                before[after] = (f"{pattern}{same}", n + 1)
+                todo.append(after)
+    return None
+
+
+@lru_cache(maxsize=256)
+def masks_for(points: int, cost: int, longest: int | None = None) -> tuple[str, ...]:
+    """Masks of which one hits any stretch with ``points``."""
+    return next(m for m in (MASKS, *[(run,) for run in RUNS]) if missed(m, max(points, 1), cost, longest) is None)
 
 
 def words(text: Column) -> Column:
@@ -42,13 +81,17 @@ def _window_hashes(codes: Column, mask: str, seed: int) -> Column:
 
 
 def window_table(texts: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
-    """(key, hash, at): the windows of each text through each of the masks, which are equally wide."""
+    """(key, hash, at): the windows of each text through each of the masks."""
     step = texts.select(key, F.transform(words(F.col("_text")), lambda w: F.hash(w)).alias("_codes"))
     every = F.concat(*[_window_hashes(F.col("_codes"), m, i + 100 * len(m)) for i, m in enumerate(masks)])
-    step = step.select(key, (F.size("_codes") - len(masks[0]) + 1).alias("_n"), every.alias("_hashes"))
+    step = step.select(key, F.size("_codes").alias("_n"), every.alias("_hashes"))
     # The outer form: for the plain one Spark adds a filter on the array's size, which would build every array twice.
     out = step.select(key, "_n", F.posexplode_outer("_hashes").alias("_p", "hash")).where("hash is not null")
-    return out.select(key, "hash", (F.col("_p") % F.col("_n")).alias("at"))
+    at, first = F.col("_p"), F.lit(0)
+    for m in masks[:-1]:  # the windows of a mask follow those of the masks before it
+        first = first + F.greatest(F.col("_n") - len(m) + 1, F.lit(0))
+        at = F.when(F.col("_p") >= first, F.col("_p") - first).otherwise(at)
+    return out.select(key, "hash", at.alias("at"))
 
 
 def _best_stretch(equal: Column, cost: int) -> Column:
@@ -78,12 +121,17 @@ def overlaps(
     tests = items.select(F.col(item_id).alias("item_id"), text_or_empty(item_text).alias("_text"))
     tests = pinned(tests.withColumn("_words", words(F.col("_text"))).where(F.size("_words") >= fewest))
     tests = tests.withColumn("_item", F.md5("_text"))
-    short = [r[0] for r in tests.where(F.size("_words") < WIDTH).select(F.size("_words")).distinct().collect()]  # at most WIDTH numbers
+    # Below this many words an item needs fewer points; at most so many numbers are collected.
+    n = F.size("_words")
+    short = [r[0] for r in tests.where(F.ceil(n * share) < least).select(n).distinct().collect()]
+    lengths: dict[tuple[str, ...], list[int | None]] = {masks_for(least, cost): [None]}
+    for k in sorted(short):
+        lengths.setdefault(masks_for(math.ceil(k * share), cost, k), []).append(k)
 
     hits = None
-    for masks in [MASKS, *[("1" * n,) for n in sorted(short)]]:
-        width = len(masks[0])
-        own = tests if width == WIDTH else tests.where(F.size("_words") == width)
+    for masks, those in lengths.items():
+        wanted = n.isin([k for k in those if k is not None])
+        own = tests.where(wanted | (F.ceil(n * share) >= least) if None in those else wanted)
         # Each window of a distinct item once.
         table = pinned(window_table(own.dropDuplicates(["_item"]), "_item", masks).distinct().withColumnRenamed("at", "item_at"))
         table = bounded_broadcast(table, table.count(), broadcast_rows)

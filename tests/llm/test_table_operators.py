@@ -155,6 +155,53 @@ def test_substitution_tolerant_overlaps(spark):
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0
 
 
+def stretch(bits, cost=2):
+    """(points, the slice) of the best stretch."""
+    best = (0, "")
+    for i in range(len(bits)):
+        run = 0
+        for j in range(i, len(bits)):
+            run += 1 if bits[j] == "1" else -cost
+            best = max(best, (run, bits[i : j + 1]), key=lambda b: b[0])
+    return best
+
+
+def hit(masks, bits):
+    return any(all(b == "0" or bits[i + k] == "1" for k, b in enumerate(m)) for m in masks for i in range(len(bits) - len(m) + 1))
+
+
+def test_masks_hit_every_accepted_pattern():
+    """Every pattern of short items by enumeration; longer ones by the search, which is itself compared with enumeration."""
+    for n in range(4, 17):
+        points = min(13, -(-8 * n // 10))
+        masks = decontaminate.masks_for(points, 2, n)
+        for x in range(2**n):
+            bits = f"{x:0{n}b}"
+            if bits.count("1") >= points and stretch(bits)[0] >= points:
+                assert hit(masks, bits), bits
+    assert decontaminate.masks_for(13, 2) == decontaminate.MASKS and decontaminate.missed(decontaminate.MASKS, 13, 2) is None
+    for masks in (("11101011011", "10111101011"), ("11111",)):
+        gap = decontaminate.missed(masks, 13, 2)
+        assert stretch(gap)[0] >= 13 and not hit(masks, gap)
+    rng = random.Random(2)
+    for _ in range(3000):
+        bits = "".join("0" if rng.random() < rng.choice((0.2, 0.25, 0.3)) else "1" for _ in range(rng.randint(16, 90)))
+        assert stretch(bits)[0] < 13 or hit(decontaminate.MASKS, bits), bits
+    for cost in (0, 1, 3):
+        assert decontaminate.missed(decontaminate.masks_for(13, cost), 13, cost) is None
+
+
+def test_hard_overlaps_are_found(spark):
+    """Replaced words that no pair of wide masks gets past."""
+    cases = [(43, range(3, 43, 4)), (120, range(3, 120, 4)), (20, (8, 9)), (30, (6, 7, 18, 19)), (11, (0,)), (11, (10,)), (12, (0, 1)), (7, (6,)), (5, (0,)), (9, (0,)), (15, (7,)), (15, (0, 1, 2))]
+    items = [(i, " ".join(f"i{i}x{k}" for k in range(n))) for i, (n, _) in enumerate(cases)]
+    docs = [(i, " ".join(w if k not in set(cases[i][1]) else "zz" for k, w in enumerate(t.split()))) for i, t in items]
+    docs += [(100, "q " * 30 + docs[0][1] + " q" * 30), (101, " ".join(items[8][1].split()[:2])), (102, " ".join(items[2][1].split()[:12]))]
+    found = decontaminate.contaminated(*[spark.createDataFrame(t, f"{k} long, text string") for t, k in ((docs, "doc_id"), (items, "item_id"))]).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(len(cases))} | {(100, 0)}
+    assert next(r for r in found if r.doc_id == 100).doc_begin == 30
+
+
 def test_contained_passages_are_found(spark):
     sf = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
