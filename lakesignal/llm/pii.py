@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction, with column functions and joins only.
 
 1. Four base patterns (email, ip, card, phone) give seed entities with exact checks.
-2. Every other token with a digit or an at sign is a candidate.  Seeds and candidates are *instances*; the two words on
-   the left, the two on the right, or one on each side, together with the shape of the value, are its *patterns*.
+2. Every other token with a digit or an at sign is a candidate, and so is a run of neighbouring tokens of digits and
+   number punctuation.  Seeds and candidates are *instances*; the two words on the left, the two on the right, or one on
+   each side, together with the shape of the value, are its *patterns*, and so are two words on each side without it.
 3. Confidence flows over the pattern-instance graph for a fixed number of rounds: a pattern is trusted by the share of
    its distinct instances that are trusted, an instance by the noisy-or of its patterns.
 4. A pattern needs ``support`` trusted instances and ``precision``; instances at or above ``trust`` are found wherever
@@ -36,6 +37,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"  # [0-9]+(\.[0-9]+)(\.[0-9]
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"  # [0-9]([\x20-]?[0-9])+ with 14 digits or more
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = rf"(?<![^{SPACE_CLASS}])[^{SPACE_CLASS}0-9@]*+[0-9@][^{SPACE_CLASS}]*+"
+# Of the tokens of a run each has a digit; no base kind has more than 19.
+RUN = rf"(?<![^{SPACE_CLASS}])[+(]{{0,2}}[0-9][0-9().,:/+-]*+(?:[\x20\t]{{1,2}}[+(]{{0,2}}[0-9][0-9().,:/+-]*+){{1,18}}(?![^{SPACE_CLASS}])"
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
@@ -79,10 +82,10 @@ def base_matches(text: Column) -> dict[str, Column]:
     }
 
 
-def _trimmed_tokens(text: Column) -> Column:
-    """Candidate tokens without the punctuation around them; what is cut goes to the context."""
+def _trimmed(text: Column, pattern: str, gate: Column) -> Column:
+    """Candidates without the punctuation around them; what is cut goes to the context."""
     core = lambda m: F.regexp_extract(m["value"], r"[\p{L}\p{N}+](?:.*[\p{L}\p{N}])?", 0)
-    found = sp.find_all(text, TOKEN, text.rlike("[0-9@]"))
+    found = sp.find_all(text, pattern, gate)
 
     def cut(m: Column) -> Column:
         value = core(m)
@@ -106,13 +109,14 @@ def scan(docs: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
     """
     step = docs.select(*[F.col(c) for c in keep], text_or_empty(text).alias("_text"))
     step = step.withColumns({f"_{kind}": found for kind, found in base_matches(F.col("_text")).items()})
-    step = step.withColumn("_tokens", _trimmed_tokens(F.col("_text")))
+    step = step.withColumn("_tokens", _trimmed(F.col("_text"), TOKEN, F.col("_text").rlike("[0-9@]")))
+    step = step.withColumn("_runs", _trimmed(F.col("_text"), RUN, F.col("_text").rlike("[0-9]")))
     with_kind = lambda name, kind: F.transform(name, lambda m: m.withField("kind", F.lit(kind).cast("string")))
     return step.select(
         *keep,
         F.md5("_text").alias("_key"),
         F.array_sort(F.concat(*[sp.labelled(F.col(f"_{kind}"), i, kind) for i, kind in enumerate(KINDS)])).cast(SPAN).alias("_base"),
-        F.concat(*[with_kind(f"_{kind}", kind) for kind in KINDS], with_kind("_tokens", None)).alias("_seen"),
+        F.concat(*[with_kind(f"_{kind}", kind) for kind in KINDS], with_kind("_tokens", None), with_kind("_runs", None)).alias("_seen"),
     )
 
 
@@ -141,6 +145,8 @@ def occurrences(scanned: DataFrame) -> DataFrame:
         F.concat_ws(" ", F.lit("LR"), at("_l", -1), at("_r", 1), "_s"),
         F.concat_ws(" ", F.lit("RR"), at("_r", 1), at("_r", 2), "_s"),
     )
+    around = F.concat_ws(" ", F.lit("LLRR"), at("_l", -2), at("_l", -1), at("_r", 1), at("_r", 2))
+    forms = F.concat(forms, F.when((F.size("_l") > 0) & (F.size("_r") > 0), F.array(around)).otherwise(F.array().cast("array<string>")))
     return seen.select("_key", "start", "end", "value", "kind", F.explode(forms).alias("pattern"))
 
 
@@ -184,9 +190,11 @@ def added_spans(seen: DataFrame, **how) -> DataFrame:
     found = bootstrap(seen, **how)
     hits = seen.where(F.col("kind").isNull()).select("_key", "start", "end", "value", "pattern").join(found, ["value", "pattern"])
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
-    return hits.groupBy("_key").agg(
-        F.array_sort(F.collect_set(F.struct("start", rank.alias("rank"), "end", "kind"))).cast(SPAN).alias("_added")
-    )  # a set of one text's tokens
+    spans = F.collect_set(F.struct("start", rank.alias("rank"), "end", "kind")).cast(SPAN)  # a set of one text's candidates
+    # A token of a run that is found itself is part of it.
+    inside = lambda s, o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    whole = lambda all_: F.filter(all_, lambda s: ~F.exists(all_, lambda o: inside(s, o)))
+    return hits.groupBy("_key").agg(spans.alias("_found")).select("_key", F.array_sort(whole(F.col("_found"))).cast(SPAN).alias("_added"))
 
 
 def _with_added(scanned: DataFrame, **how) -> DataFrame:

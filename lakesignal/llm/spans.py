@@ -12,15 +12,26 @@ from pyspark.sql import functions as F
 from lakesignal.functions.text import let
 
 MATCH = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
-#: Code points kept on each side of a match, enough for two context words.
+#: Code points by which a context word is told: of a longer one those next to the match.
 CONTEXT = 64
+_GAP = r"[\x20\x09-\x0D]+"
+
+
+def _left_words(text: Column) -> Column:
+    """The end of ``text`` from its third last word on; a blank stands for white space."""
+    near = lambda w: F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), 3)
+    return F.array_join(F.transform(let(F.split(text, _GAP, -1), near), lambda w: F.right(w, F.lit(CONTEXT))), " ")
+
+
+def _right_words(text: Column) -> Column:
+    return F.array_join(F.transform(F.slice(F.split(text, _GAP, -1), 1, 3), lambda w: F.left(w, F.lit(CONTEXT))), " ")
 
 
 def find_all(text: Column, pattern: str, gate: Column | None = None) -> Column:
     """All matches of ``pattern`` as ``MATCH``; an empty array where there are none.
 
-    ``gate``: a cheap condition without which no match is possible.  ``before`` and ``after`` hold up to ``CONTEXT``
-    code points between the match and its neighbours.
+    ``gate``: a cheap condition without which no match is possible.  ``before`` and ``after`` hold the words of the text
+    around the match, other matches among them: two whole ones and what adjoins the match.
     """
 
     def positions(parts: Column) -> Column:
@@ -30,22 +41,28 @@ def find_all(text: Column, pattern: str, gate: Column | None = None) -> Column:
             pieces.alias("before"),
             F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("after"),
         )
-        start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), MATCH).alias("out"))
+        none = F.from_json(F.lit("[]"), MATCH)
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("left"), none.alias("out"))
 
         def step(acc: Column, x: Column) -> Column:
             begin = acc["at"] + F.length(x["before"])
             end = begin + F.length(x["value"])
-            row = F.struct(
-                begin.alias("start"),
-                end.alias("end"),
-                x["value"].alias("value"),
-                F.right(x["before"], F.lit(CONTEXT)).alias("before"),
-                F.left(x["after"], F.lit(CONTEXT)).alias("after"),
-            )
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+            def row(left: Column) -> Column:
+                match = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"), left.alias("before"), x["after"].alias("after"))
+                return F.struct(end.alias("at"), F.concat(left, x["value"]).alias("left"), F.concat(acc["out"], F.array(match)).alias("out"))
+
+            return let(_left_words(F.concat(acc["left"], x["before"])), row)
+
+        def back(acc: Column, m: Column) -> Column:
+            """From the last match to the first, as what follows a match reaches into later ones."""
+            row = lambda right: F.struct(F.concat(m["value"], right).alias("right"), F.concat(acc["out"], F.array(m.withField("after", right))).alias("out"))
+            return let(_right_words(F.concat(m["after"], acc["right"])), row)
 
         matched = F.slice(zipped, 1, F.greatest(F.size(found), F.lit(0)))
-        return F.when(F.size(found) > 0, F.aggregate(matched, start, step, lambda acc: acc["out"])).otherwise(F.from_json(F.lit("[]"), MATCH))
+        forward = F.aggregate(matched, start, step, lambda acc: acc["out"])
+        both = F.aggregate(F.reverse(forward), F.struct(F.lit("").alias("right"), none.alias("out")), back, lambda acc: F.reverse(acc["out"]))
+        return F.when(F.size(found) > 0, both).otherwise(none)
 
     parts = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     out = let(parts, positions)

@@ -83,6 +83,29 @@ def test_pii_bootstrap_adds_values_of_a_trusted_pattern(spark):
     assert rows[10].spans == ""
 
 
+def test_pii_context_is_the_text_around(spark):
+    """Other digit tokens nearby are context words, not its end; long words stay words."""
+    far = "w" * 80
+    texts = [f"user {10 + i} host 10.0.0.{i} port {50 + i} is up" for i in range(8)] + ["user 17 host 999.0.1.7 port 99 is up"]
+    rows = pii.scan(frame(spark, texts), "text", ["doc_id"]).orderBy("doc_id").collect()
+    words = lambda m: (m.before.split()[-2:], m.after.split()[:2])
+    assert [words(m) for m in rows[0]["_seen"] if m.value == "10.0.0.0"] == [(["10", "host"], ["port", "50"])] * 2
+    assert [words(m) for m in rows[8]["_seen"] if m.value == "999.0.1.7"] == [(["17", "host"], ["port", "99"])]
+    found = pii.digest(pii.find(frame(spark, texts))).collect()
+    assert [r.spans for r in found if "ip:13:22" in r.spans] == ["ip:13:22"]
+    (row,) = pii.scan(frame(spark, [f"one two {far} 999.0.1.7 {far} three"]), "text").collect()
+    (seen,) = row["_seen"]
+    assert words(seen) == (["two", far[:64]], [far[:64], "three"])
+
+
+def test_pii_runs_of_number_tokens(spark):
+    """Unseen values of several tokens: one with the shape of the seeds, one of another shape between their words."""
+    seeds = [f"please call +1 (743) 555-38{10 + i} or write soon" for i in range(8)]
+    texts = [*seeds, "please call +1 (743) 5553 or write soon", "please call 743 555 3824 or write soon", "we sold 743 555 3824 of them"]
+    spans = [r.spans for r in pii.digest(pii.find(frame(spark, texts))).orderBy("doc_id").collect()]
+    assert spans == ["phone:12:29"] * 8 + ["phone:12:25", "phone:12:24", ""]
+
+
 def test_pii_mask_keeps_columns(spark):
     docs = frame(spark, ["mail a@b.co or +1 (743) 555-3824!", None, "plain", "mail a@b.co or +1 (743) 555-3824!"])
     out = pii.mask(docs)
