@@ -1,21 +1,22 @@
 """Secrets by assignment-aware lexing.
 
-A small lexer reads ``name = literal``, ``name: literal``, ``name => literal`` and ``name := literal`` from source and
-configuration text.  The right side may join string literals and earlier names with ``+``, and ``${name}`` or a bare
-name refers to an earlier constant, so a value reaches its sensitive name through any number of assignments.  A literal
+A small lexer reads ``name = literal``, ``name: literal``, ``name => literal``, ``name := literal``, ``name: type =
+literal`` and ``table["name"] = literal`` from source and configuration text.  The right side may join string literals and earlier names with ``+``, and ``${name}`` or a bare
+name refers to a constant, the last one above or else the first one below, so a value reaches its sensitive name through any number of assignments.  A literal
 is reported when the name that it finally reaches is sensitive enough and the literal looks like a credential.  Three
 base patterns (assign, access, hex) are always reported; the lexer's findings are added where they overlap none.
 
 Every text is lexed alone in one pass, so the job has no shuffle and a lost task repeats itself exactly.
 
 Defined cases: a null text counts as empty (no span); repeated rows and null doc_ids each get a row; an assignment to a
-name replaces its earlier constant; an empty table gives an empty result; further columns are not read.
+name replaces its earlier constant; constants that refer to each other in a circle stay names; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,9 +37,12 @@ SENSITIVE = {
 }
 PLACEHOLDER = re.compile(r"(?i)x{3,}|\*{3,}|change.?me|example|placeholder|your[_-]|dummy|<.*>|true|false|null|none")
 
-_TARGET = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_][\w.$-]*+)["']?[\x20\t]*+(?::=|=>|=(?![=~>])|:(?![:/]))[\x20\t]*+""", re.ASCII)
+_TYPE = r"""[A-Za-z_][\w.]*+(?:\[[\w.,|\[\]\x20]{0,60}+|<[\w.,|<>\[\]\x20]{0,60}+)?[?!]?(?:\x20?\|\x20?[A-Za-z_][\w.]*+){0,4}"""
+_TARGET = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_][\w.$-]*+)(?:["'](?:[\x20\t]*+\])?)?[\x20\t]*+(?::=|=>|=(?![=~>])|:[\x20\t]*+(%s)[\x20\t]*+=(?![=~>])|:(?![:/]))[\x20\t]*+""" % _TYPE, re.ASCII)
 _TERM = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|\$\{([A-Za-z_][\w.]*+)\}|([A-Za-z_][\w.]*+)(?![\w@/+=-])|([^\s"'#;,{}()\[\]+]++)""", re.ASCII)
 _JOIN = re.compile(r"[\x20\t]*+\+[\x20\t]*+")
+#: What only a random string looks like: such a literal is enough for a name that says little.
+_RANDOM = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9+/_=.-]{20,}")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -54,35 +58,74 @@ def literal_weight(value: str) -> float:
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     mixed = any(c.isdigit() for c in value) + any(c.isalpha() for c in value) + any(not c.isalnum() for c in value)
-    return (1.0 if entropy >= 3 else 0.0) + (0.5 if mixed >= 2 else 0.0) + (0.5 if n >= 16 else 0.0)
+    return (1.0 if entropy >= 3 else 0.0) + (0.5 if mixed >= 2 else 0.0) + (0.5 if n >= 16 else 0.0) + (1.0 if entropy >= 4 and _RANDOM.fullmatch(value) else 0.0)
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, spans of the literals it is made of) in order; constants are already put in."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+def _parsed(text: str) -> list[tuple[str, list[tuple[str | None, str, tuple[int, int] | None]]]]:
+    """(name, terms) of each assignment in order; a term is (name referred to, its own text, its span)."""
+    out = []
     for target in _TARGET.finditer(text):
-        at, value, spans = target.end(), [], []
+        at, terms = target.end(), []
         while term := _TERM.match(text, at):
             at = term.end()
-            ref = term[3] or term[4]
-            if ref is None:
-                group = next(g for g in (1, 2, 5) if term[g] is not None)
-                value.append(term[group])
-                spans.append(term.span(group))
-            elif ref in known:
-                value.append(known[ref][0])
-                spans += known[ref][1]
-            elif term[4]:
-                value.append(ref)
-                spans.append(term.span(4))
+            group = next(g for g in (1, 2, 3, 4, 5) if term[g] is not None)
+            if group == 3:
+                terms.append((term[3], "", None))
+            else:
+                terms.append((term[4], term[group], term.span(group)))
             join = _JOIN.match(text, at)
             if not join:
                 break
             at = join.end()
-        if value:
-            # Only what a name refers to is carried on; a long chain keeps the spans of its literals once.
-            known[target[1]] = ("".join(value), list(dict.fromkeys(spans)))
-            yield target[1], *known[target[1]]
+        if terms:
+            out.append((target[1], terms))
+            if target[2]:  # what stands where a type would may be a name itself
+                out.append((target[2], terms))
+    return out
+
+
+def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+    """(name, value, spans of the literals it is made of) in order; constants are already put in."""
+    parsed = _parsed(text)
+    places: dict[str, list[int]] = {}
+    for i, (name, _) in enumerate(parsed):
+        places.setdefault(name, []).append(i)
+
+    def source(name: str | None, i: int) -> int | None:
+        """The assignment that a reference in the i-th one means."""
+        those = places.get(name, ())
+        above = bisect_left(those, i)
+        if above:
+            return those[above - 1]
+        below = bisect_right(those, i)
+        return those[below] if below < len(those) else None
+
+    done: dict[int, tuple[str, list[tuple[int, int]]] | None] = {}  # None while what it refers to is being read
+    for first in range(len(parsed)):
+        todo = [first]
+        while todo:
+            i = todo[-1]
+            if done.get(i):
+                todo.pop()
+                continue
+            sources = [source(ref, i) for ref, _, _ in parsed[i][1]]
+            if i not in done:
+                done[i] = None
+                todo += [j for j in sources if j is not None and j not in done]
+                continue
+            value, spans = [], []
+            for (_, own, span), j in zip(parsed[i][1], sources):
+                if j is not None and done.get(j):
+                    value.append(done[j][0])
+                    spans += done[j][1]
+                elif span:
+                    value.append(own)
+                    spans.append(span)
+            # A long chain keeps the spans of its literals once.
+            done[i] = ("".join(value), list(dict.fromkeys(spans)))
+            todo.pop()
+        if done[first][1]:
+            yield parsed[first][0], *done[first]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

@@ -161,6 +161,30 @@ def test_secret_constants_reach_their_name():
 # --- op10 ------------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'password: str = "Zk9#qLm2!vX7"', 'const dbPassword: string = "Zk9#qLm2!vX7";', 'db_password: Optional[str] = "Zk9#qLm2!vX7"', 'val dbPwd: String? = "Zk9#qLm2!vX7"',
+        'pwd: str | None = "Zk9#qLm2!vX7"', 'os.environ["DB_PASSWD"] = "Zk9#qLm2!vX7"', "cfg['db'][ 'passphrase' ] = \"Zk9#qLm2!vX7\"".replace("[ '", "['"),
+        'pwd = BASE\nBASE = MORE\nMORE = "Zk9#qLm2!vX7"', 'pwd = A + B\nA = "Zk9#qLm2!vX7"\nB = A', 'header: pwd="Zk9#qLm2!vX7"', 'pwd = "Zk9#qLm2!vX7" + pwd',
+    ],
+)
+def test_secret_source_syntax(text):
+    assert "Zk9#qLm2!vX7" in [text[a:b] for a, b, _ in secrets.lexed_spans(text)]
+
+
+def test_secret_references():
+    assert [v for _, v, _ in secrets.assignments('a = b\nb = c\nc = a\nd = e\ne = "x"\ne = "y"\nf = e')] == ["a", "a", "a", "x", "x", "y", "y"]
+    chain = "\n".join(f"a{i} = a{i + 1}" for i in range(3000)) + '\na3000 = "Zk9#qLm2!vX7"'
+    assert all(v == "Zk9#qLm2!vX7" for _, v, _ in secrets.assignments(chain))
+
+
+@pytest.mark.parametrize("name", sorted(secrets.SENSITIVE))
+def test_every_sensitive_name_can_reach_the_threshold(name):
+    assert secrets.lexed_spans(f'{name} = "q7RkT2vXz9LmW4bYc8Nd"')
+    assert not secrets.lexed_spans(f'{name} = "blue"') and (secrets.SENSITIVE[name] >= 2 or not secrets.lexed_spans(f'{name} = "https://host.example.com/v1/Items"'))
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
