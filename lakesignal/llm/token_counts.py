@@ -1,7 +1,7 @@
 """Token counts kept as additive totals by source, language and tokenizer version.
 
 A batch of changes (insert, revise, delete) is turned into signed rows against the ledger of documents counted so far:
-minus the old count, plus the new one.  Their sums per (source, lang, tokenizer) are the batch's deltas; totals are the
+minus the old count, under the tokenizer that it was made with, plus the new one.  Their sums per (source, lang, tokenizer) are the batch's deltas; totals are the
 sum of all committed deltas and are never recomputed from texts.
 
 A batch is three tables named by its id, ``ledger``, ``deltas`` and, written last, ``commits``.  Readers take the
@@ -35,7 +35,7 @@ VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tikt
 # Fixed value: the published pre-tokenization pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-LEDGER = "doc_id {kind}, source string, lang string, n_tokens long, live boolean"
+LEDGER = "doc_id {kind}, source string, lang string, n_tokens long, live boolean, tokenizer string"
 DELTA = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
 COMMIT = "batch_id string, seq long"
 
@@ -71,7 +71,7 @@ def counted(docs: DataFrame, path: str = VOCABULARY, text: str = "text") -> Data
 
 
 class TokenTotals:
-    """The rollup below one shared folder, for one tokenizer version."""
+    """The rollup below one shared folder; what is counted here is of one tokenizer version, the folder may hold several."""
 
     def __init__(self, spark: SparkSession, folder: str, path: str = VOCABULARY, id_type: str = "bigint"):
         self.spark, self.folder, self.path = spark, folder.rstrip("/"), path
@@ -100,9 +100,9 @@ class TokenTotals:
             parts = part if parts is None else parts.unionByName(part)
         if parts is None:
             return self._read("ledger", LEDGER.format(kind=self.id_type), [])
-        row = F.struct("source", "lang", "n_tokens", "live")
+        row = F.struct("source", "lang", "n_tokens", "live", "tokenizer")
         last = parts.where("doc_id is not null").groupBy("doc_id").agg(F.max_by(row, "seq").alias("r"))
-        return last.select("doc_id", "r.source", "r.lang", "r.n_tokens", "r.live")
+        return last.select("doc_id", "r.source", "r.lang", "r.n_tokens", "r.live", "r.tokenizer")
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Commits a batch of (op, doc_id, source, lang, text); False if that id is committed already.
@@ -118,14 +118,14 @@ class TokenTotals:
         known = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max(state).alias("r")).select("doc_id", "r.source", "r.lang", "r.n_tokens", "r.live")
         nameless = rows.where("doc_id is null and live").select("doc_id", "source", "lang", "n_tokens", "live")
         written = f"{self.folder}/ledger/{batch_id}"
-        known.unionByName(nameless).write.mode("overwrite").parquet(written)
+        known.unionByName(nameless).withColumn("tokenizer", F.lit(self.version)).write.mode("overwrite").parquet(written)
         new = self._read("ledger", LEDGER.format(kind=self.id_type), [batch_id])
-        signed = new.where("live").select("source", "lang", F.lit(1).alias("sign"), "n_tokens")
+        signed = new.where("live").select("source", "lang", "tokenizer", F.lit(1).alias("sign"), "n_tokens")
         if done:
             old = self.ledger().where("live").join(new.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
-            signed = signed.unionByName(old.select("source", "lang", F.lit(-1).alias("sign"), "n_tokens"))
-        deltas = signed.groupBy("source", "lang").agg(F.sum("sign").alias("d_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("d_tokens"))
-        deltas.select("source", "lang", F.lit(self.version).alias("tokenizer"), "d_docs", "d_tokens").write.mode("overwrite").parquet(f"{self.folder}/deltas/{batch_id}")
+            signed = signed.unionByName(old.select("source", "lang", "tokenizer", F.lit(-1).alias("sign"), "n_tokens"))
+        deltas = signed.groupBy("source", "lang", "tokenizer").agg(F.sum("sign").alias("d_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("d_tokens"))
+        deltas.select("source", "lang", "tokenizer", "d_docs", "d_tokens").write.mode("overwrite").parquet(f"{self.folder}/deltas/{batch_id}")
         seq = max((s for s, _ in done), default=0) + 1
         self.spark.createDataFrame([(batch_id, seq)], COMMIT).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/commits/{batch_id}")
         return True
@@ -137,9 +137,23 @@ class TokenTotals:
 
 
 def loaded_totals(docs: DataFrame, folder: str, path: str = VOCABULARY) -> DataFrame:
-    """Totals after loading all ``docs`` as one batch, and after the same batch arrives again, which must change nothing."""
+    """Totals after batches that bring every document from an old state to that of ``docs``, and after they arrive again.
+
+    First all documents are inserted with half of their text and with source and lang swapped.  Then one half of them is
+    revised and the other deleted, which the last batch inserts anew.  Rows without doc_id cannot be revised; the first
+    batch has them as they are.  Groups that only the old states had are left out when their totals are zero.
+    """
     rollup = TokenTotals(docs.sparkSession, folder, path, docs.schema["doc_id"].dataType.simpleString())
-    changes = docs.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", "text")
-    rollup.apply("load", changes)
-    rollup.apply("load", changes)
-    return rollup.totals()
+    rows = docs.select("doc_id", "source", "lang", "text")
+    named, first = rows.where("doc_id is not null"), F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    half = F.left("text", F.floor(F.length("text") / 2).cast("int"))
+    old = named.select("doc_id", F.col("lang").alias("source"), F.col("source").alias("lang"), half.alias("text"))
+    op = lambda df, name: df.withColumn("op", F.lit(name))
+    batches = {
+        "load": op(old.unionByName(rows.where("doc_id is null")), "insert"),
+        "change": op(named.where(first), "revise").unionByName(op(named.where(~first).withColumn("text", F.lit(None).cast("string")), "delete")),
+        "return": op(named.where(~first), "insert"),
+    }
+    for batch_id in [*batches, *batches]:  # a replay changes nothing
+        rollup.apply(batch_id, batches[batch_id])
+    return rollup.totals().where("n_docs <> 0 or n_tokens <> 0")

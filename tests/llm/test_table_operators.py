@@ -1,5 +1,6 @@
 """Operators over whole tables against brute force: joins, rollups, archives, the pipeline."""
 
+import base64
 import hashlib
 import random
 import re
@@ -233,6 +234,36 @@ def test_signed_batches(spark):
     assert totals.apply("b3", frame([]).limit(0)) and [b for _, b in totals.committed()] == ["b1", "b2", "b3"]
 
 
+def test_two_tokenizers_in_one_folder(spark, tmp_path):
+    """What A has counted is taken from A's totals when B revises or deletes it."""
+    a = token_counts.TokenTotals(spark, folder(spark, "rollup"))
+    small = tmp_path / "bytes.tiktoken"  # one token per byte
+    small.write_text("".join(f"{base64.b64encode(bytes([i])).decode()} {i}\n" for i in range(256)))
+    b = token_counts.TokenTotals(spark, a.folder, str(small))
+    frame = lambda rows: spark.createDataFrame(rows, "op string, doc_id long, source string, lang string, text string")
+    a.apply("a1", frame([("insert", i, "s", "en", "hello there world") for i in (1, 2, 3)]))
+    b.apply("b1", frame([("revise", 1, "s", "en", "hello"), ("delete", 2, None, None, None)]))
+    one = len(token_counts._encoding(a.path).encode_ordinary("hello there world"))
+    held = lambda: {r.tokenizer: (r.n_docs, r.n_tokens) for r in a.totals().collect()}
+    assert held() == {a.version: (1, one), b.version: (1, 5)}
+    a.apply("a2", frame([("delete", 1, None, None, None)]))
+    assert held() == {a.version: (1, one), b.version: (0, 0)}
+
+
+def test_the_query_goes_through_revisions(spark):
+    rows = [(i, f"s{i % 3}", ("en", "de", None)[i % 3 - 1], f"text number {i} of all") for i in range(20)] + [(None, "s1", "en", "no id"), (20, "s9", "en", None)]
+    where = folder(spark, "rollup")
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in token_counts.loaded_totals(docs, where).collect()}
+    want = defaultdict(lambda: (0, 0))
+    for _, source, lang, text in rows:
+        n = len(token_counts._encoding(token_counts.VOCABULARY).encode_ordinary(text or ""))
+        want[source, lang] = (want[source, lang][0] + 1, want[source, lang][1] + n)
+    assert got == dict(want)
+    deltas = spark.read.option("recursiveFileLookup", "true").parquet(f"{where}/deltas")
+    assert deltas.where("d_docs < 0").count() > 0 and deltas.where("d_tokens < 0").count() > 0
+
+
 def test_a_broken_batch_is_written_again(spark):
     totals = token_counts.TokenTotals(spark, folder(spark, "rollup"))
     rows = spark.createDataFrame([("insert", 1, "a", "en", "hello")], "op string, doc_id long, source string, lang string, text string")
