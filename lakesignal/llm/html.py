@@ -4,6 +4,9 @@ A page is parsed into a tree and its text into blocks.  Each block outside page
 and commas, discounted by the share of its text inside links, and passes them to its ancestors with decreasing weight.
 The best container, the article around it if there is one, and siblings with enough points are kept.
 
+Tags that never hold the article are thrown away.  A class, an id or a form only hints at furniture: text inside earns
+less per hint.  Such a part is left out unless the best container is inside it or the article consists mainly of such.
+
 Pages are parsed alone, in batches, so the job has no shuffle; a page is one row by definition.
 
 Defined cases: a null or empty html gives an empty text; unclosed and misnested tags close where the next block begins;
@@ -27,15 +30,17 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
-    "head title script style template noscript iframe svg canvas object nav footer aside form select button input textarea dialog menu audio video datalist".split()
+    "head title script style template noscript iframe svg canvas object nav footer aside select button input textarea dialog menu audio video datalist".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr "
     "notice notification popup modal overlay newsletter subscribe subscription signup login share sharing social sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs footer masthead comment comments commentlist disqus reply replies respond related recommended widget toolbar "
     "pagination pager paging skip copyright".split()
 )
+#: What is left of points earned inside a hint of furniture, and the share of plain text below which hints are ignored.
+HINTED, PLAIN_SHARE = 0.25, 0.25
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag of the key closes an open element of the values, up to one of the walls.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -49,6 +54,7 @@ class Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.dropped, self.link, self.heading_inside = ["#root"], [0], [False], [False], [False]
+        self.hint, self.hints = [False], [0]  # whether a node looks like furniture, and how many do from the root to it
         self.stack = [0]
         self.blocks: list[tuple[int, list[tuple[int, str]]]] = []
         self.open_block = False
@@ -70,7 +76,9 @@ class Page(HTMLParser):
         node = len(self.tag)
         self.tag.append(tag)
         self.parent.append(top)
-        self.dropped.append(self.dropped[top] or self._furniture(tag, dict(attrs)))
+        self.dropped.append(self.dropped[top] or self._dropped(tag, dict(attrs)))
+        self.hint.append(self._furniture(tag, dict(attrs)))
+        self.hints.append(self.hints[top] + self.hint[-1])
         self.link.append(self.link[top] or tag == "a")
         self.heading_inside.append(False)
         if tag in HEADINGS:
@@ -110,10 +118,13 @@ class Page(HTMLParser):
             self.open_block = True
         self.blocks[-1][1].append((node, data))
 
-    def _furniture(self, tag: str, attrs: dict) -> bool:
+    def _dropped(self, tag: str, attrs: dict) -> bool:
         if tag in DROPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES:
             return True
-        if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
+        return "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
+
+    def _furniture(self, tag: str, attrs: dict) -> bool:
+        if tag == "form" or (attrs.get("role") or "").lower() == "form":
             return True
         if tag in ("html", "body", "main"):
             return False
@@ -134,10 +145,11 @@ def _parsed(html: str) -> Page:
 def _container(page: Page, texts: list[tuple[int, str, float]]) -> tuple[list[float], int]:
     """Points of each node and the node of the best container (0: none)."""
     points = [0.0] * len(page.tag)
+    fewest = min((page.hints[node] for node, text, _ in texts if len(text) >= 25), default=0)
     for node, text, linked in texts:
         if len(text) < 25:
             continue
-        earned = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked)
+        earned = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked) * HINTED ** min(page.hints[node] - fewest, 50)
         at = node if page.tag[node] not in ("p", "pre", "blockquote", *HEADINGS) else page.parent[node]
         share = 1.0
         while at and share > 0.1:
@@ -167,7 +179,7 @@ def main_blocks(html: str) -> list[str]:
         kept = {at}
     else:
         above = page.parent[best]
-        siblings = [i for i in range(len(page.tag)) if page.parent[i] == above and i != best and i and not page.dropped[i]] if best else []
+        siblings = [i for i in range(len(page.tag)) if page.parent[i] == above and i != best and i and not page.dropped[i] and (page.hint[best] or not page.hint[i])] if best else []
         enough = max(10.0, 0.2 * points[best])
         long_enough = {}
         for node, text, linked in texts:
@@ -179,7 +191,18 @@ def main_blocks(html: str) -> list[str]:
         inside[i] = (i in kept or (i > 0 and inside[page.parent[i]])) and not header
     if best == 0 and at == 0:
         inside = [page.tag[i] != "header" and all(page.tag[p] != "header" for p in _ancestors(page, i)) for i in range(len(page.tag))]
-    return [text for node, text, _ in texts if inside[node]]
+    return _without_hinted(page, best, [t for t in texts if inside[t[0]]])
+
+
+def _without_hinted(page: Page, best: int, texts: list[tuple[int, str, float]]) -> list[str]:
+    """The texts outside furniture, apart from furniture around ``best``; all of them if that is only a small share."""
+    out = [False] * len(page.tag)
+    around = {best, *_ancestors(page, best)}
+    for i in range(1, len(page.tag)):
+        out[i] = out[page.parent[i]] or (page.hint[i] and i not in around)
+    weigh = lambda rows: sum(len(text) * (1 - linked) for _, text, linked in rows)
+    plain = [t for t in texts if not out[t[0]]]
+    return [text for _, text, _ in (plain if plain and weigh(plain) >= PLAIN_SHARE * weigh(texts) else texts)]
 
 
 def _ancestors(page: Page, node: int) -> Iterator[int]:

@@ -318,6 +318,26 @@ def test_main_text(page, text):
     assert html.main_blocks(page) == text
 
 
+BODY = f"<p>{LONG}</p><p>{LONG[::-1].strip()}</p><p>Third part of it, {LONG}</p>"
+TEXT = [LONG.strip(), LONG[::-1].strip(), f"Third part of it, {LONG}".strip()]
+BESIDE = f"<div class='sidebar'><p>{LONG}</p></div><div id=comments><article class=comment><p>Nice one, really, {LONG}</p></article></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='content has-sidebar'>{BODY}</div>{BESIDE}</body>",
+        f"<body><article class='post comment-status-open'>{BODY}</article>{BESIDE}</body>",
+        f"<body><form id=aspnetForm><div id=c>{BODY}</div>{BESIDE}<input name=q></form></body>",
+        f"<body><form action=/><main>{BODY}</main>{BESIDE}</form></body>",
+        f"<body><div id=page class=with-cookie-notice><form><div class='main widget'><div>{BODY}</div>{BESIDE}</div></form></div></body>",
+        "<body><div class=page>" + "".join(f"<div class='elementor-widget'><p>{t}</p></div>" for t in TEXT) + "</div></body>",
+    ],
+)
+def test_hints_of_furniture_do_not_lose_the_article(page):
+    assert html.main_blocks(page) == TEXT
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>a</p>", "x"), (None, None, "<p>b", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html.extract(pages).collect()) == [("", 0), ("a", 1), ("b", 1)]
