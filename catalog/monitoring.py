@@ -381,7 +381,8 @@ select a.model_id, a.run_id from tl a where a.opens and not exists (select 1 fro
 )
 def alerts_active(spark, sf_dir):
     timeline = pinned(health_timeline(hourly_runs(spark, sf_dir), ["model_id"], ["run_id"], 1, 2, 2))
-    return registry.alerts_of(alert_lifecycle(timeline, ts="run_id"), active_only=True).select("model_id", "run_id")
+    alerts = alert_lifecycle(timeline, ts="run_id").withColumnRenamed("opened_at", "created_at")
+    return registry.alerts_of(alerts, active_only=True).select("model_id", "run_id")
 
 
 @query("traces_refused", f"with {TEL} select event_id as trace_id from tel where segment = 2 and not grounded order by ts desc, event_id desc limit 50")
