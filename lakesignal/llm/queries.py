@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakesignal.llm import decontaminate, html, ngram_join, pii, quality, secrets, sentencepiece_bpe, token_counts, toxicity, warc
+from lakesignal.llm import decontaminate, html, lsh_forest, ngram_join, pii, quality, ranked_search, secrets, sentencepiece_bpe, token_counts, toxicity, warc, whitening
 from lakesignal.llm.common import load, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(load(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(load(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 # Exact quantiles in place of sketches: the two agree while a group has no more rows than the sketch keeps (k = 4096).
 ORACLE["op10_quality_rules"] = r"""with d as (select doc_id, lang, source, coalesce(text, '') as t from documents),
 w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
@@ -107,3 +122,23 @@ k as (select a, b, x.k as ka, y.k as kb from l join n x on x.doc_id = a join n y
 r(a, b) as (select doc_id, doc_id from w union select r.a, k.b from r join k on k.a = r.b),
 c as (select a, min(b) as component_id from r group by 1), d as (select a, count(distinct kb) filter (where ka <> kb) as n_links from k group by 1)
 select w.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, coalesce(n_links, 0)::bigint as n_links from w join c on c.a = w.doc_id left join n using (doc_id) left join d on d.a = w.doc_id"""
+
+
+ORACLE["op11_lsh_forest"] = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i + 2], ' ') as s from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+l as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+k as (select a, b from l join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+r(a, b) as (select doc_id, doc_id from w union select r.a, k.b from r join k on k.a = r.b),
+c as (select a, min(b) as component_id from r group by 1)
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, w.doc_id = component_id as kept from w join c on c.a = w.doc_id left join n using (doc_id)"""
+
+ORACLE["op13_ranked_search"] = r"""with t as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents where text is not null),
+d as (select doc_id, ws, len(ws) as n from t where len(ws) > 0), st as (select count(*) as nn, sum(n)::bigint as ll from d),
+q as (select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select distinct item_id, text from benchmark)) group by 1, 2),
+tf as (select doc_id, n, term, count(*) as tf from (select doc_id, n, unnest(ws) as term from d) where term in (select term from q) group by 1, 2, 3),
+w as (select term, floor(1000 * ln((2 * max(nn) + 2) / (2 * count(*) + 1)))::bigint as w from tf, st group by 1),
+i as (select doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * nn) // ll)))) as s from tf join w using (term), st),
+s as (select item_id, doc_id, sum(times * s)::bigint as score from q join i using (term) group by 1, 2)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from s where score > 0 qualify rank <= 20"""
