@@ -24,9 +24,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Bytes that are broadcast at most.
+BROADCAST_BYTES = 32 << 20
+
+
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
-    """``df`` marked for broadcast when its counted ``rows`` are within ``limit``; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if rows <= limit else df
+    """``df`` marked for broadcast when its counted ``rows`` are within ``limit`` and BROADCAST_BYTES; else as it is, for a shuffled join.
+
+    For tables of numbers and short strings: a row counts 16 bytes, a number 8 and any other column 48.
+    """
+    width = 16 + sum(8 if kind in ("int", "bigint", "double", "boolean") else 48 for _, kind in df.dtypes)
+    return F.broadcast(df) if rows <= min(limit, BROADCAST_BYTES // width) else df
 
 
 def fresh_names(taken: Sequence[str], *names: str) -> list[str]:

@@ -7,12 +7,16 @@ that linked sets differ by one element at most in one of them, and then share th
 that group but the one that differs.
 
 1. Equal sets are one node.  Signatures are shuffled as (signature, node); only shared ones stay.
-2. Up to SMALL nodes with one signature are paired and verified once.
-3. Nodes with larger signature groups form dense clusters.  Those are cut by size class and into blocks by hash, and
-   each pair of blocks is verified in one task by bit sets, which returns one row per node, not one per pair.
-4. Components of the links get the smallest doc_id.
-
-Nothing is capped: every pair that shares a signature is verified, so no link is lost.  Hot groups: copies collapse to a
+2. Up to SMALL nodes with one signature are paired.  Nodes with larger signature groups form dense clusters, which are cut
+   by size class and into blocks by hash, and each pair of blocks meets in one task.
+3. Such pairs are first held against odd sketches: bit h(x) of a sketch is turned over by each element x, so two sketches
+   differ in no more bits than the sets in elements.  The test loses no link and takes two to four bits an element.  What
+   passes is returned as a spanning forest, whose trees are tight clusters.
+4. Only the sets of tight clusters are built and shipped.  Inside one, all pairs of a size class are verified by bit sets
+   in blocks; a task returns one row per node, not one per pair.
+5. Components of the links get the smallest doc_id.
+
+Nothing is capped: every pair that shares a signature is tested, so no link is lost.  Hot groups: copies collapse to a
 node in the task that reads them; near copies are spread over the tasks of their block pairs.  Verification inside a
 dense cluster is quadratic in its different sets; it has to be, as each of these pairs may link.
 
@@ -144,10 +148,26 @@ def signatures(one: np.ndarray, percent: int = 85) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-#: Nodes of one signature that are paired at once; larger groups are verified in blocks.
+def sketch(one: np.ndarray) -> bytes:
+    """Odd sketch of a set: the parity of its elements in each of a power of two of cells, at least two per element."""
+    cells = 1 << max(6, (2 * len(one) - 1).bit_length())
+    return np.packbits((np.bincount((one & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(cell: bytes, size: int) -> np.ndarray:
+    """The sketch in ``size`` bytes, at most its own number: halves are laid on each other."""
+    bits = np.frombuffer(cell, np.uint64)
+    while len(bits) * 8 > size:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
+
+
+#: Nodes of one signature that are paired at once; larger groups meet in blocks.
 SMALL = 16
-#: Bounds of a block: sets, and elements of sets.
+#: Bounds of a block: sets, and elements of sets; the sketches of a block may have more.
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 2_000_000
+SKETCH_SETS, SKETCH_ELEMENTS = 2048, 32_000_000
 
 
 def _node(one: np.ndarray, salt: int) -> tuple[int, int]:
@@ -163,26 +183,38 @@ def _sliced(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.Dat
 
 
 def _read_sets(texts: DataFrame, size: int, salt: int) -> DataFrame:
-    """(_doc, _key, n, node, check) for each row of ``texts`` (_doc, _key, _text)."""
+    """(_doc, _key, n, node, check, sketch) for each row of ``texts`` (_doc, _key, _text)."""
     kind = texts.schema["_doc"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # copies read by one task give their sketch once
         for batch in _sliced(batches):
             sets = shingle_sets(batch["_text"], size)
             names = [_node(s, salt) for s in sets]
-            yield pd.DataFrame({"_doc": batch["_doc"].to_numpy(), "_key": batch["_key"].to_numpy(), "n": [len(s) for s in sets], "node": [x for x, _ in names], "check": [y for _, y in names]})
-
-    return texts.mapInPandas(run, f"_doc {kind}, _key string, n long, node long, check long")
-
-
-def named_sets(texts: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """The stored table of ``_read_sets`` and the salt with which no two different sets share a name."""
+            fresh = [len(s) > 0 and x not in seen and not seen.add(x) for s, (x, _) in zip(sets, names)]
+            yield pd.DataFrame(
+                {
+                    "_doc": batch["_doc"].to_numpy(),
+                    "_key": batch["_key"].to_numpy(),
+                    "n": [len(s) for s in sets],
+                    "node": [x for x, _ in names],
+                    "check": [y for _, y in names],
+                    "sketch": [sketch(s) if new else None for s, new in zip(sets, fresh)],
+                }
+            )
+
+    return texts.mapInPandas(run, f"_doc {kind}, _key string, n long, node long, check long, sketch binary")
+
+
+def named_sets(texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
+    """(keys, nodes, salt): the stored rows of ``_read_sets``, (node, n, sketch) of each set, and a salt without clashing names."""
     salt = 0
     while True:
         keys = pinned(_read_sets(texts, size, salt))
-        clash = keys.where("n > 0").groupBy("node").agg((F.min("check") != F.max("check")).alias("c")).where("c").limit(1).count()
-        if not clash:
-            return keys, salt
+        nodes = keys.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.max("sketch").alias("sketch"), (F.min("check") != F.max("check")).alias("clash"))
+        nodes = pinned(nodes)
+        if not nodes.where("clash").limit(1).count():
+            return keys.drop("sketch", "check"), nodes.drop("clash"), salt
         salt += 1
 
 
@@ -311,25 +343,90 @@ def _links_in_blocks(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": nodes[hit], "b": nodes[[top(i) for i in hit]] if len(hit) else nodes[hit], "links": links[hit]})
 
 
-def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(keys, edges, counts): the set of each row, edges that connect what links connect, and the number of links per node."""
-    texts = docs.select(F.col(doc_id).alias("_doc"), text_or_empty(text).alias("_text")).withColumn("_key", F.md5("_text"))
-    keys, salt = named_sets(texts, size)
-    shared = shared_signatures(texts, size, percent, salt)
+def _may_link(na: np.ndarray, nb: np.ndarray, different: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes whose sketches differ in so many bits may link."""
+    return ((100 + percent) * different <= (100 - percent) * (na + nb)) & (percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb))
 
+
+def _near_in_pairs(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Of rows (a, b, na, nb, ka, kb) the pairs that may link."""
+    for batch in _sliced(batches, 5000):
+        apart = np.zeros(len(batch), np.int64)
+        for i, (x, y) in enumerate(zip(batch["ka"], batch["kb"])):
+            size = min(len(x), len(y))
+            apart[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()
+        good = _may_link(batch["na"].to_numpy(), batch["nb"].to_numpy(), apart, percent)
+        yield pd.DataFrame({"a": batch["a"].to_numpy()[good], "b": batch["b"].to_numpy()[good]})
+
+
+def _near_in_blocks(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A spanning forest of the pairs of two blocks (or inside one) that may link."""
+    first, inside = group["block"].to_numpy() == group["bi"].iloc[0], bool((group["bi"] == group["bj"]).iloc[0])
+    low = group["own"].to_numpy() == group["level"].iloc[0]
+    size = min(map(len, group["sketch"]))
+    bits = np.stack([folded(k, size) for k in group["sketch"]])
+    n, node = group["n"].to_numpy(), group["node"].to_numpy()
+    tree = np.arange(len(n))  # rows that are connected already are not tested against each other
+    out_a, out_b = [], []
+    for i in range(len(n)) if inside else np.flatnonzero(first):
+        j = np.arange(i + 1, len(n)) if inside else np.flatnonzero(~first)
+        if not low[i]:
+            j = j[low[j]]  # two sets of the upper class meet in their own level
+        j = j[(tree[j] != tree[i]) & (percent * np.maximum(n[j], n[i]) <= 100 * np.minimum(n[j], n[i]))]
+        if not len(j):
+            continue
+        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        j = j[_may_link(n[j], np.full(len(j), n[i]), apart, percent)]
+        if len(j):
+            _, at = np.unique(tree[j], return_index=True)
+            out_a += [node[i]] * len(at)
+            out_b += node[j[at]].tolist()
+            tree[np.isin(tree, tree[j])] = tree[i]
+    return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+
+
+def _in_block_pairs(clusters: DataFrame, percent: int, sets: int, elements: int, carried: list[str]):
+    """Rows (node, cluster, n, carried) grouped for each level of a cluster and pair of its blocks.
+
+    Linked sets are in one size class or in neighbouring ones: a level holds one class and the next larger.
+    """
+    own = F.floor(F.log("n") / math.log(102 / percent)).cast("int")
+    level = clusters.withColumn("own", own).withColumn("level", F.explode(F.array("own", F.col("own") - 1)))
+    weight = level.groupBy("cluster", "level").agg(F.count(F.lit(1)).alias("s"), F.sum("n").alias("e"), F.bool_or(F.col("own") == F.col("level")).alias("low"))
+    blocks = weight.where("low and s > 1").select("cluster", "level", F.greatest(F.ceil(F.col("s") / sets), F.ceil(F.col("e") / elements)).cast("int").alias("blocks"))
+    placed = level.join(blocks, ["cluster", "level"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("cluster", "level", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "own", "block", "node", "n", *carried)
+    return spread.groupBy("cluster", "level", "bi", "bj")
+
+
+def tight_clusters(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, cluster): the components of the pairs that share a signature and may link by their sketches."""
     large = shared.where(F.col("m") > SMALL)
-    clusters = pinned(components(_hub_edges(large)).withColumnRenamed("label", "cluster"))
+    dense = pinned(components(_hub_edges(large)).withColumnRenamed("label", "cluster"))
     small = shared.where(F.col("m") <= SMALL).select("sig", "node")
     pairs = small.select("sig", F.col("node").alias("a")).join(small.select("sig", F.col("node").alias("b")), "sig").where("a < b").select("a", "b").distinct()
-    # Pairs inside one cluster are verified there.
-    of = lambda name: clusters.select(F.col("node").alias(name), F.col("cluster").alias(f"c{name}"))
+    # Pairs inside one dense cluster are tested there.
+    of = lambda name: dense.select(F.col("node").alias(name), F.col("cluster").alias(f"c{name}"))
     pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ca is null or cb is null or ca <> cb")
     pairs = pinned(pairs.select("a", "b"))
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"k{side}")), side)
+    pairs = pairs.where(percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb"))
+    near = pinned(pairs.mapInPandas(lambda rows: _near_in_pairs(rows, percent), "a long, b long"))
+    held = _in_block_pairs(dense.join(nodes, "node"), percent, SKETCH_SETS, SKETCH_ELEMENTS, ["sketch"])
+    forest = pinned(held.applyInPandas(lambda g: _near_in_blocks(g, percent), "a long, b long"))
+    return components(near.unionByName(forest)).withColumnRenamed("label", "cluster")
+
+
+def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keys, edges, counts): the set of each row, edges that connect what links connect, and the number of links per node."""
+    texts = docs.select(F.col(doc_id).alias("_doc"), text_or_empty(text).alias("_text")).withColumn("_key", F.md5("_text"))
+    keys, nodes, salt = named_sets(texts, size)
+    clusters = tight_clusters(shared_signatures(texts, size, percent, salt), nodes, percent)
 
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(clusters.select("node")).distinct()
-    known = keys.groupBy("node").agg(F.min("_key").alias("_key"), F.max("n").alias("n"))
-    chosen = pinned(known.join(wanted, "node"))
-    few = bounded_broadcast(chosen.select("_key", "node"), chosen.count())
+    chosen = pinned(keys.join(clusters, "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key")))
+    few = bounded_broadcast(chosen, chosen.count())
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _sliced(batches):
@@ -337,28 +434,10 @@ def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
 
     one_text = texts.join(few, "_key").select("node", "_text").mapInPandas(build, "node long, set array<long>")
     sets = pinned(one_text.groupBy("node").agg(F.first("set").alias("set")))
-
-    sizes = chosen.select("node", "n")
-    for side in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}")), side)
-    pairs = pairs.where(percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb"))
-    held = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-    held = held.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
-    linked = pinned(held.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
-
-    # Linked sets are in one size class or in neighbouring ones: a level holds one class and the next larger.
-    own = F.floor(F.log("n") / math.log(102 / percent)).cast("int")
-    level = clusters.join(sizes, "node").withColumn("own", own).withColumn("level", F.explode(F.array("own", F.col("own") - 1)))
-    weight = level.groupBy("cluster", "level").agg(F.count(F.lit(1)).alias("s"), F.sum("n").alias("e"), F.bool_or(F.col("own") == F.col("level")).alias("low"))
-    blocks = weight.where("low").select("cluster", "level", F.greatest(F.ceil(F.col("s") / BLOCK_SETS), F.ceil(F.col("e") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    placed = level.join(blocks, ["cluster", "level"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")).join(sets, "node")
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("cluster", "level", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "own", "block", "node", "set")
-    dense = pinned(spread.groupBy("cluster", "level", "bi", "bj").applyInPandas(lambda g: _links_in_blocks(g, percent), "a long, b long, links long"))
-
-    edges = linked.unionByName(dense.where("a <> b").select("a", "b"))
-    counts = linked.select(F.col("a").alias("node"), F.lit(1).cast("long").alias("links")).unionByName(linked.select(F.col("b").alias("node"), F.lit(1).cast("long").alias("links")))
-    counts = counts.unionByName(dense.select(F.col("a").alias("node"), "links")).groupBy("node").agg(F.sum("links").alias("n_links"))
+    held = _in_block_pairs(clusters.join(nodes.select("node", "n"), "node").join(sets, "node"), percent, BLOCK_SETS, BLOCK_ELEMENTS, ["set"])
+    dense = pinned(held.applyInPandas(lambda g: _links_in_blocks(g, percent), "a long, b long, links long"))
+    edges = dense.where("a <> b").select("a", "b")
+    counts = dense.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     return keys, edges, counts
 
 
