@@ -124,16 +124,19 @@ siz as (select g, count(*) filter (where sample = 'baseline') as m, count(*) fil
 mmd as (select g, m, n, gamma, xx / (m * (m - 1)) + yy / (n * (n - 1)) - 2 * xy / (m * n) as mmd2 from ker join siz using (g))"""
 
 
-@query(
-    "rag_signals",
-    f"""with {TEL}, {_POOLED},
+_RAG_SQL = f"""{TEL}, {_POOLED},
 ksp as ({_KS_P.format(src="d")}),
 prop as (select segment, 'refusal' as name, count(*) filter (where sample = 'baseline' and not grounded) as xb, count(*) filter (where sample = 'baseline') as nb,
                 count(*) filter (where sample = 'current' and not grounded) as xc, count(*) filter (where sample = 'current') as nc from tel group by 1
          union all
          select segment, 'citation_validity', sum(citations) filter (where sample = 'baseline'), sum(citations_requested) filter (where sample = 'baseline'),
                 sum(citations) filter (where sample = 'current'), sum(citations_requested) filter (where sample = 'current') from tel group by 1),
-vec as (select e.segment as g, e.event_id as id, e.sample, v.embedding::double[] as v from tel e join embeddings v on e.event_id = v.vec_id * 20),
+vec as (select e.segment as g, e.event_id as id, e.sample, v.embedding::double[] as v from tel e join embeddings v on e.event_id = v.vec_id * 20)"""
+
+
+@query(
+    "rag_signals",
+    f"""with {_RAG_SQL},
 {_MMD_SQL}
 select segment, name, round(d, 6) as value, p < 0.05 or (name = 'retrieval' and w / iqr > 0.2) as is_drifted from ksp join iqr using (segment, name)
 union all
@@ -150,7 +153,7 @@ def rag_signals_query(spark, sf_dir):
 
 @query("rag_verdict")
 def rag_verdict_query(spark, sf_dir):
-    """The embedding verdict is a permutation test, so the whole-check row has no SQL form."""
+    """The embedding verdict is a permutation test over exact pairs, so the whole-check row has no SQL form."""
     events = _events_with_vectors(spark, sf_dir)
     return rag_verdict(rag_signals(events, ["segment"]), events, ["segment"])
 
@@ -172,6 +175,69 @@ def mmd_observed(spark, sf_dir):
     )
 
 
+# The features' frequencies and the permutations, as lakesignal.operators.mean_embedding draws them.
+def _mixed_sql(x: str) -> str:
+    x = f"(({x})::ubigint % 4294967296)"
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x = f"(list_transform([{x}], lambda x: (xor(x, x >> {shift}) * {factor}::ubigint) % 4294967296)[1])"
+    return f"(list_transform([{x}], lambda x: xor(x, x >> 16))[1])"
+
+
+def _feature_mmd_sql(permutations: int, count: int = 256) -> str:
+    u = lambda i: f"(({_mixed_sql(f'2 * c + {i}')})::double + 0.5) / 4294967296"
+    return f"""
+dim as (select max(len(v)) as d from vec),
+wave as (select c // d as j, list(sqrt(-2 * ln({u(1)})) * cos(2 * pi() * {u(2)}) order by c) as w from (select unnest(range({count} * d)) as c, d from dim) group by 1),
+spr as (select g, 2 * (n * squares - list_dot_product(total, total)) / (n * (n - 1)) as spread from
+  (select g, max(n) as n, max(squares) as squares, list(s order by i) as total from (select g, i, sum(x) as s from (select g, generate_subscripts(v, 1) as i, unnest(v) as x from vec) group by 1, 2)
+   join (select g, count(*) as n, sum(list_dot_product(v, v)) as squares from vec group by 1) using (g) group by 1)),
+gam as (select g, case when spread > 0 then 1 / (2 * spread) else 0.5 end as gamma from spr),
+siz as (select g, count(*) filter (where sample = 'baseline') as m, count(*) filter (where sample = 'current') as n from vec group by 1),
+fea as (select g, id, j, cos(sqrt(2 * gamma) * list_dot_product(v, w)) as re, sin(sqrt(2 * gamma) * list_dot_product(v, w)) as im from vec join gam using (g), wave),
+turn as (select p, {_mixed_sql('p')} as t from (select unnest(range(1, {permutations} + 1)) as p)),
+lab as (select g, id, 0 as p, sample = 'baseline' as b from vec union all
+  select g, id, p, {_mixed_sql("xor(('0x' || substr(md5(id::varchar), 1, 8))::ubigint, t)")}::double < m / (m + n) * 4294967296 as b from vec join siz using (g), turn),
+num as (select g, p, count(*) filter (where b)::double as m, count(*) filter (where not b)::double as n from lab group by 1, 2),
+sid as (select g, p, j, sum(re) filter (where b) as rb, sum(im) filter (where b) as ib, sum(re) filter (where not b) as rc, sum(im) filter (where not b) as ic from lab join fea using (g, id) group by 1, 2, 3),
+sta as (select g, p, avg((rb * rb + ib * ib - m) / (m * (m - 1)) + (rc * rc + ic * ic - n) / (n * (n - 1)) - 2 * (rb * rc + ib * ic) / (m * n)) as mmd2 from sid join num using (g, p) group by 1, 2),
+fmmd as (select o.g, o.mmd2, gamma, siz.m, siz.n, (1 + count(*) filter (where s.p > 0 and s.mmd2 >= o.mmd2)) / ({permutations} + 1) as p_value
+  from sta o join sta s using (g) join gam using (g) join siz using (g) where o.p = 0 group by all)"""
+
+
+@query(
+    "mmd_features",
+    f"""with vec as (select label % 3 as g, vec_id as id, case when label < 5 then 'baseline' else 'current' end as sample, embedding::double[] as v from embeddings), {_feature_mmd_sql(100)}
+select g, round(mmd2, 8) as statistic, round(gamma, 8) as gamma, p_value, m::bigint as n_baseline, n::bigint as n_current from fmmd""",
+)
+def mmd_features(spark, sf_dir):
+    """Three drift tests by random features, p-values included."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        (F.col("label") % 3).alias("g"),
+        F.when(F.col("label") < 5, "baseline").otherwise("current").alias("sample"),
+        F.col("vec_id").alias("id"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    return mmd_test(vectors, ["g"], permutations=100, method="features").select(
+        "g", F.round("statistic", 8).alias("statistic"), F.round(F.col("detail")["gamma"], 8).alias("gamma"), "p_value", "n_baseline", "n_current"
+    )
+
+
+@query(
+    "rag_verdict_linear",
+    f"""with {_RAG_SQL}, {_feature_mmd_sql(100)},
+sig as (select segment, p < 0.05 or (name = 'retrieval' and w / iqr > 0.2) as drifted from ksp join iqr using (segment, name) union all
+  select segment, abs((xc / nc - xb / nb) / sqrt((xb + xc) / (nb + nc) * (1 - (xb + xc) / (nb + nc)) * (1 / nb + 1 / nc))) > 1.959963984540054 from prop union all
+  select segment, coalesce(m >= 8 and n >= 8 and p_value < 0.05, false) from (select distinct segment from tel) left join fmmd on g = segment)
+select segment, count(*) filter (where drifted) / 5 as drift_score, bool_or(drifted) as is_drifted, count(*) filter (where drifted)::bigint as n_signals_drifted, true as sufficient_sample,
+  (select round(avg(grounded::int), 6) from tel t where t.segment = sig.segment and t.sample = 'current') as quality_score from sig group by segment""",
+)
+def rag_verdict_linear(spark, sf_dir):
+    """The whole check with the linear-time embedding test, whose permutations SQL can repeat."""
+    events = _events_with_vectors(spark, sf_dir)
+    verdict = rag_verdict(rag_signals(events, ["segment"], permutations=100, mmd_method="features"), events, ["segment"])
+    return verdict.withColumn("quality_score", F.round("quality_score", 6))
+
+
 @query(
     "embedding_width_check",
     """select label, count(distinct len(embedding)) > 1 as width_mismatch, count(*)::bigint as n from embeddings group by 1""",

@@ -7,6 +7,7 @@ from lakesignal.functions.fixed_rules import COVERAGE_CATEGORIES, NEGOTIATION_QU
 from lakesignal.functions.text import duration_days, html_text
 from lakesignal.operators.chunking import chunk_documents, clause_lines, sentences
 from lakesignal.operators.grounding import best_chunks_by_overlap, ground_quotes
+from lakesignal.operators.quote_index import QuoteIndex
 from lakesignal.operators.rules import clause_labels, compare_documents, coverage, label_clauses, scan_rules, severity_counts
 from lakesignal.plans.review import contradictions, document_text, extraction_quality, review_items
 from lakesignal.scale import pinned
@@ -265,7 +266,14 @@ w as (select doc_id, string_split({collapse_sql('text')}, ' ') as ws from docume
 quotes as (
   select doc_id, 'exact' as quote_id, array_to_string(ws[6:17], ' ') as quote from w union all
   select doc_id, 'changed', array_to_string(list_concat(ws[3:9], ['zzz'], ws[11:26]), ' ') from w union all
-  select doc_id - 1, 'foreign', array_to_string(ws[2:14], ' ') from w where doc_id > 0)"""
+  select doc_id - 1, 'foreign', array_to_string(ws[2:14], ' ') from w where doc_id > 0),
+far as (
+  select doc_id, 'middle' as quote_id, array_to_string(ws[len(ws) // 2 + 1:len(ws) // 2 + 12], ' ') as quote from w union all
+  select doc_id, 'end', array_to_string(ws[greatest(len(ws) - 10, 1):], ' ') from w union all
+  select doc_id, 'across', array_to_string(ws[len(ws) // 2 - 149:len(ws) // 2 + 150], ' ') from w where len(ws) >= 400 union all
+  select doc_id, 'cut', substr(array_to_string(ws, ' '), 30, 80) from w union all
+  select doc_id, 'short', array_to_string(ws[len(ws) // 2:len(ws) // 2 + 3], ' ') from w where len(ws) >= 2 union all
+  select doc_id, 'thinned', array_to_string(list_filter(ws[len(ws) // 2 + 1:len(ws) // 2 + 40], lambda x, i: i % 9 <> 0), ' ') from w)"""
 
 
 def quotes(spark, sf_dir):
@@ -280,10 +288,28 @@ def quotes(spark, sf_dir):
     return w.select(F.inline(own)).where("doc >= 0").withColumnRenamed("doc", "doc_id")
 
 
+def far_quotes(spark, sf_dir):
+    """Quotes from the middle and the end, across clauses, cut inside words, of four words, and with words left out."""
+    w = docs(spark, sf_dir).select("doc_id", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("ws"))
+    n = F.size("ws")
+    half = F.floor(n / 2).cast("int")
+    words = lambda c: F.array_join(c, " ")
+    parts = {
+        "middle": words(F.slice("ws", half + 1, 12)),
+        "end": words(F.slice("ws", F.greatest(n - 10, F.lit(1)), 11)),
+        "across": F.when(n >= 400, words(F.slice("ws", F.greatest(half - 149, F.lit(1)), 300))),
+        "cut": F.substring(words("ws"), 30, 80),
+        "short": F.when(n >= 2, words(F.slice("ws", F.greatest(half, F.lit(1)), 4))),
+        "thinned": words(F.filter(F.slice("ws", half + 1, 40), lambda x, i: (i + 1) % 9 != 0)),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("quote_id"), v.alias("quote")) for k, v in parts.items()])
+    return w.select("doc_id", F.inline(rows)).where("quote is not null")
+
+
 @query(
     "ground_quotes",
-    f"""with {CHUNKS}, {QUOTES},
-q as (select doc_id, quote_id, {collapse_sql('lower(quote)')} as q, {words_sql('quote')} as qw from quotes),
+    f"""with {CHUNKS}, {QUOTES}, every as (select * from quotes union all select * from far),
+q as (select doc_id, quote_id, {collapse_sql('lower(quote)')} as q, {words_sql('quote')} as qw from every),
 c as (select doc_id, chunk_index, {collapse_sql('lower(text)')} as t, {words_sql('text')} as cw from chunks),
 d as (select doc_id, {collapse_sql('lower(text)')} as t, {words_sql('text')} as cw from documents),
 qc as (select q.doc_id, quote_id, chunk_index, contains(t, q) as ex, case when len(qw) > 0 then len(list_filter(qw, lambda w: list_contains(cw, w))) / len(qw) else 0 end as ratio
@@ -296,8 +322,23 @@ select q.doc_id, quote_id, ex is not null or coalesce(n >= 3 and ratio >= 0.85,
 from q left join bc using (doc_id, quote_id) left join bd using (doc_id, quote_id)""",
 )
 def ground_quotes_query(spark, sf_dir):
-    chunks = chunk_table(spark, sf_dir)
-    return ground_quotes(quotes(spark, sf_dir), chunks, docs(spark, sf_dir)).select("doc_id", "quote_id", "grounded", "evidence_chunk_index")
+    asked = quotes(spark, sf_dir).select("doc_id", "quote_id", "quote").unionByName(far_quotes(spark, sf_dir))
+    return ground_quotes(asked, chunk_table(spark, sf_dir), docs(spark, sf_dir)).select("doc_id", "quote_id", "grounded", "evidence_chunk_index")
+
+
+@query(
+    "quote_index_rows",
+    rf"""with t as (select doc_id, -1 as unit, {collapse_sql('lower(text)')} as t, text from documents where text is not null),
+g as (select doc_id, unit, greatest(len(string_split(t, ' ')) - 4, 0) as n from t),
+w as (select doc_id, len(list_distinct({words_sql('text')})) as n from t)
+select g.doc_id, g.n::bigint as grams, w.n::bigint as words from g join w using (doc_id)""",
+)
+def quote_index_rows(spark, sf_dir):
+    """Rows of the stored index per whole document."""
+    index = QuoteIndex.of(chunk_table(spark, sf_dir), docs(spark, sf_dir)).stored()
+    count = lambda df, name: df.where("unit = -1").groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
+    out = index.texts.where("unit = -1 and t is not null").select("doc_id").join(count(index.grams, "grams"), "doc_id", "left").join(count(index.words, "words"), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("grams", F.lit(0)).cast("long").alias("grams"), F.coalesce("words", F.lit(0)).cast("long").alias("words"))
 
 
 # Fixed values, as in lakesignal.functions.text.

@@ -7,46 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesignal.functions.text import CASE_STOPWORDS, content_words, distinct_content_words, normalize, overlap_ratio
-from lakesignal.scale import salted_lookup, top_per_key
+from lakesignal.functions.text import CASE_STOPWORDS, distinct_content_words
+from lakesignal.operators.quote_index import QuoteIndex, contained, overlapping, prepared
+from lakesignal.scale import pinned, salted_lookup, top_per_key
 
 OVERLAP_THRESHOLD, MIN_CONTENT_WORDS = 0.85, 3
 
 
 def ground_quotes(
-    quotes: DataFrame, chunks: DataFrame, documents: DataFrame, quote_keys: Sequence[str] = ("quote_id",), quote: str = "quote", salts: int = 4
+    quotes: DataFrame, chunks: DataFrame | None, documents: DataFrame | None, quote_keys: Sequence[str] = ("quote_id",), quote: str = "quote", index: QuoteIndex | None = None
 ) -> DataFrame:
     """Add ``grounded`` and ``evidence_chunk_index`` to rows (doc_id, quote keys, quote).
 
     A quote is grounded by, in order: exact text in a clause (first such
     clause); content-word overlap with a clause (best ratio, first on ties);
-    exact text in the document; overlap with the document.
+    exact text in the document; overlap with the document.  ``index`` is a
+    stored index to use in place of chunks and documents.
     """
     keys = ["doc_id", *quote_keys]
-    q = quotes.select(*keys, normalize(F.col(quote)).alias("_q"), content_words(F.col(quote)).alias("_w")).where(F.col("_q") != "")
-    c = chunks.select("doc_id", "chunk_index", normalize(F.col("text")).alias("_t"), distinct_content_words(F.col("text")).alias("_cw"))
-    by_clause = (
-        salted_lookup(q, c, ["doc_id"], salts)
-        .groupBy(*keys)
-        .agg(
-            F.min(F.when(F.contains("_t", "_q"), F.col("chunk_index"))).alias("_exact"),
-            F.max(F.struct(overlap_ratio(F.col("_w"), F.col("_cw")).alias("ratio"), (-F.col("chunk_index")).alias("neg"))).alias("_best"),
-        )
-    )
-    d = documents.select("doc_id", normalize(F.col("text")).alias("_d"), distinct_content_words(F.col("text")).alias("_dw"))
-    by_doc = salted_lookup(q, d, ["doc_id"], salts).select(
-        *keys, F.size("_w").alias("_n"), F.contains("_d", "_q").alias("_in_doc"), overlap_ratio(F.col("_w"), F.col("_dw")).alias("_doc_ratio")
-    )
-    enough = F.coalesce(F.col("_n") >= MIN_CONTENT_WORDS, F.lit(False))
-    overlap = enough & F.coalesce(F.col("_best.ratio") >= OVERLAP_THRESHOLD, F.lit(False))
-    whole = F.coalesce(F.col("_in_doc"), F.lit(False)) | (enough & F.coalesce(F.col("_doc_ratio") >= OVERLAP_THRESHOLD, F.lit(False)))
-    out = quotes.join(by_doc, keys, "left").join(by_clause, keys, "left")
+    index = index or QuoteIndex.of(chunks, documents)
+    q = pinned(prepared(quotes, keys, quote))
+    exact = pinned(contained(q, index, keys))
+    open_ones = q.where(F.size("_w") >= MIN_CONTENT_WORDS).join(exact.where("exact is not null"), keys, "left_anti")
+    overlap = overlapping(open_ones, index, keys, OVERLAP_THRESHOLD)
+    out = quotes.join(exact, keys, "left").join(overlap, keys, "left")
+    near = F.coalesce(F.col("ratio") >= OVERLAP_THRESHOLD, F.lit(False))
+    whole = F.coalesce("in_doc", F.lit(False)) | F.coalesce(F.col("doc_ratio") >= OVERLAP_THRESHOLD, F.lit(False))
     return out.withColumns(
         {
-            "grounded": F.col("_exact").isNotNull() | overlap | whole,
-            "evidence_chunk_index": F.when(F.col("_exact").isNotNull(), F.col("_exact")).when(overlap, -F.col("_best.neg")),
+            "grounded": F.col("exact").isNotNull() | near | whole,
+            "evidence_chunk_index": F.when(F.col("exact").isNotNull(), F.col("exact")).when(near, -F.col("neg_unit")),
         }
-    ).drop("_n", "_in_doc", "_doc_ratio", "_exact", "_best")
+    ).drop("exact", "in_doc", "ratio", "neg_unit", "doc_ratio")
 
 
 def best_chunks_by_overlap(
@@ -56,5 +48,5 @@ def best_chunks_by_overlap(
     words = lambda c: distinct_content_words(F.col(c), CASE_STOPWORDS, 2)
     a = answers.select("doc_id", *keys, words(text).alias("_a"))
     c = chunks.select("doc_id", "chunk_index", words("text").alias("_c"))
-    pairs = salted_lookup(a, c, ["doc_id"], 4).select(*keys, "doc_id", "chunk_index", F.size(F.array_intersect("_a", "_c")).alias("overlap"))
+    pairs = salted_lookup(c, a, ["doc_id"], 4).select(*keys, "doc_id", "chunk_index", F.size(F.array_intersect("_a", "_c")).alias("overlap"))
     return top_per_key(pairs.where(F.col("overlap") >= min_overlap), [*keys, "doc_id"], [F.desc("overlap"), F.col("chunk_index")], top_n)

@@ -45,6 +45,7 @@ def rag_signals(
     event_id: str = "event_id",
     permutations: int = 200,
     buckets: int | None = None,
+    mmd_method: str = "exact",
 ) -> DataFrame:
     """One row per (key, signal).  ``events`` carries a ``sample`` column with both windows."""
     keys = list(keys)
@@ -88,7 +89,7 @@ def rag_signals(
         "insufficient_sample",
     )
     vectors = events.where(F.size("question_embedding") > 0).select(*keys, "sample", F.col(event_id).alias("id"), F.col("question_embedding").alias("embedding"))
-    mmd = mmd_test(vectors, keys, permutations, alpha)
+    mmd = mmd_test(vectors, keys, permutations, alpha, method=mmd_method)
     found = counts.select(*keys).join(mmd, keys, "left")
     embedding = found.select(
         *keys,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakesignal.functions.stats import _ks_exact
 from lakesignal.operators.categorical_drift import chi_square_test, jensen_shannon_test, two_proportion_test
 from lakesignal.operators.embedding_drift import mmd_test
+from lakesignal.operators.mean_embedding import drawn_labels, feature_mmd_test, frequencies
 from lakesignal.operators.numeric_drift import ks_test, nearest_rank_percentile, psi_test, wasserstein_test
 from lakesignal.plans.checks import build_check, register_check
 from lakesignal.plans.tabular_check import missing_features, tabular_signals, tabular_verdict
@@ -182,3 +183,42 @@ def test_rag_check_signals(spark):
     assert len(same) == 5 and not any(s["is_drifted"] for n, s in same.items() if n != "retrieval")
     assert worse["retrieval"]["is_drifted"] and worse["refusal"]["is_drifted"] and not worse["generation_latency"]["is_drifted"]
     assert worse["embedding"]["insufficient_sample"] and not any(s["is_drifted"] for s in few.values())
+
+
+def test_mmd_by_features_equals_the_exact_form(spark):
+    rng = np.random.default_rng(6)
+    groups = {"same": (rng.normal(0, 1, (120, 5)), rng.normal(0, 1, (90, 5))), "moved": (rng.normal(0, 1, (100, 5)), rng.normal(0.9, 1, (100, 5))), "few": (rng.normal(0, 1, (4, 5)), rng.normal(0, 1, (50, 5)))}
+    rows = [(g, s, f"{s}{i}", v.tolist()) for g, sides in groups.items() for s, side in zip(("baseline", "current"), sides) for i, v in enumerate(side)]
+    rows += [("widths", s, str(i), [0.5] * (3 + i % 2)) for s in ("baseline", "current") for i in range(20)] + [("same", "baseline", "null", None), ("same", "other", "o", [9.0] * 5), (None, "baseline", "z", [1.0])]
+    df = spark.createDataFrame(rows, "g string, sample string, id string, embedding array<double>").repartition(3)
+    got = {r["g"]: r for r in mmd_test(df, ["g"], permutations=99, method="features").collect()}
+    for g, (x, y) in list(groups.items())[:2]:
+        gamma = got[g]["detail"]["gamma"]
+        both = np.concatenate([x, y])
+        sq = ((both[:, None] - both[None]) ** 2).sum(axis=2)
+        assert abs(gamma - 1 / (2 * sq.sum() / (len(both) * (len(both) - 1)))) < 1e-9
+        k = np.exp(-gamma * sq)
+        np.fill_diagonal(k, 0)
+        m, n = len(x), len(y)
+        exact = k[:m, :m].sum() / (m * (m - 1)) + k[m:, m:].sum() / (n * (n - 1)) - 2 * k[:m, m:].mean()
+        assert abs(got[g]["statistic"] - exact) <= 4 * got[g]["detail"]["standard_error"] < 0.2
+        above = 0
+        for _ in range(400):  # p-value by plain permutations of the exact statistic
+            o = rng.permutation(m + n)
+            a, b = o[:m], o[m:]
+            above += k[np.ix_(a, a)].sum() / (m * (m - 1)) + k[np.ix_(b, b)].sum() / (n * (n - 1)) - 2 * k[np.ix_(a, b)].mean() >= exact
+        assert abs(got[g]["p_value"] - above / 400) < 0.1
+    assert got["moved"]["drift_detected"] and not got["same"]["drift_detected"]
+    assert got["few"]["insufficient_sample"] and got["widths"]["insufficient_sample"] and got[None]["insufficient_sample"]
+
+
+def test_feature_error_falls_with_their_number(spark):
+    rng = np.random.default_rng(7)
+    rows = [("a", s, f"{s}{i}", v.tolist()) for s, c in (("baseline", 0.0), ("current", 0.5)) for i, v in enumerate(rng.normal(c, 1, (80, 4)))]
+    df = spark.createDataFrame(rows, "g string, sample string, id string, embedding array<double>")
+    few, many = (feature_mmd_test(df, ["g"], permutations=5, count=c, gamma=0.1).first() for c in (32, 2048))
+    assert many["detail"]["standard_error"] < few["detail"]["standard_error"] / 4
+    assert abs(many["statistic"] - few["statistic"]) <= 4 * few["detail"]["standard_error"]
+    assert np.abs(np.cov(frequencies(6, 4000).T) - np.eye(6)).max() < 0.1
+    labels = drawn_labels(np.arange(5000), 40, 0.3)
+    assert abs(labels.mean() - 0.3) < 0.01 and np.abs(np.corrcoef(labels.T) - np.eye(40)).max() < 0.08
