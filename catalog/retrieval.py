@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 from catalog import query, table
 from catalog.text import CHUNKS, chunk_table, docs
 from lakesignal.operators.neighbours import nearest
-from lakesignal.operators.retrieval import all_candidates, bm25_index, bm25_ranking, bm25_scores, first_relevant_rank, fuse, hybrid_top_k, query_terms
+from lakesignal.operators.postings import asked_of_documents, build_postings, dense_distances, dense_top_k, fused_top_k, merged_excerpts
+from lakesignal.operators.retrieval import first_relevant_rank, fuse
 from lakesignal.operators.tfidf import nearest_texts
-from lakesignal.scale import pinned
+from lakesignal.operators.vector_index import fit_index, recall
+from lakesignal.scale import attach_row, pinned
 
 _QUERY = "array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[4:9], ' ')"
 _CH = f"{CHUNKS}, qu as (select doc_id, doc_id as query_id, {_QUERY} as text from documents)"
@@ -34,9 +36,8 @@ def questions(spark, sf_dir):
 @query("bm25_topk", f"with {_BM25} select doc_id, chunk_index::int as chunk_index, round(score, 6) as score, rank::int as rank from br where rank <= 6")
 def bm25_topk(spark, sf_dir):
     chunks = pinned(chunk_table(spark, sf_dir))
-    q = questions(spark, sf_dir)
-    ranked = bm25_ranking(bm25_scores(bm25_index(chunks, terms=query_terms(q)), q), all_candidates(q, chunks))
-    return ranked.where("rank <= 6").select("doc_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
+    q = pinned(questions(spark, sf_dir))
+    return build_postings(chunks, queries=q).top_k(q, 6).select("doc_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
 
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -59,29 +60,27 @@ fu as (select query_id, doc_id, chunk_index, sum(1 / (60 + rank)) as score, max(
 hy as (select *, row_number() over (partition by query_id order by round(score, 12) desc, dense_rank, chunk_index) as rank from fu)"""
 
 
-def _dense_full(spark, sf_dir, chunks):
-    """Full dense ranking inside the document, on letter-count vectors (no embedding model is needed for the operator)."""
-    from pyspark.sql import Window as W
-
-    from lakesignal.functions.vectors import cosine
-
-    q = questions(spark, sf_dir).select("doc_id", "query_id", letter_vector(F.col("text")).alias("qv"))
-    c = chunks.select("doc_id", "chunk_index", letter_vector(F.col("text")).alias("cv"))
-    pairs = q.join(c, "doc_id").withColumn("distance", 1 - cosine(F.col("qv"), F.col("cv")))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("distance", 12), "chunk_index"))).drop("qv", "cv")
+def _distances(q, chunks):
+    """Dense distances inside the document, on letter-count vectors (no embedding model is needed for the operator)."""
+    vectors = lambda df, *cols: df.select("doc_id", *cols, letter_vector(F.col("text")).alias("vector"))
+    return dense_distances(vectors(q, "query_id"), vectors(chunks, "chunk_index"))
 
 
 @query("dense_in_document", f"with {_DENSE} select doc_id, chunk_index::int as chunk_index, round(distance, 6) as distance, rank::int as rank from dr where rank <= 6")
 def dense_in_document(spark, sf_dir):
-    full = _dense_full(spark, sf_dir, chunk_table(spark, sf_dir))
-    return full.where("rank <= 6").select("doc_id", "chunk_index", F.round("distance", 6).alias("distance"), "rank")
+    distances = _distances(questions(spark, sf_dir), chunk_table(spark, sf_dir))
+    return dense_top_k(distances, ["doc_id", "query_id"], 6).select("doc_id", "chunk_index", F.round("distance", 6).alias("distance"), "rank")
 
 
 def _hybrid(spark, sf_dir, k):
     chunks = pinned(chunk_table(spark, sf_dir))
-    q = questions(spark, sf_dir)
-    lexical = bm25_ranking(bm25_scores(bm25_index(chunks, terms=query_terms(q)), q), all_candidates(q, chunks))
-    return hybrid_top_k(_dense_full(spark, sf_dir, chunks), lexical, ["doc_id", "query_id"], "chunk_index", k)
+    q = pinned(questions(spark, sf_dir))
+    return _fused(q, chunks, build_postings(chunks, queries=q), k)
+
+
+def _fused(q, chunks, postings, k):
+    keys = ["doc_id", "query_id"]
+    return fused_top_k(_distances(q, chunks), lambda n: postings.top_k(q, n), lambda some: postings.every_score(q.join(some, keys, "left_semi")), keys, k)
 
 
 @query("hybrid_topk", f"with {_DENSE} select doc_id, chunk_index::int as chunk_index, round(score, 6) as score, rank::int as rank from hy where rank <= 6")
@@ -99,6 +98,27 @@ def cross_document_topk(spark, sf_dir):
     return top.join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id").select("source", "doc_id", "chunk_index", "rank")
 
 
+_LISTED = "ls as (select d.doc_id as query_id, p as position, o.doc_id, o.source as label from documents d, (select unnest([0, 1, 2]) as p) join documents o on o.doc_id = (d.doc_id + p * 7) where d.doc_id % 5 = 0)"
+_LISTED_DENSE = _DENSE.replace(f"qu as (select doc_id, doc_id as query_id, {_QUERY} as text from documents)", f"{_LISTED}, qu as (select ls.doc_id, ls.query_id * 10 + position as query_id, {_QUERY} as text from ls join documents d on d.doc_id = ls.query_id)")
+
+
+@query(
+    "cross_document_excerpts",
+    f"""with {_LISTED_DENSE}
+select ls.query_id, row_number() over (partition by ls.query_id order by position, rank)::int as excerpt, ls.doc_id, label, chunk_index::int as chunk_index
+from hy join ls on hy.query_id = ls.query_id * 10 + position where rank <= 4""",
+)
+def cross_document_excerpts(spark, sf_dir):
+    """A question asked of three documents each: four excerpts of every one, merged in list order and numbered."""
+    d = docs(spark, sf_dir).select("doc_id", "source")
+    asked = d.where("doc_id % 5 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("position"))
+    asked = asked.withColumn("doc_id", F.col("query_id") + F.col("position") * 7)
+    lists = pinned(asked.join(d, "doc_id").select("query_id", "position", "doc_id", F.col("source").alias("label")))
+    q = pinned(asked_of_documents(questions(spark, sf_dir).drop("doc_id"), lists))
+    chunks = pinned(chunk_table(spark, sf_dir).join(lists.select("doc_id").distinct(), "doc_id", "left_semi"))
+    return merged_excerpts(_fused(q, chunks, build_postings(chunks, queries=q), 4), lists)
+
+
 @query(
     "rrf_fusion",
     """with r as (select o_orderpriority as query_id, o_custkey as item_id, row_number() over (partition by o_orderpriority order by sum(o_totalprice) desc, o_custkey) as rank from orders group by 1, 2 union all
@@ -122,8 +142,8 @@ def rrf_fusion(spark, sf_dir):
 def first_relevant_rank_query(spark, sf_dir):
     """Chunks with index 1, 4, 7, ... count as relevant."""
     chunks = pinned(chunk_table(spark, sf_dir))
-    q = questions(spark, sf_dir)
-    ranked = bm25_ranking(bm25_scores(bm25_index(chunks, terms=query_terms(q)), q), all_candidates(q, chunks)).where("rank <= 6")
+    q = pinned(questions(spark, sf_dir))
+    ranked = build_postings(chunks, queries=q).top_k(q, 6)
     ranked = pinned(ranked.select("query_id", F.col("chunk_index").alias("item_id"), "rank"))
     relevant = chunks.where("chunk_index % 3 = 1").select(F.col("doc_id").alias("query_id"), F.col("chunk_index").alias("item_id"))
     return first_relevant_rank(ranked, relevant)
@@ -162,3 +182,33 @@ def dense_topk(spark, sf_dir):
     """Six nearest vectors of the same label for every vector, by cosine distance."""
     v = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("query_id"), F.col("vec_id").alias("item_id"), F.col("vec_id").alias("own"), F.col("embedding").alias("vector"))
     return nearest(v, v, ["label"], 6, "cosine", exclude="own").select("label", "query_id", "item_id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
+
+
+def _routed(spark, sf_dir):
+    """Index of all vectors by cosine, and as queries those whose id is divisible by 20."""
+    v = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    items = v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), F.col("vec_id").alias("own"))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("vec_id").alias("own"))
+    index = fit_index(items, "cosine")
+    return index.calibrated(asked, 10, exclude="own"), asked
+
+
+@query("routed_topk")
+def routed_topk(spark, sf_dir):
+    """Ten nearest vectors through the routed index; which list a row is in depends on the fit, so SQL has no equal."""
+    index, asked = _routed(spark, sf_dir)
+    return index.search(asked, 10, exclude="own")
+
+
+@query(
+    "routed_recall",
+    "select count(*)::bigint as items, count(*) filter (where vec_id % 20 = 0)::bigint as queries, 10 * count(*) filter (where vec_id % 20 = 0)::bigint as wanted, true as enough from embeddings where embedding is not null",
+)
+def routed_recall(spark, sf_dir):
+    """Whether the routed index finds nine tenths of the true neighbours, measured against all rows."""
+    index, asked = _routed(spark, sf_dir)
+    whole = lambda df: df.withColumn("all", F.lit(0))
+    truth = pinned(nearest(whole(asked), whole(index.rows.select("item_id", "vector", "own")), ["all"], 10, "cosine", exclude="own"))
+    share = recall(index.search(asked, 10, exclude="own"), truth)
+    counts = index.rows.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("item_id") % 20 == 0).alias("queries"))
+    return attach_row(counts, truth.agg(F.count(F.lit(1)).alias("wanted"))).withColumn("enough", F.lit(share >= 0.9))

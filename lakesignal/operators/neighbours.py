@@ -77,7 +77,11 @@ def nearest(
             else:
                 d = np.sqrt(((m - v) ** 2).sum(axis=1))
             keep = np.flatnonzero(groups != own[at]) if exclude else np.arange(len(m))
-            best = keep[np.argsort(d[keep], kind="stable")[:k]]
+            near = d[keep]
+            if len(keep) > k:  # only what can be among the k nearest is sorted
+                some = near <= np.partition(near, k - 1)[k - 1] + 1e-11
+                keep, near = keep[some], near[some]
+            best = keep[np.lexsort((keep, np.round(near, 12)))[:k]]
             out_q += [query_id] * len(best)
             out_i += ids[best].tolist()
             out_d += d[best].tolist()

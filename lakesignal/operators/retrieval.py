@@ -27,7 +27,7 @@ def bm25_index(chunks: DataFrame, scope: Sequence[str] = ("doc_id",), item: str
     the scope's mean idf over its distinct terms.
     """
     scope = list(scope)
-    sized = chunks.select(*scope, item, _words(text).alias("_w")).withColumn("_len", F.size("_w"))
+    sized = pinned(chunks.select(*scope, item, _words(text).alias("_w")).withColumn("_len", F.size("_w")))  # texts are split once
     stats = sized.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"))
     # terms are made distinct inside the row, so document frequencies need one shuffle
     df = sized.select(*scope, F.explode(F.array_distinct("_w")).alias("term")).groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("_df"))
@@ -51,10 +51,15 @@ def query_terms(queries: DataFrame, scope: Sequence[str] = ("doc_id",), text: st
     return queries.select(*scope, F.explode(F.array_distinct(_words(text))).alias("term"))
 
 
+def query_words(queries: DataFrame, scope: Sequence[str] = ("doc_id",), query: str = "query_id", text: str = "text") -> DataFrame:
+    """(scope, query, term, times): the words of each query and how often it has them."""
+    return queries.select(*scope, query, F.explode(_words(text)).alias("term")).groupBy(*scope, query, "term").agg(F.count(F.lit(1)).alias("times"))
+
+
 def bm25_scores(index: DataFrame, queries: DataFrame, scope: Sequence[str] = ("doc_id",), item: str = "chunk_index", query: str = "query_id", text: str = "text") -> DataFrame:
     """Scores of the chunks that share a term with the query (repeated query words count again)."""
-    q = queries.select(*scope, query, F.explode(_words(text)).alias("term")).groupBy(*scope, query, "term").agg(F.count(F.lit(1)).alias("_times"))
-    return q.join(index, [*scope, "term"]).groupBy(*scope, query, item).agg(F.sum(F.col("weight") * F.col("_times")).alias("score"))
+    q = query_words(queries, scope, query, text)
+    return q.join(index, [*scope, "term"]).groupBy(*scope, query, item).agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
 
 
 def all_candidates(queries: DataFrame, chunks: DataFrame, scope: Sequence[str] = ("doc_id",), item: str = "chunk_index", query: str = "query_id") -> DataFrame:
