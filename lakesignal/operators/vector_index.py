@@ -111,14 +111,17 @@ def fit_index(items: DataFrame, metric: str = "euclidean", lists: int | None = N
         raise ValueError(f"unknown metric {metric}")
     items = items.where(F.col("vector").isNotNull()).withColumn("vector", F.col("vector").cast("array<double>"))
     total = items.count()
-    lists = min(MOST_LISTS, lists or max(1, math.isqrt(total)), max(1, total))
+    lists = min(MOST_LISTS, lists or max(1, math.isqrt(total)))
     few = hashed_sample(items, "item_id", sample, total, seed)
     if metric == "cosine":
         norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
         few = few.select(F.transform("vector", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).alias("vector"))
-    training = pinned(few.select(F.col("vector").alias("vector")))
-    if total:
-        model = KMeans(k=max(2, lists), maxIter=8, seed=seed, featuresCol="features").fit(training.select(array_to_vector("vector").alias("features")))
+    training = pinned(few.select("vector").distinct())  # copies would only draw centroids to one spot
+    lists = min(lists, training.count())
+    if lists == 1:
+        centroids = np.array([training.first()["vector"]], dtype=float)
+    elif lists:
+        model = KMeans(k=lists, maxIter=8, seed=seed, featuresCol="features").fit(training.select(array_to_vector("vector").alias("features")))
         centroids = np.array(model.clusterCenters(), dtype=float)
     else:
         centroids = np.zeros((1, 0))
