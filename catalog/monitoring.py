@@ -10,6 +10,7 @@ from lakesignal.plans.diagnosis import diagnose_runs, diagnose_traces, signal_co
 from lakesignal.plans.health import alert_lifecycle, alert_message, baseline_as_of, current_health, health_timeline, latest_baseline, streaks
 from lakesignal.scale import pinned
 from lakesignal.sources import registry
+from lakesignal.streaming.health import replayed_health
 
 
 def hourly_runs(spark, sf_dir):
@@ -72,6 +73,15 @@ def health_timeline_hysteresis(spark, sf_dir):
     return _timeline(spark, sf_dir, 1, 2, 2)
 
 
+@query("health_replay", f"with {_fold(1, 2, 2)} select {_TL} from tl")
+def health_replay(spark, sf_dir):
+    """The same runs in three parts, as micro-batches bring them: each part starts from the states before it."""
+    runs = pinned(hourly_runs(spark, sf_dir))
+    cut = lambda lo, hi: runs.where((F.col("run_id") >= lo) & (F.col("run_id") < hi))
+    t = replayed_health([cut(-(10**9), 240), cut(240, 250), cut(250, 10**9)], (1, 2, 2), ["run_id"])
+    return t.select("model_id", "run_id", "state", "consecutive_drifted", "consecutive_clean", "opens_alert", "resolves_alerts")
+
+
 @query("health_timeline_three_strikes", f"with {_fold(2, 3, 2)} select {_TL} from tl")
 def health_timeline_three_strikes(spark, sf_dir):
     return _timeline(spark, sf_dir, 2, 3, 2)

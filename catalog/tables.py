@@ -15,6 +15,7 @@ from lakesignal.scale import shared_folder, top_per_key
 from lakesignal.sources import datasets, documents, files, registry
 from lakesignal.sources.registry import Registry
 from lakesignal.sources.telemetry import newest, traced, with_defaults
+from lakesignal.streaming.retention import STATE_STORE, buffer_of, stream_newest
 from lakesignal.streaming.telemetry import micro_batches, windowed_metrics
 
 
@@ -29,6 +30,25 @@ def bounded_buffer(spark, sf_dir):
     return newest(table(spark, sf_dir, "events"), 500, "ts", "event_id").select("event_id")
 
 
+@query(
+    "retention_replay",
+    "select event_type, event_id::varchar as event_id from events qualify row_number() over (partition by event_type order by ts desc, event_id::varchar desc) <= 500",
+)
+def retention_replay(spark, sf_dir):
+    """The newest 500 events per type after the table went through the stream with expiring state."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select("event_type", F.col("ts").alias("at"), "event_id")
+    folder = f"{shared_folder(spark)}/retention/{uuid.uuid4().hex}"
+    setting, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(setting, STATE_STORE)
+    try:
+        changes = stream_newest(events, "event_type", 500, idle_seconds=10**9, watermark="36500 days")
+        writer = changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+    return buffer_of(spark.read.schema(changes.schema).parquet(f"{folder}/out"), "event_type").select("event_type", "event_id")
+
+
 @query("null_defaults", "select event_id, case when value > 50 then value else 0 end as latency_ms, case when event_type = 'click' then 3 else 0 end as citations from events")
 def null_defaults(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(
@@ -64,7 +84,7 @@ def micro_batches_query(spark, sf_dir):
 
 def _window_sql(origin):
     return f"""select strftime({origin}, '%Y-%m-%d %H:%M') as window_start, segment, round(avg((not grounded)::int), 6) as refusal_rate, round(avg((citations > 0)::int), 6) as citation_rate,
-  round(quantile_disc(latency_ms, 0.95), 6) as latency_p95_ms, count(*)::bigint as n_events"""
+  round(list_sort(list(latency_ms))[greatest(1, least(count(*), round_even(0.95 * count(*) + 0.5, 0)::bigint))], 6) as latency_p95_ms, count(*)::bigint as n_events"""
 
 
 def _windows(df):

@@ -1,15 +1,24 @@
-"""Health state per model kept across micro-batches."""
+"""Health state per model kept across micro-batches.
+
+``start_health`` runs the batch timeline on each micro-batch from the stored states, so the runs of one model are spread
+over all tasks.  ``stream_health`` keeps the states in Spark's state store and folds a model's runs of a micro-batch in
+one task, by whole arrays.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lakesignal.plans.health import DEGRADED, HEALTHY, RECOVERING, WARNING
+from lakesignal.plans.health import DEGRADED, HEALTHY, RECOVERING, WARNING, health_timeline
+from lakesignal.scale import latest, pinned
 
 OUTPUT = "model_id string, run_id bigint, state string, consecutive_drifted bigint, consecutive_clean bigint, opens_alert boolean, resolves_alerts boolean"
 STATE = "state string, consecutive_drifted bigint, consecutive_clean bigint"
@@ -69,3 +78,51 @@ def stream_health(runs: DataFrame, warning_after: int = 1, degraded_after: int =
 
     slim = runs.select("model_id", "run_id", "ts", "is_drifted")
     return slim.groupBy("model_id").applyInPandasWithState(fold, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def next_states(timeline: DataFrame, before: DataFrame | None, order: Sequence[str] = ("ts", "run_id")) -> DataFrame:
+    """(model_id, state, streaks) after a timeline: its last row per model, and what other models had before."""
+    names = ["model_id", "state", "consecutive_drifted", "consecutive_clean"]
+    after = latest(timeline.select(*names, *order), ["model_id"], list(order)).select(*names)
+    return after if before is None else after.unionByName(before.select(*names).join(after, "model_id", "left_anti"))
+
+
+def replayed_health(parts: Sequence[DataFrame], limits: tuple[int, int, int] = (1, 1, 1), order: Sequence[str] = ("ts", "run_id")) -> DataFrame:
+    """The timeline of runs that come in ``parts``, each from the states that the ones before left."""
+    states, out = None, None
+    for part in parts:
+        timeline = pinned(health_timeline(part, ["model_id"], list(order), *limits, initial=states))
+        states = pinned(next_states(timeline, states, order))
+        out = timeline if out is None else out.unionByName(timeline)
+    return out
+
+
+def _stored(spark: SparkSession, path: str, schema: str, epoch: int) -> DataFrame | None:
+    """The newest states written before ``epoch``."""
+    try:
+        rows = spark.read.schema(f"{schema}, epoch long").parquet(path).where(F.col("epoch") < epoch)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    last = rows.agg(F.max("epoch")).first()[0]
+    return None if last is None else rows.where(F.col("epoch") == last).drop("epoch")
+
+
+def start_health(runs: DataFrame, folder: str, checkpoint: str, limits: tuple[int, int, int] = (1, 1, 1), trigger: dict | None = None) -> StreamingQuery:
+    """Timeline of a stream of runs (model_id, run_id, ts, is_drifted) below ``folder``, by epoch.
+
+    A repeated epoch overwrites its own rows and starts from the states before it, so a restart repeats nothing.  Runs of
+    a later micro-batch count as later runs.
+    """
+
+    def step(rows: DataFrame, epoch: int) -> None:
+        spark = rows.sparkSession
+        before = _stored(spark, f"{folder}/states", f"model_id string, {STATE}", epoch)
+        timeline = pinned(health_timeline(rows, ["model_id"], ["ts", "run_id"], *limits, initial=before))
+        kept = timeline.select("model_id", "run_id", "state", "consecutive_drifted", "consecutive_clean", "opens_alert", "resolves_alerts")
+        kept.write.mode("overwrite").parquet(f"{folder}/timeline/epoch={epoch}")
+        next_states(timeline, before).write.mode("overwrite").parquet(f"{folder}/states/epoch={epoch}")
+
+    writer = runs.select("model_id", "run_id", "ts", "is_drifted").writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

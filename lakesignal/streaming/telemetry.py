@@ -10,28 +10,58 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from lakesignal.functions.stats import nearest_rank
+from lakesignal.operators.numeric_drift import nearest_rank_percentile
 from lakesignal.scale import numbered
 from lakesignal.sources.telemetry import traced
 
 
 def windowed_metrics(
-    events: DataFrame, keys: Sequence[str] = (), at: str = "at", width: str = "1 hour", slide: str | None = None, watermark: str | None = "10 minutes"
+    events: DataFrame,
+    keys: Sequence[str] = (),
+    at: str = "at",
+    width: str = "1 hour",
+    slide: str | None = None,
+    watermark: str | None = "10 minutes",
+    percentile: str = "exact",
 ) -> DataFrame:
     """Refusal rate, citation rate, p95 latency and count per event-time window.
 
     Works on a batch table and on a stream; on a stream rows later than the
-    watermark are dropped.  The percentile is a mergeable sketch, so the state
-    per window stays small.
+    watermark are dropped.  The percentile is the nearest rank with
+    ``percentile="exact"``, and a mergeable sketch with "sketch".
+
+    The exact one works on counts per distinct value.  On a stream these counts
+    are the state, a window is given out once it is closed (append mode), and
+    its distinct values then meet in one row; the sketch also suits the other
+    output modes.
     """
+    if percentile not in ("exact", "sketch"):
+        raise ValueError(f"unknown percentile {percentile}")
     rows = events.withWatermark(at, watermark) if watermark and events.isStreaming else events
     span = F.window(at, width, slide) if slide else F.window(at, width)
-    out = rows.groupBy(span.alias("window"), *keys).agg(
-        F.avg((~F.coalesce("grounded", F.lit(False))).cast("double")).alias("refusal_rate"),
-        F.avg((F.coalesce("citations", F.lit(0)) > 0).cast("double")).alias("citation_rate"),
-        F.percentile_approx(F.coalesce(F.col("latency_ms").cast("double"), F.lit(0.0)), 0.95, 10_000).alias("latency_p95_ms"),
-        F.count(F.lit(1)).alias("n_events"),
+    slim = rows.select(
+        span.alias("window"),
+        *keys,
+        (~F.coalesce("grounded", F.lit(False))).cast("long").alias("refused"),
+        (F.coalesce("citations", F.lit(0)) > 0).cast("long").alias("cited"),
+        F.coalesce(F.col("latency_ms").cast("double"), F.lit(0.0)).alias("latency"),
     )
-    return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "refusal_rate", "citation_rate", "latency_p95_ms", "n_events")
+    rates = [(F.sum("refused") / F.sum("n")).alias("refusal_rate"), (F.sum("cited") / F.sum("n")).alias("citation_rate"), F.sum("n").alias("n_events")]
+    names = [F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "refusal_rate", "citation_rate", "latency_p95_ms", "n_events"]
+    if percentile == "sketch":
+        sketch = F.percentile_approx("latency", 0.95, 10_000).alias("latency_p95_ms")
+        return slim.withColumn("n", F.lit(1).cast("long")).groupBy("window", *keys).agg(*rates, sketch).select(*names)
+    if not events.isStreaming:
+        named = slim.withColumn("_group", F.to_json(F.struct("window", *keys))).withColumn("n", F.lit(1).cast("long"))  # one key that is never null
+        held = named.groupBy("_group", "window", *keys).agg(*rates)
+        return held.join(nearest_rank_percentile(named, ["_group"], "latency", 95, "latency_p95_ms").drop("n"), "_group").select(*names)
+    counted = slim.groupBy("window", *keys, "latency").agg(F.count(F.lit(1)).alias("n"), F.sum("refused").alias("refused"), F.sum("cited").alias("cited"))
+    closed = counted.groupBy("window", *keys).agg(*rates, F.array_sort(F.collect_list(F.struct("latency", "n"))).alias("values"))
+    rank = nearest_rank(F.col("n_events"), 95)
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("v"))
+    step = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), F.coalesce(a["v"], F.when(a["n"] + x["n"] > rank, x["latency"])).alias("v"))
+    return closed.withColumn("latency_p95_ms", F.aggregate("values", start, step)["v"]).select(*names)
 
 
 def micro_batches(events: DataFrame, order: Sequence[str], min_batch: int = 5, buckets: int | None = None) -> DataFrame:
