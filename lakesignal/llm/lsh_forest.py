@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesignal.llm.common import bounded_broadcast, pinned, text_or_empty
-from lakesignal.llm.ngram_join import components, shingle_sets
+from lakesignal.llm.ngram_join import _sliced, components, shingle_sets
 from lakesignal.scale import salted_lookup
 
 #: Fixed shape of the forest: trees, bytes of a label, bytes that a region has in common.
@@ -47,7 +47,7 @@ FIRST = 3
 #: Nodes of a region that are paired in a stream; larger regions are cut into blocks of BLOCK.
 SMALL, BLOCK = 128, 2048
 #: Bounds of a block of sets: sets, and elements of sets.
-BLOCK_SETS, BLOCK_ELEMENTS = 512, 1_000_000
+BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
 #: Standard deviations of the share of equal bytes that a linked pair may stay behind.
 LEEWAY = 5.5
 
@@ -79,12 +79,6 @@ def _name(one: np.ndarray, salt: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _sliced(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.iloc[at : at + rows]
-
-
 def read_nodes(texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(keys, nodes): (_doc, _key, n, node) for each row of ``texts`` (_doc, _key, _text), and (node, n, sig) for each set."""
     kind = texts.schema["_doc"].dataType.simpleString()
@@ -248,6 +242,7 @@ def between_components(nodes: DataFrame, labels: DataFrame, percent: int) -> Dat
     shape = sizes.groupBy("tree", "root", "m").agg(F.max(F.struct("c", "comp")).alias("top"))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
     shape = pinned(shape.select("tree", "root", F.col("top.comp").alias("major"), blocks(F.col("m")).alias("nb"), blocks(F.col("m") - F.col("top.c")).alias("na")))
+    by = ["tree", "root", "i", "j"]
     placed = crowd.drop("m").join(shape, ["tree", "root"]).join(nodes, "node").withColumn("minor", F.col("comp") != F.col("major"))
     block = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(c)).cast("int")
     left = placed.where("minor").withColumn("i", block("na", 1)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -259,7 +254,7 @@ def between_components(nodes: DataFrame, labels: DataFrame, percent: int) -> Dat
         got = list(_between(a, b, int(a["tree"].iloc[0]), percent, least)) if len(a) and len(b) else []
         return _forest(*(np.concatenate([p[side] for p in got]) if got else np.zeros(0, np.int64) for side in (0, 1)))
 
-    by = ["tree", "root", "i", "j"]
+    left, right = left.repartition(*by), right.repartition(*by)  # else a region's blocks stay where its shape was looked up
     return found.unionByName(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(block_pair, "a long, b long"))
 
 

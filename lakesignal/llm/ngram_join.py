@@ -166,8 +166,8 @@ def folded(cell: bytes, size: int) -> np.ndarray:
 #: Nodes of one signature that are paired at once; larger groups meet in blocks.
 SMALL = 16
 #: Bounds of a block: sets, and elements of sets; the sketches of a block may have more.
-BLOCK_SETS, BLOCK_ELEMENTS = 512, 2_000_000
-SKETCH_SETS, SKETCH_ELEMENTS = 2048, 32_000_000
+BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
+SKETCH_SETS, SKETCH_ELEMENTS = 1024, 8_000_000
 
 
 def _node(one: np.ndarray, salt: int) -> tuple[int, int]:
@@ -176,10 +176,20 @@ def _node(one: np.ndarray, salt: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _sliced(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+#: Rows and code points of texts that are taken apart at once; a longer text is taken alone.
+SLICE_ROWS, SLICE_CHARS = 500, 2_000_000
+
+
+def _sliced(batches: Iterator[pd.DataFrame], rows: int = SLICE_ROWS, text: str = "_text") -> Iterator[pd.DataFrame]:
+    """The rows of ``batches`` in pieces with a bounded number of rows and, if they have texts, of code points."""
     for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.iloc[at : at + rows]
+        sizes = batch[text].str.len().to_numpy() if text in batch and len(batch) else np.zeros(len(batch), np.int64)
+        at = 0
+        while at < len(batch):
+            ends = np.cumsum(sizes[at : at + rows])
+            end = at + max(1, int(np.searchsorted(ends, SLICE_CHARS, side="right")))
+            yield batch.iloc[at:end]
+            at = end
 
 
 def _read_sets(texts: DataFrame, size: int, salt: int) -> DataFrame:
@@ -397,7 +407,8 @@ def _in_block_pairs(clusters: DataFrame, percent: int, sets: int, elements: int,
     placed = level.join(blocks, ["cluster", "level"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("cluster", "level", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "own", "block", "node", "n", *carried)
-    return spread.groupBy("cluster", "level", "bi", "bj")
+    by = ["cluster", "level", "bi", "bj"]
+    return spread.repartition(*by).groupBy(*by)  # else all blocks of a cluster stay where the sizes were looked up
 
 
 def tight_clusters(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

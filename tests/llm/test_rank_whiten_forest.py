@@ -6,11 +6,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakesignal.llm import lsh_forest, queries, ranked_search, whitening
+from lakesignal.llm import lsh_forest, ngram_join, queries, ranked_search, whitening
 from tests.llm.test_table_operators import WORDS, edited, plain_components, plain_sets
 
 DOCS = "doc_id long, text string, lang string"
@@ -197,3 +198,26 @@ def test_search_odd_tables(spark):
 @pytest.mark.parametrize("name", ["op11_lsh_forest", "op12_whitening", "op13_ranked_search"])
 def test_registered(name):
     assert name in queries.QUERIES and (name in queries.ORACLE) == (name != "op12_whitening")
+
+
+# --- op5: odd sketches -----------------------------------------------------------------------------------------------
+
+
+def test_sketches_differ_by_no_more_than_the_sets():
+    rng = np.random.default_rng(9)
+    for n in (1, 5, 40, 700):
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for change in (0, 1, n // 3, n):
+            other = np.unique(np.concatenate([base[change:], rng.integers(0, 1 << 63, rng.integers(0, n + 1)).astype(np.uint64)]))
+            apart = len(np.setxor1d(base, other))
+            a, b = ngram_join.sketch(base), ngram_join.sketch(other)
+            for size in {min(len(a), len(b)), 8}:
+                assert np.bitwise_count(ngram_join.folded(a, size) ^ ngram_join.folded(b, size)).sum() <= apart
+    assert len(ngram_join.sketch(base)) == 256 and ngram_join.sketch(np.zeros(0, np.uint64)) == bytes(8)
+
+
+def test_texts_are_cut_by_rows_and_length(monkeypatch):
+    monkeypatch.setattr(ngram_join, "SLICE_CHARS", 10)
+    rows = pd.DataFrame({"_text": ["a" * 4, "b" * 4, "c" * 4, "d" * 30, "", "e"], "x": range(6)})
+    assert [list(p["x"]) for p in ngram_join._sliced(iter([rows, rows.iloc[:0]]), 500)] == [[0, 1], [2], [3], [4, 5]]
+    assert [len(p) for p in ngram_join._sliced(iter([rows[["x"]]]), 4)] == [4, 2]
