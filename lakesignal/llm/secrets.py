@@ -41,8 +41,8 @@ _TYPE = r"""[A-Za-z_][\w.]*+(?:\[[\w.,|\[\]\x20]{0,60}+|<[\w.,|<>\[\]\x20]{0,60}
 _TARGET = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_][\w.$-]*+)(?:["'](?:[\x20\t]*+\])?)?[\x20\t]*+(?::=|=>|=(?![=~>])|:[\x20\t]*+(%s)[\x20\t]*+=(?![=~>])|:(?![:/]))[\x20\t]*+""" % _TYPE, re.ASCII)
 _TERM = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|\$\{([A-Za-z_][\w.]*+)\}|([A-Za-z_][\w.]*+)(?![\w@/+=-])|([^\s"'#;,{}()\[\]+]++)""", re.ASCII)
 _JOIN = re.compile(r"[\x20\t]*+\+[\x20\t]*+")
-#: What only a random string looks like: such a literal is enough for a name that says little.
-_RANDOM = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9+/_=.-]{20,}")
+#: The characters of a random string: 20 or more of these, of all kinds, are enough for a name that says little.
+_RANDOM_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -52,13 +52,54 @@ def name_weight(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in [*parts, *pairs]), default=0.0) + (0.5 if len({p for p in parts if p in SENSITIVE}) > 1 else 0.0)
 
 
-def literal_weight(value: str) -> float:
-    if len(value) < 8 or PLACEHOLDER.fullmatch(value) or re.search(r"\s", value):
+#: The longest text that a placeholder pattern is tried on; longer values can only be runs or bracketed.
+SHORT = 64
+#: Lengths from which on the numbers of characters are halved together: entropy stays, numbers stay small.
+LONG = 1 << 60
+
+
+class Value:
+    """What is known of a string without holding it: length, characters, ends, and the text while it is SHORT."""
+
+    __slots__ = ("n", "chars", "text", "first", "last")
+
+    def __init__(self, n: int, chars: Counter, text: str | None, first: str, last: str):
+        self.n, self.chars, self.text, self.first, self.last = n, chars, text, first, last
+
+    @classmethod
+    def of(cls, text: str) -> Value:
+        return cls(len(text), Counter(text), text if len(text) <= SHORT else None, text[:1], text[-1:])
+
+    @classmethod
+    def joined(cls, parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        n, chars = sum(p.n for p in parts), Counter()
+        for p in parts:
+            chars.update(p.chars)
+        text = "".join(p.text for p in parts) if n <= SHORT and all(p.text is not None for p in parts) else None
+        if n > LONG:
+            shift = n.bit_length() - LONG.bit_length()
+            chars = Counter({c: max(1, k >> shift) for c, k in chars.items()})
+            n = chars.total()
+        return cls(n, chars, text, next((p.first for p in parts if p.n), ""), next((p.last for p in reversed(parts) if p.n), ""))
+
+    def placeholder(self) -> bool:
+        if self.text is not None:
+            return bool(PLACEHOLDER.fullmatch(self.text))
+        letters = set(self.chars)
+        return letters <= {"x", "X"} or letters == {"*"} or self.first == "<" and self.last == ">" and "\n" not in letters
+
+
+def literal_weight(value: Value) -> float:
+    letters = value.chars
+    if value.n < 8 or value.placeholder() or any(c.isspace() for c in letters):
         return -3.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    mixed = any(c.isdigit() for c in value) + any(c.isalpha() for c in value) + any(not c.isalnum() for c in value)
-    return (1.0 if entropy >= 3 else 0.0) + (0.5 if mixed >= 2 else 0.0) + (0.5 if n >= 16 else 0.0) + (1.0 if entropy >= 4 and _RANDOM.fullmatch(value) else 0.0)
+    n = value.n
+    entropy = -sum(c / n * math.log2(c / n) for c in letters.values())
+    mixed = any(c.isdigit() for c in letters) + any(c.isalpha() for c in letters) + any(not c.isalnum() for c in letters)
+    usual = n >= 20 and all(c in _RANDOM_CHARS for c in letters) and any("a" <= c <= "z" for c in letters) and any("A" <= c <= "Z" for c in letters) and any("0" <= c <= "9" for c in letters)
+    return (1.0 if entropy >= 3 else 0.0) + (0.5 if mixed >= 2 else 0.0) + (0.5 if n >= 16 else 0.0) + (1.0 if entropy >= 4 and usual else 0.0)
 
 
 def _parsed(text: str) -> list[tuple[str, list[tuple[str | None, str, tuple[int, int] | None]]]]:
@@ -84,15 +125,20 @@ def _parsed(text: str) -> list[tuple[str, list[tuple[str | None, str, tuple[int,
     return out
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, spans of the literals it is made of) in order; constants are already put in."""
+def reported(text: str, least: float) -> set[tuple[int, int]]:
+    """Spans of the literals that reach a sensitive name with a score of ``least`` or more.
+
+    Constants are put in as ``Value`` summaries, never as texts, and a summary is forgotten after its last use; the
+    literals behind a reported name are looked up once each.  So time and memory grow with the text, not with what its
+    constants would expand to.
+    """
     parsed = _parsed(text)
     places: dict[str, list[int]] = {}
     for i, (name, _) in enumerate(parsed):
         places.setdefault(name, []).append(i)
 
     def source(name: str | None, i: int) -> int | None:
-        """The assignment that a reference in the i-th one means."""
+        """The assignment that a reference in the i-th one means: the last one above, or else the first one below."""
         those = places.get(name, ())
         above = bisect_left(those, i)
         if above:
@@ -100,32 +146,58 @@ def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
         below = bisect_right(those, i)
         return those[below] if below < len(those) else None
 
-    done: dict[int, tuple[str, list[tuple[int, int]]] | None] = {}  # None while what it refers to is being read
+    sources = [[source(ref, i) for ref, _, _ in terms] for i, (_, terms) in enumerate(parsed)]
+    uses = Counter(j for those in sources for j in those if j is not None)
+    values: dict[int, Value] = {}
+    links: list[list[int] | None] = [None] * len(parsed)  # the assignments that each one really takes in
+    literals: list[list[tuple[int, int]]] = [[] for _ in parsed]
+    begun = [False] * len(parsed)
+    found: set[tuple[int, int]] = set()
+    seen: set[int] = set()
+
+    def finish(i: int) -> None:
+        name, terms = parsed[i]
+        parts, into = [], []
+        for (_, own, span), j in zip(terms, sources[i]):
+            if j is not None and links[j] is not None:
+                parts.append(values[j])
+                into.append(j)
+            elif span:  # a literal, or a name that refers to nothing or back to itself
+                parts.append(Value.of(own))
+                literals[i].append(span)
+        links[i] = into
+        known = bool(literals[i] or into)
+        value = Value.joined(parts) if parts else Value.of("")
+        for j in sources[i]:
+            if j is not None:
+                uses[j] -= 1
+                if not uses[j]:
+                    values.pop(j, None)
+        if uses[i]:
+            values[i] = value
+        weight = name_weight(name)
+        if known and weight and weight + literal_weight(value) >= least:
+            todo = [i]
+            while todo:
+                k = todo.pop()
+                if k not in seen:
+                    seen.add(k)
+                    found.update(literals[k])
+                    todo += links[k] or ()
+
     for first in range(len(parsed)):
         todo = [first]
         while todo:
             i = todo[-1]
-            if done.get(i):
+            if links[i] is not None:
                 todo.pop()
-                continue
-            sources = [source(ref, i) for ref, _, _ in parsed[i][1]]
-            if i not in done:
-                done[i] = None
-                todo += [j for j in sources if j is not None and j not in done]
-                continue
-            value, spans = [], []
-            for (_, own, span), j in zip(parsed[i][1], sources):
-                if j is not None and done.get(j):
-                    value.append(done[j][0])
-                    spans += done[j][1]
-                elif span:
-                    value.append(own)
-                    spans.append(span)
-            # A long chain keeps the spans of its literals once.
-            done[i] = ("".join(value), list(dict.fromkeys(spans)))
-            todo.pop()
-        if done[first][1]:
-            yield parsed[first][0], *done[first]
+            elif begun[i]:
+                finish(i)
+                todo.pop()
+            else:
+                begun[i] = True
+                todo += [j for j in sources[i] if j is not None and not begun[j]]
+    return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -139,11 +211,7 @@ def lexed_spans(text: str, least: float = 4.0) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name with a score of ``least`` or more."""
     if "=" not in text and ":" not in text:
         return []
-    found = set()
-    for name, value, spans in assignments(text):
-        weight = name_weight(name)
-        if weight and weight + literal_weight(value) >= least:
-            found |= {(a, b, "assign") for a, b in spans if b > a}
+    found = {(a, b, "assign") for a, b in reported(text, least) if b > a}
     return sorted(found)
 
 

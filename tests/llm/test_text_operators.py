@@ -1,7 +1,9 @@
 """Operators on single texts against plain Python, with the odd inputs each of them defines."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -174,9 +176,70 @@ def test_secret_source_syntax(text):
 
 
 def test_secret_references():
-    assert [v for _, v, _ in secrets.assignments('a = b\nb = c\nc = a\nd = e\ne = "x"\ne = "y"\nf = e')] == ["a", "a", "a", "x", "x", "y", "y"]
-    chain = "\n".join(f"a{i} = a{i + 1}" for i in range(3000)) + '\na3000 = "Zk9#qLm2!vX7"'
-    assert all(v == "Zk9#qLm2!vX7" for _, v, _ in secrets.assignments(chain))
+    value = "Zk9#qLm2!vX7"
+    assert not secrets.lexed_spans("pwd = b\nb = c\nc = pwd\n")
+    chain = "\n".join(f"a{i} = a{i + 1}" for i in range(3000)) + f'\na3000 = "{value}"\npwd = a0'
+    assert [chain[a:b] for a, b, _ in secrets.lexed_spans(chain)] == [value]
+
+
+def expanded(text, least):
+    """The lexer's rule with every constant written out."""
+    parsed = secrets._parsed(text)
+
+    def source(name, i):
+        above = [k for k in range(i) if parsed[k][0] == name]
+        below = [k for k in range(i + 1, len(parsed)) if parsed[k][0] == name]
+        return above[-1] if above else below[0] if below else None
+
+    done = {}
+
+    def value(i):
+        done[i] = None
+        for ref, _, _ in parsed[i][1]:
+            j = source(ref, i)
+            if j is not None and j not in done:
+                value(j)
+        out, spans = "", []
+        for ref, own, span in parsed[i][1]:
+            j = source(ref, i)
+            if j is not None and done[j]:
+                out, spans = out + done[j][0], spans + done[j][1]
+            elif span:
+                out, spans = out + own, spans + [span]
+        done[i] = (out, spans)
+
+    found = set()
+    for i, (name, _) in enumerate(parsed):
+        if i not in done:
+            value(i)
+        text_value, spans = done[i]
+        weight = secrets.name_weight(name)
+        if spans and weight and weight + secrets.literal_weight(secrets.Value.of(text_value)) >= least:
+            found |= {s for s in spans if s[1] > s[0]}
+    return found
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_secret_summaries_equal_expanded_constants(seed):
+    rng = random.Random(seed)
+    names = ["pwd", "token", "a", "b", "c", "d", "authKey", "x1"]
+    literals = ['"Zk9#qLm2!vX7"', '"abcd"', '"xxxx"', '"q7RkT2vXz9"', '"<a"', '"b>"', '"change"', '"me"', '""', '"*"', '"a b"', "'0123456789'"]
+    for _ in range(200):
+        lines = [f"{rng.choice(names)} = {' + '.join(rng.choice(names + literals) for _ in range(rng.randint(1, 3)))}" for _ in range(rng.randint(1, 7))]
+        text = "\n".join(lines)
+        for least in (2.5, 4.0):
+            assert {(a, b) for a, b, _ in secrets.lexed_spans(text, least)} == expanded(text, least), text
+
+
+def test_secret_constants_that_grow():
+    """Constants that double or grow line by line: as text they would have 2**20000 or 10**9 characters."""
+    value = '"Zk9#qLm2!vX7"'
+    doubling = f"a0 = {value}\n" + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(20_000)) + "password = a20000\n"
+    growing = f"s = {value}\n" + 's = s + "abcdefgh"\n' * 20_000 + "password = s\n"
+    both = f"s = {value}\n" + 'password = s + "abcd"\ns = password + "x"\n' * 10_000
+    start = time.perf_counter()
+    assert [len(secrets.lexed_spans(t)) for t in (doubling, growing, both)] == [1, 20_001, 20_000]
+    assert time.perf_counter() - start < 20
 
 
 @pytest.mark.parametrize("name", sorted(secrets.SENSITIVE))
