@@ -6,8 +6,10 @@ The best container, the article around it if there is one, and siblings with eno
 
 Tags that never hold the article are thrown away.  A class, an id or a form only hints at furniture: text inside earns
 less per hint.  Such a part is left out unless the best container is inside it or the article consists mainly of such.
+A form inside an article that has neither its headline nor an article is left out in any case.
 
-Pages are parsed alone, in batches, so the job has no shuffle; a page is one row by definition.
+Pages are parsed alone, in batches, so the job has no shuffle; a page is one row by definition.  Open elements are looked
+up by name and place, so time grows with the page, however deep or badly nested it is.
 
 Defined cases: a null or empty html gives an empty text; unclosed and misnested tags close where the next block begins;
 a cut tag at the end of a page is markup, not text; repeated rows each get a row; an empty table gives an empty result;
@@ -42,6 +44,8 @@ FURNITURE = frozenset(
 #: What is left of points earned inside a hint of furniture, and the share of plain text below which hints are ignored.
 HINTED, PLAIN_SHARE = 0.25, 0.25
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What tells a form around the article from one inside it.
+CORE = frozenset("article main h1".split())
 #: An opening tag of the key closes an open element of the values, up to one of the walls.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = {"ul", "ol", "dl", "table", "select", "body", "article", "div", "section", "main"}
@@ -53,15 +57,32 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.dropped, self.link, self.heading_inside = ["#root"], [0], [False], [False], [False]
-        self.hint, self.hints = [False], [0]  # whether a node looks like furniture, and how many do from the root to it
+        self.tag, self.parent, self.dropped, self.link = ["#root"], [0], [False], [False]
+        self.hint, self.hints, self.form = [False], [0], [False]  # whether a node looks like furniture, how many do from the root to it, forms
         self.stack = [0]
+        self.places: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
+        self.walls = [0]  # where in the stack elements are that an implied close does not go beyond
+        self.outer = [0]  # where in the stack blocks are
         self.blocks: list[tuple[int, list[tuple[int, str]]]] = []
         self.open_block = False
 
+    def _push(self, node: int, tag: str) -> None:
+        depth = len(self.stack)
+        self.places.setdefault(tag, []).append(depth)
+        if tag in BLOCK:
+            self.outer.append(depth)
+        if tag in WALLS or tag in BLOCK and tag not in CLOSES:
+            self.walls.append(depth)
+        self.stack.append(node)
+
     def _pop_to(self, depth: int) -> None:
-        if any(self.tag[i] in BLOCK for i in self.stack[depth:]):
+        for node in self.stack[depth:]:
+            self.places[self.tag[node]].pop()
+        if self.outer[-1] >= depth:
             self.open_block = False
+        for places in (self.outer, self.walls):
+            while places[-1] >= depth:
+                places.pop()
         del self.stack[depth:]
 
     def handle_starttag(self, tag, attrs):
@@ -77,55 +98,60 @@ class Page(HTMLParser):
         self.tag.append(tag)
         self.parent.append(top)
         self.dropped.append(self.dropped[top] or self._dropped(tag, dict(attrs)))
-        self.hint.append(self._furniture(tag, dict(attrs)))
+        self.form.append(tag == "form" or (dict(attrs).get("role") or "").lower() == "form")
+        self.hint.append(self.form[-1] or self._furniture(tag, dict(attrs)))
         self.hints.append(self.hints[top] + self.hint[-1])
         self.link.append(self.link[top] or tag == "a")
-        self.heading_inside.append(False)
-        if tag in HEADINGS:
-            for i in self.stack:
-                self.heading_inside[i] = True
-        self.stack.append(node)
+        self._push(node, tag)
 
     handle_startendtag = handle_starttag
 
     def _close_implied(self, tag: str) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            open_tag = self.tag[self.stack[depth]]
-            if open_tag == "p" and tag not in ("head", "title"):
-                return self._pop_to(depth)
-            if open_tag in CLOSES.get(tag, ()):
-                return self._pop_to(depth)
-            if open_tag in WALLS or open_tag in BLOCK and open_tag not in CLOSES:
-                return None
-        return None
+        wall = self.walls[-1]
+        closed = max((self.places[t][-1] for t in CLOSES.get(tag, ()) if self.places.get(t)), default=0)
+        if closed > wall:
+            self._pop_to(closed)
+        elif self.tag[self.stack[wall]] == "p" and tag not in ("head", "title"):
+            self._pop_to(wall)
 
     def handle_endtag(self, tag):
-        if tag in VOID:
+        if tag in VOID or not self.places.get(tag):
             return
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.tag[self.stack[depth]] == tag:
-                return self._pop_to(depth)
-            if tag not in BLOCK and self.tag[self.stack[depth]] in BLOCK:
-                return None  # an inline end tag does not close blocks
-        return None
+        depth = self.places[tag][-1]
+        if tag in BLOCK or depth > self.outer[-1]:  # an inline end tag does not close blocks
+            self._pop_to(depth)
 
     def handle_data(self, data):
         node = self.stack[-1]
         if self.dropped[node]:
             return
         if not self.open_block:
-            self.blocks.append((next((i for i in reversed(self.stack) if self.tag[i] in BLOCK), 0), []))
+            self.blocks.append((self.stack[self.outer[-1]], []))
             self.open_block = True
         self.blocks[-1][1].append((node, data))
 
+    def holding(self, tags: frozenset[str]) -> list[bool]:
+        """For each node, whether an element of these names is inside it."""
+        out = [False] * len(self.tag)
+        for i in range(len(self.tag) - 1, 0, -1):
+            if out[i] or self.tag[i] in tags:
+                out[self.parent[i]] = True
+        return out
+
+    def form_inside(self) -> list[bool]:
+        """For each node, whether it belongs to a form that stands inside an article and has neither its headline nor an article."""
+        core, inside, out = self.holding(CORE), [False] * len(self.tag), [False] * len(self.tag)
+        for i in range(1, len(self.tag)):
+            inside[i] = inside[self.parent[i]] or self.tag[i] in ("article", "main")
+            out[i] = out[self.parent[i]] or (self.form[i] and inside[i] and not core[i])
+        return out
+
     def _dropped(self, tag: str, attrs: dict) -> bool:
         if tag in DROPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES:
             return True
         return "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
 
     def _furniture(self, tag: str, attrs: dict) -> bool:
-        if tag == "form" or (attrs.get("role") or "").lower() == "form":
-            return True
         if tag in ("html", "body", "main"):
             return False
         names = {p.lower() for a in ("class", "id") for p in _PART.findall(attrs.get(a) or "")}
@@ -163,7 +189,10 @@ def main_blocks(html: str) -> list[str]:
     """Texts of the blocks of the main content, in page order."""
     page = _parsed(html)
     texts = []
+    outside = page.form_inside()
     for node, pieces in page.blocks:
+        if outside[node]:
+            continue
         text = " ".join("".join(t for _, t in pieces).split())
         if text:
             total = sum(len(t.strip()) for _, t in pieces) or 1
@@ -179,18 +208,21 @@ def main_blocks(html: str) -> list[str]:
         kept = {at}
     else:
         above = page.parent[best]
-        siblings = [i for i in range(len(page.tag)) if page.parent[i] == above and i != best and i and not page.dropped[i] and (page.hint[best] or not page.hint[i])] if best else []
+        siblings = [i for i in range(len(page.tag)) if page.parent[i] == above and i != best and i and not page.dropped[i] and not outside[i] and (page.hint[best] or not page.hint[i])] if best else []
         enough = max(10.0, 0.2 * points[best])
         long_enough = {}
         for node, text, linked in texts:
             long_enough[node] = long_enough.get(node, False) or (len(text) >= 80 and linked < 0.25)
         kept = {best} | {i for i in siblings if points[i] >= enough or page.tag[i] in ("h1", "h2") or page.tag[i] == "p" and long_enough.get(i)}
-    inside = [False] * len(page.tag)
+    heading = page.holding(HEADINGS)
+    inside, headed = [False] * len(page.tag), [False] * len(page.tag)
     for i in range(len(page.tag)):
-        header = page.tag[i] == "header" and not page.heading_inside[i]
-        inside[i] = (i in kept or (i > 0 and inside[page.parent[i]])) and not header
+        above = page.parent[i]
+        header = page.tag[i] == "header" and not heading[i]
+        headed[i] = page.tag[i] == "header" or headed[above]
+        inside[i] = (i in kept or (i > 0 and inside[above])) and not header
     if best == 0 and at == 0:
-        inside = [page.tag[i] != "header" and all(page.tag[p] != "header" for p in _ancestors(page, i)) for i in range(len(page.tag))]
+        inside = [not h for h in headed]
     return _without_hinted(page, best, [t for t in texts if inside[t[0]]])
 
 

@@ -401,6 +401,36 @@ def test_hints_of_furniture_do_not_lose_the_article(page):
     assert html.main_blocks(page) == TEXT
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_generated_pages(seed):
+    """Pages with a known article among furniture, in several layouts."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join(rng.choice("river stone, garden light, number seven walks under the old bridge".split()) for _ in range(n))
+    escape = lambda t: t.replace("seven", "se&#118;en").replace(" old", "\n  <b>old</b>" if rng.random() < 0.5 else " old")
+    paragraphs = [words(rng.randint(20, 80)) for _ in range(rng.randint(3, 8))]
+    title = words(5)
+    body = f"<h1>{title}</h1>" + "".join(f"<p>{escape(t)}{rng.choice(['</p>', ''])}{rng.choice(['', '<!-- x -->', '<script>var a=1;</script>'])}" for t in paragraphs)
+    ads = ['<div class="ad">' + words(12) + "</div>", f'<aside class="related"><a href=x>{words(9)}</a></aside>', f'<div class="newsletter"><form><p>{words(15)}</p><input></form></div>']
+    inner = body + rng.choice(["", '<div class="comments"><p>' + words(30) + "</p></div>"])
+    article = {0: f"<article>{inner}</article>", 1: f"<main><div class=content>{inner}</div></main>", 2: f"<div id=content>{body}</div>"}[seed % 3]
+    around = f"<nav><ul>{''.join(f'<li><a href=/{i}>{words(2)}</a>' for i in range(9))}</ul></nav><header><a href=/>{words(3)}</a></header>"
+    page = f"<html><head><title>t</title><style>p{{}}</style></head><body>{around}{rng.choice(ads)}{article}{rng.choice(ads)}<footer><p>{words(20)}</p></footer></body></html>"
+    assert html.main_blocks(page) == [title, *paragraphs]
+
+
+def test_forms_inside_the_article():
+    form = '<form class="newsletter"><p>' + "Leave your address and hear from us every week, " * 3 + "</p></form>"
+    assert html.main_blocks(f"<main><h1>Title</h1><p>Short one.</p>{form}</main>") == ["Title", "Short one."]
+    assert html.main_blocks(f"<form><main><h1>Title</h1><p>{LONG}</p></main></form>") == ["Title", LONG.strip()]
+
+
+@pytest.mark.parametrize("page", ["<div><h2>" * 20000, "<b>" * 20000 + "</i>" * 20000 + "x", "<b><div>" + "<i>" * 20000 + "</b>" * 20000, "<b>" * 20000 + "<hr>a" * 20000, "<tr><td>" * 20000 + "<li>" * 20000, "<div>" * 40000 + "text"])
+def test_badly_nested_pages_take_linear_time(page):
+    start = time.perf_counter()
+    html.main_blocks(page)
+    assert time.perf_counter() - start < 5
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>a</p>", "x"), (None, None, "<p>b", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html.extract(pages).collect()) == [("", 0), ("a", 1), ("b", 1)]
