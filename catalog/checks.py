@@ -238,6 +238,24 @@ def rag_verdict_linear(spark, sf_dir):
     return verdict.withColumn("quality_score", F.round("quality_score", 6))
 
 
+@query(
+    "embedding_width_reasons",
+    """with v as (select label as g, case when vec_id % 2 = 0 then 'baseline' else 'current' end as s, len(embedding) - case when label = 3 and vec_id % 2 = 1 then 1 else 0 end as w from embeddings where label <> 5 or vec_id < 40),
+c as (select g, count(*) filter (where s = 'baseline') as m, count(*) filter (where s = 'current') as n, array_to_string(list_sort(list_distinct(list(w) filter (where s = 'baseline'))), '/') as b,
+  array_to_string(list_sort(list_distinct(list(w) filter (where s = 'current'))), '/') as d, count(distinct w) > 1 as mixed from v group by 1)
+select g, m::bigint as n_baseline, n::bigint as n_current, m < 8 or n < 8 or mixed as insufficient_sample,
+  case when m < 8 or n < 8 then 'fewer than 8 vectors on a side' when mixed then 'vectors of different widths: baseline ' || b || ', current ' || d end as reason from c""",
+)
+def embedding_width_reasons(spark, sf_dir):
+    """Label 3 lost a dimension in its current half, label 5 has few vectors."""
+    from lakesignal.operators.embedding_drift import width_reasons
+
+    odd = F.col("vec_id") % 2 == 1
+    v = table(spark, sf_dir, "embeddings").where("label <> 5 or vec_id < 40")
+    cut = F.when((F.col("label") == 3) & odd, F.slice("embedding", 1, F.size("embedding") - 1)).otherwise(F.col("embedding"))
+    return width_reasons(v.select(F.col("label").alias("g"), F.when(odd, "current").otherwise("baseline").alias("sample"), cut.alias("embedding")), ["g"])
+
+
 @query(
     "embedding_width_check",
     """select label, count(distinct len(embedding)) > 1 as width_mismatch, count(*)::bigint as n from embeddings group by 1""",

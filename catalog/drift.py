@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog import query, table
+from lakesignal.functions.stats import ks_p_value
 from lakesignal.operators.categorical_drift import category_counts, chi_square_test, jensen_shannon_test, two_proportion_test
 from lakesignal.operators.numeric_drift import (
     distance_summary,
@@ -67,6 +68,17 @@ def ks_by_feature(spark, sf_dir):
     )
 
 
+@query(
+    "ks_asymptotic",
+    f"""with {_RANKED}, d as (select feature, max(abs(cb / n_b - cc / n_c)) as d, max(n_b) as n_b, max(n_c) as n_c from ranked group by feature), p as ({_KS_P.format(src="d")})
+select feature, round(d, 6) as statistic, round(p, 6) as p_value from p""",
+)
+def ks_asymptotic(spark, sf_dir):
+    """One law for every sample size."""
+    s = distance_summary(lineitem_long(spark, sf_dir), ["feature"])
+    return s.select("feature", F.round("ks", 6).alias("statistic"), F.round(ks_p_value(F.col("ks"), F.col("n_baseline"), F.col("n_current"), "asymptotic"), 6).alias("p_value"))
+
+
 @query(
     "wasserstein_by_feature",
     f"""with {_RANKED},

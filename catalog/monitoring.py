@@ -262,12 +262,12 @@ def ranked_subsystems(spark, sf_dir):
 @query(
     "signal_confidence",
     """select user_id, round(coalesce(max(value) filter (where event_type = 'click'), greatest(max(value) filter (where event_type = 'view'),
-  max(value) filter (where event_type = 'error')), 0), 6) as confidence from events where value < 5 group by 1""",
+  max(value) filter (where event_type = 'error')), 0), 6) as confidence from events group by 1""",
 )
 def signal_confidence_query(spark, sf_dir):
     of = lambda t: F.max(F.when(F.col("event_type") == t, F.col("value")))
     conf = signal_confidence(of("click"), of("view"), of("error"))
-    return table(spark, sf_dir, "events").where("value < 5").groupBy("user_id").agg(F.round(conf, 6).alias("confidence"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(conf, 6).alias("confidence"))
 
 
 def _traces(spark, sf_dir):

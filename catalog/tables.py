@@ -9,6 +9,7 @@ from catalog.checks import TEL, telemetry
 from catalog.monitoring import _fold, hourly_runs
 from catalog.text import CHUNKS, RULES, _HITS, chunk_table, docs
 from lakesignal.functions.fixed_rules import NEGOTIATION_QUESTIONS
+from lakesignal.operators.chunking import chunk_documents
 from lakesignal.operators.rules import impact_text, rules_from_table, scan_rules, severity_rank
 from lakesignal.plans.run_check import run_telemetry_checks, telemetry_baselines
 from lakesignal.scale import shared_folder, top_per_key
@@ -262,7 +263,8 @@ select rule_id, bool_or(source = 'src0') as in_a, bool_or(source = 'src1') as in
 )
 def rule_set_difference(spark, sf_dir):
     """Rules of two sources by set operations: only in A, only in B, in both."""
-    f = scan_rules(chunk_table(spark, sf_dir), RULES).select("doc_id", "rule_id").join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    asked = docs(spark, sf_dir).where(F.col("source").isin("src0", "src1"))  # before any text is cut up
+    f = scan_rules(chunk_documents(asked), RULES).select("doc_id", "rule_id").join(asked.select("doc_id", "source"), "doc_id")
     a, b = (f.where(F.col("source") == s).select("rule_id") for s in ("src0", "src1"))
     mark = lambda df, x, y: df.withColumns({"in_a": F.lit(x), "in_b": F.lit(y)})
     return mark(a.intersect(b), True, True).unionByName(mark(a.subtract(b), True, False)).unionByName(mark(b.subtract(a), False, True))
@@ -288,6 +290,38 @@ def negotiation_questions(spark, sf_dir):
     return joined.select("rule_id", "n", F.col("question").isNotNull().alias("has_question"))
 
 
+@query(
+    "experiment_records",
+    "select o_orderkey::varchar as experiment_id, 'order ' || o_orderkey as name, o_orderpriority as kind, o_orderstatus as status, o_totalprice > 100000 as large from orders where o_orderpriority in ('1-URGENT', '5-LOW')",
+)
+def experiment_records(spark, sf_dir):
+    """Experiments appended in two batches, their results as JSON, and read back by kind."""
+    reg = Registry(spark, f"{shared_folder(spark)}/registry/{uuid.uuid4().hex}")
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(
+        F.col("o_orderkey").cast("string").alias("experiment_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderpriority").alias("kind"),
+        F.to_timestamp("o_orderdate").alias("created_at"), F.to_json(F.struct(F.col("o_custkey").alias("customer"))).alias("config"), F.to_json(F.struct(F.col("o_totalprice").alias("price"))).alias("results"), F.col("o_orderstatus").alias("status"),
+    )
+    for odd in (0, 1):
+        reg.append("experiments", rows.where(F.col("experiment_id").cast("long") % 2 == odd))
+    stored = reg.read("experiments")
+    found = registry.experiments_of(stored, "1-URGENT").unionByName(registry.experiments_of(stored, "5-LOW"))
+    large = F.from_json("results", "price double")["price"] > 100000
+    return found.select("experiment_id", "name", "kind", "status", large.alias("large"))
+
+
+@query(
+    "result_export",
+    "select l_returnflag as name, round(sum(l_quantity), 2) as quantity, count(*)::bigint as n from lineitem group by 1",
+)
+def result_export(spark, sf_dir):
+    """A metric table written as JSON and read back."""
+    path = f"{shared_folder(spark)}/export/{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("name")).agg(F.round(F.sum("l_quantity"), 2).cast("double").alias("quantity"), F.count(F.lit(1)).alias("n"))
+    datasets.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 # -- registry actions ----------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from lakesignal.operators.grounding import best_chunks_by_overlap, ground_quotes
 from lakesignal.operators.quote_index import QuoteIndex
 from lakesignal.operators.rules import clause_labels, compare_documents, coverage, label_clauses, scan_rules, severity_counts
 from lakesignal.plans.review import contradictions, document_text, extraction_quality, review_items
-from lakesignal.scale import pinned
+from lakesignal.scale import numbered, pinned
 
 #: Rules whose words do occur in the generated prose.
 RULES = (
@@ -434,6 +434,26 @@ def review_rollup(spark, sf_dir):
     return items.groupBy("doc_id", "section", "severity", "source", title.alias("title")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "review_evidence",
+    f"""with {cover_sql(CATEGORIES)}, {_match_sql(_REVIEW_RULES)}, {_CONFLICTS},
+cno(category_id, no) as (values {", ".join(f"('{c.category_id}', {i})" for i, c in enumerate(CATEGORIES))}),
+items as (
+  select doc_id, 0 as s, chunk_index::bigint as p1, rule_no::bigint as p2, 'risk' as source, rule_id, chunk_index::int as chunk_index, null as category, null as days from hits where severity = 'high' union all
+  select doc_id, 0, 1099511627776, case category when 'notice' then 1 else 2 end, 'contradiction', null, null, category, days_list from conf where doc_id in (select doc_id from documents) union all
+  select doc_id, 1, 2199023255552, no, 'coverage', null, null, category_id, null from cover join cno using (category_id) where status = 'not_found' and importance = 'high')
+select doc_id, row_number() over (partition by doc_id order by s, p1, p2)::int as position, source, rule_id, chunk_index, category, days from items""",
+)
+def review_evidence(spark, sf_dir):
+    """Top issues of every document in report order, each with its evidence."""
+    chunks = pinned(chunk_table(spark, sf_dir))
+    conflicts = contradictions(obligations(spark, sf_dir)).join(docs(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
+    items = review_items(scan_rules(chunks, _REVIEW_RULES), conflicts, coverage(chunks, CATEGORIES, numbered=True)).where("section = 'top_issue'")
+    placed = numbered(items, ["doc_id"], ["severity_rank", "p1", "p2"], "position")
+    days = F.when(F.col("values_days").isNotNull(), F.array_join(F.transform("values_days", lambda v: v.cast("string")), ", "))
+    return placed.select("doc_id", F.col("position").cast("int").alias("position"), "source", "rule_id", "chunk_index", "category", days.alias("days"))
+
+
 # -- pages ----------------------------------------------------------------------------
 
 _TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html,
@@ -460,9 +480,11 @@ def page_flags_query(spark, sf_dir):
     return page_flags(page_texts(spark, sf_dir)).select(F.col("page_number").alias("page_id"), "char_count", "flagged_low_text")
 
 
-@query("document_text", f"with {_PAGES} select doc_id, md5(array_to_string(list(text order by page_id), chr(10) || chr(10))) as digest from pg where text <> '' group by 1")
+@query("document_text", f"with {_PAGES} select page_id // 12 as doc_id, md5(array_to_string(list(text order by page_id), chr(10) || chr(10))) as digest from pg where text <> '' group by 1")
 def document_text_query(spark, sf_dir):
-    return document_text(page_texts(spark, sf_dir)).select("doc_id", F.md5("text").alias("digest"))
+    """Twelve pages make a document."""
+    pages = page_texts(spark, sf_dir).withColumn("doc_id", F.floor(F.col("page_number") / 12))
+    return document_text(pages).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query(

@@ -114,9 +114,11 @@ def label_clauses(chunks: DataFrame, rules: Sequence[Rule] = RISK_RULES) -> Data
     return chunks.withColumn("label", out.otherwise("none"))
 
 
-def coverage(chunks: DataFrame, categories: Sequence[Category] = COVERAGE_CATEGORIES, doc_id: str = "doc_id") -> DataFrame:
+def coverage(chunks: DataFrame, categories: Sequence[Category] = COVERAGE_CATEGORIES, doc_id: str = "doc_id", numbered: bool = False) -> DataFrame:
     """Per document and category: found with the first matching clause, or not_found.
 
+    ``numbered`` adds ``category_no``, the place of the category in the list.
+
     One map-side combined aggregate over the chunks; every category is a column
     of it until the end, so no join supplies the not_found rows.
     """
@@ -138,8 +140,9 @@ def coverage(chunks: DataFrame, categories: Sequence[Category] = COVERAGE_CATEGO
             F.when(F.col(f"`{c.category_id}`").isNotNull(), "found").otherwise("not_found").alias("status"),
             F.col(f"`{c.category_id}`.chunk_index").alias("evidence_chunk_index"),
             F.col(f"`{c.category_id}`.preview").alias("evidence_preview"),
+            *([F.lit(i).alias("category_no")] if numbered else []),
         )
-        for c in categories
+        for i, c in enumerate(categories)
     ]
     return wide.select(doc_id, F.inline(F.array(*rows)))
 

@@ -56,13 +56,17 @@ def document_text(pages: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFr
 
 
 def review_items(findings: DataFrame, conflicts: DataFrame, gaps: DataFrame) -> DataFrame:
-    """All report lines of every document: section, severity, position, source, title, detail.
+    """All report lines of every document: section, severity, position, source, title, detail and their evidence.
 
     Sections: top_issue, negotiable, question, clarification.  ``findings``,
     ``conflicts`` and ``gaps`` are the outputs of scan_rules, contradictions and
-    coverage.  Lines of one document sort by (section, severity rank, position).
+    coverage.  Lines of one document sort by (section, severity rank, p1, p2): findings by clause and rule, then
+    conflicts, then gaps, these two by category (of gaps as numbered by ``coverage(numbered=True)``, else by id).
+    Evidence is the rule, clause and excerpt of a finding, the category and durations of a conflict, the category of a gap.
     """
-    cols = ["doc_id", "section", "severity", "p1", "p2", "source", "title", "detail"]
+    evidence = {"rule_id": "string", "chunk_index": "int", "excerpt": "string", "category": "string", "values_days": "array<int>"}
+    cols = ["doc_id", "section", "severity", "p1", "p2", "source", "title", "detail", *evidence]
+    none = lambda *names: [F.lit(None).cast(evidence[n]).alias(n) for n in names]
     risk = findings.select(
         "doc_id",
         F.inline(
@@ -79,6 +83,10 @@ def review_items(findings: DataFrame, conflicts: DataFrame, gaps: DataFrame) ->
         F.lit("risk").alias("source"),
         F.col("label").alias("title"),
         F.col("explanation").alias("detail"),
+        "rule_id",
+        F.col("chunk_index").cast("int").alias("chunk_index"),
+        "excerpt",
+        *none("category", "values_days"),
     )
     # Fixed values from here on: the sentences of titles and details.
     values = F.array_join(F.transform("values_days", lambda v: F.concat(v.cast("string"), F.lit(" days"))), ", ")
@@ -87,7 +95,7 @@ def review_items(findings: DataFrame, conflicts: DataFrame, gaps: DataFrame) ->
         F.lit("top_issue").alias("section"),
         F.lit("high").alias("severity"),
         F.lit(1 << 40).alias("p1"),
-        F.lit(0).cast("bigint").alias("p2"),
+        F.coalesce(F.array_position(F.array(*[F.lit(c) for c in CHECKED_CATEGORIES]), F.col("category")), F.lit(0)).cast("bigint").alias("p2"),
         F.lit("contradiction").alias("source"),
         F.concat(F.lit("Potential conflict requiring review: "), "category", F.lit(" durations differ")).alias("title"),
         F.concat(
@@ -99,9 +107,14 @@ def review_items(findings: DataFrame, conflicts: DataFrame, gaps: DataFrame) ->
             values,
             F.lit(". This may be a genuine drafting inconsistency, or the clauses may legitimately cover different situations -- worth checking which one governs."),
         ).alias("detail"),
+        *none("rule_id", "chunk_index", "excerpt"),
+        "category",
+        F.col("values_days").cast("array<int>").alias("values_days"),
     )
     missing = gaps.where("status = 'not_found'")
-    base = [F.lit(1 << 41).alias("p1"), F.lit(0).cast("bigint").alias("p2"), F.lit("coverage").alias("source")]
+    place = F.col("category_no").cast("bigint") if "category_no" in gaps.columns else F.lit(0).cast("bigint")
+    base = [F.lit(1 << 41).alias("p1"), place.alias("p2"), F.lit("coverage").alias("source")]
+    missed = [*none("rule_id", "chunk_index", "excerpt"), F.col("category_id").alias("category"), *none("values_days")]
     gap = missing.where("importance = 'high'").select(
         "doc_id",
         F.lit("top_issue").alias("section"),
@@ -109,6 +122,7 @@ def review_items(findings: DataFrame, conflicts: DataFrame, gaps: DataFrame) ->
         *base,
         F.concat(F.lit("No "), "label", F.lit(" clause found")).alias("title"),
         F.concat(F.lit("A scan for "), F.lower("label"), F.lit(" language found nothing in this document. That does not prove it's absent -- only that this scan didn't find it.")).alias("detail"),
+        *missed,
     )
     clarify = missing.select(
         "doc_id",
@@ -117,14 +131,18 @@ def review_items(findings: DataFrame, conflicts: DataFrame, gaps: DataFrame) ->
         *base,
         F.col("category_id").alias("title"),
         F.concat(F.lit("This document doesn't appear to address "), F.lower("label"), F.lit(" -- worth clarifying with the other party before signing.")).alias("detail"),
+        *missed,
     )
     asked = F.create_map(*[F.lit(x) for kv in NEGOTIATION_QUESTIONS.items() for x in kv])
     questions = (
         findings.withColumn("detail", F.try_element_at(asked, F.col("rule_id")))
         .where(F.col("detail").isNotNull())
         .groupBy("doc_id", "detail")
-        .agg(F.min(F.struct(severity_rank(F.col("severity")).alias("s"), F.col("chunk_index").cast("bigint").alias("c"), F.col("rule_no").cast("bigint").alias("r"))).alias("at"), F.min("severity").alias("severity"))
-        .select("doc_id", F.lit("question").alias("section"), "severity", F.col("at.c").alias("p1"), F.col("at.r").alias("p2"), F.lit("risk").alias("source"), F.lit("question").alias("title"), "detail")
+        .agg(F.min(F.struct(severity_rank(F.col("severity")).alias("s"), F.col("chunk_index").cast("bigint").alias("c"), F.col("rule_no").cast("bigint").alias("r"), "rule_id", "excerpt")).alias("at"), F.min("severity").alias("severity"))
+        .select(
+            "doc_id", F.lit("question").alias("section"), "severity", F.col("at.c").alias("p1"), F.col("at.r").alias("p2"), F.lit("risk").alias("source"), F.lit("question").alias("title"), "detail",
+            F.col("at.rule_id").alias("rule_id"), F.col("at.c").cast("int").alias("chunk_index"), F.col("at.excerpt").alias("excerpt"), *none("category", "values_days"),
+        )
     )
     out = risk.select(*cols)
     for part in (conflict, gap, clarify, questions):

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakesignal.scale import latest
+from lakesignal.scale import latest, numbered
 
 
 def current_documents(rows: DataFrame, order: Sequence[str] = ("uploaded_at",)) -> DataFrame:
@@ -35,9 +34,9 @@ def next_version(existing: DataFrame, uploads: DataFrame) -> DataFrame:
 
 
 def version_chain(rows: DataFrame) -> DataFrame:
-    """Documents of each group in version order, then upload time."""
-    chain = W.partitionBy("version_group_id").orderBy("version_number", "uploaded_at", "doc_id")
-    return with_version_defaults(rows).withColumn("position", F.row_number().over(chain))
+    """Documents of each group in version order, then upload time; a large group is numbered in several tasks."""
+    placed = numbered(with_version_defaults(rows), ["version_group_id"], ["version_number", "uploaded_at", "doc_id"], "position")
+    return placed.withColumn("position", F.col("position").cast("int")).drop("_bucket")
 
 
 def can_access(user: str | None, admin: bool = False, owner: str = "owner") -> Column:
