@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakesignal.llm.common import fresh_names, pinned
+from lakesignal.llm.common import bounded_broadcast, fresh_names, pinned
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters inside words.
 LOOKALIKES = {
@@ -133,7 +133,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, keep, train_rows: int) -
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & keep)
     one = known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("label"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
+    texts = docs.select("doc_id", "text").join(bounded_broadcast(chosen, train_rows), "doc_id")  # whole texts stay where they are read
     # Copies of a text say the same thing once.
     return texts.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("key")).agg(F.first("text").alias("text"), F.max("label").alias("label")).drop("key")
 
