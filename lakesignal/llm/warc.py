@@ -34,6 +34,8 @@ from lakesignal.llm.common import pinned, shared_folder
 
 #: Payloads of fewer bytes are always stored.
 LEAST_SHARED = 1000
+#: Bytes of archive that a task reads back, about.
+TASK_BYTES = 16 << 20
 _FIELD = re.compile(rb"(?i)^([A-Za-z-]+):[ \t]*(.*)$")
 _INDEX = "url string, digest string, kind string, path string, offset long, length long"
 
@@ -157,8 +159,9 @@ def read_records(index: DataFrame, gap: int = 64 << 10, block: int = 4 << 20) ->
                 yield pd.DataFrame(out, columns=["page_id", "url", "kind", "record_urn", "refers_urn", "header_digest", "payload"]).astype({"page_id": "Int64"} if kind == "bigint" else {})
 
     schema = f"page_id {kind}, url string, kind string, record_urn string, refers_urn string, header_digest string, payload binary"
-    # Blocks are spread by hash; without this the few files of a small archive would be read by as few tasks.
-    spread = ranges(index, gap, block).repartition("path", "begin")
+    # Ranges are tiny rows for much data: their number of tasks follows from the bytes behind them.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    spread = ranges(index, gap, block).repartition(-(-size // TASK_BYTES) or 1, "path", "begin")
     return spread.mapInPandas(read, schema)
 
 
