@@ -114,7 +114,7 @@ def _best_stretch(equal: Column, cost: int) -> Column:
 
 def overlaps(
     docs: DataFrame, items: DataFrame, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    least: int = 13, cost: int = 2, share: float = 0.8, fewest: int = 4, broadcast_rows: int = 1_000_000,
+    least: int = 13, cost: int = 2, share: float = 0.8, fewest: int = 1, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """(_key, item_id, score, doc_begin, doc_end): verified overlaps of texts, ``_key`` the digest of a text, with word positions."""
     texts = docs.select(text_or_empty(doc_text).alias("_text")).withColumn("_key", F.md5("_text"))
@@ -159,9 +159,9 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     """(doc_id, item_id, score, doc_begin, doc_end): one row per document and item found in it."""
     found = pinned(overlaps(docs, items, text, **how))
     keys = docs.select(F.col(doc_id).alias("doc_id"), F.md5(text_or_empty(text)).alias("_key"))
-    return keys.join(found, "_key").drop("_key").groupBy("doc_id", "item_id").agg(
-        F.max("score").alias("score"), F.min("doc_begin").alias("doc_begin"), F.min("doc_end").alias("doc_end")
-    )
+    place = F.struct("score", "doc_begin", "doc_end")
+    best = F.max_by(place, F.struct("score", -F.col("doc_begin"), -F.col("doc_end"))).alias("p")  # of rows with one id, a single text's overlap
+    return keys.join(found, "_key").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "p.score", "p.doc_begin", "p.doc_end")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
