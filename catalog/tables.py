@@ -5,13 +5,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from catalog import query, table
-from catalog.checks import TEL, telemetry
+from catalog.checks import _RAG_SQL, TEL, _events_with_vectors, _feature_mmd_sql, telemetry
+from catalog.drift import _KS_P
 from catalog.monitoring import _fold, hourly_runs
 from catalog.text import CHUNKS, RULES, _HITS, chunk_table, docs
 from lakesignal.functions.fixed_rules import NEGOTIATION_QUESTIONS
 from lakesignal.operators.chunking import chunk_documents
 from lakesignal.operators.rules import impact_text, rules_from_table, scan_rules, severity_rank
 from lakesignal.plans.run_check import run_telemetry_checks, telemetry_baselines
+from lakesignal.plans.stored_checks import baseline_data, run_stored_checks, store_state
 from lakesignal.scale import shared_folder, top_per_key
 from lakesignal.sources import datasets, documents, files, registry
 from lakesignal.sources.registry import Registry
@@ -423,3 +425,77 @@ def run_check_replayed(spark, sf_dir):
     alerts = reg.read("alerts").groupBy("model_id").agg(F.count(F.lit(1)).alias("n_alerts"))
     joined = runs.join(alerts, "model_id", "left").join(reg.health().select("model_id", "state"), "model_id")
     return joined.withColumn("n_alerts", F.coalesce("n_alerts", F.lit(0)))
+
+
+_FOUR = f"""with {_RAG_SQL}, {_feature_mmd_sql(100)},
+rsig as (select segment, p < 0.05 or (name = 'retrieval' and w / iqr > 0.2) as drifted from ksp join iqr using (segment, name) union all
+  select segment, abs((xc / nc - xb / nb) / sqrt((xb + xc) / (nb + nc) * (1 - (xb + xc) / (nb + nc)) * (1 / nb + 1 / nc))) > 1.959963984540054 from prop union all
+  select segment, coalesce(m >= 8 and n >= 8 and p_value < 0.05, false) from (select distinct segment from tel) left join fmmd on g = segment),
+daily as (with {_DAILY_RUNS.replace(TEL + ",", "", 1)} select segment, run_id, k, r from d),
+fv as (select l_linenumber as run_id, feature, value from (select l_linenumber, unnest([{{'feature': 'l_quantity', 'value': l_quantity::double}}, {{'feature': 'l_discount', 'value': l_discount::double}}], recursive := true) from lineitem)),
+fc as (select r.run_id, feature, value, count(*) filter (where fv.run_id = 1) as nb, count(*) filter (where fv.run_id <> 1) as nc from (select unnest(range(2, 8)) as run_id) r join fv on fv.run_id = 1 or fv.run_id = r.run_id group by 1, 2, 3),
+fr as (select *, sum(nb) over w as cb, sum(nc) over w as cc, sum(nb) over g as n_b, sum(nc) over g as n_c from fc window w as (partition by run_id, feature order by value rows unbounded preceding), g as (partition by run_id, feature)),
+fd as (select run_id, feature, max(abs(cb / n_b - cc / n_c)) as d, max(n_b) as n_b, max(n_c) as n_c from fr group by 1, 2), fp as ({_KS_P.format(src="fd")}),
+ga as (select run, item_id, text as e, case run when 1 then text when 2 then left(text, length(text) // 2) else other end as a from (select item_id, text, lead(text, 1, 'nothing') over (order by item_id) as other from benchmark), (select unnest([1, 2, 3]) as run)),
+gt as (select run, item_id, term, count(*) filter (where s) as tl, count(*) filter (where not s) as tr from (select run, item_id, true as s, unnest(regexp_extract_all(lower(e), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term from ga union all
+  select run, item_id, false, unnest(regexp_extract_all(lower(a), '[\\p{{L}}\\p{{N}}_]{{2,}}')) from ga) group by 1, 2, 3),
+gi as (select run, term, ln((1 + 2 * (select count(*) from benchmark)) / (1 + sum((tl > 0)::int + (tr > 0)::int))) + 1 as idf from gt group by 1, 2),
+gs as (select run, item_id, coalesce(sum(tl * tr * idf * idf) / nullif(sqrt(sum(tl * tl * idf * idf)) * sqrt(sum(tr * tr * idf * idf)), 0), 0) as sim from gt join gi using (run, term) group by 1, 2),
+runs4 as (select 'lineitem' as model_id, run_id::bigint as run_id, avg((p < 0.05 / 2)::int) as drift_score, null::double as quality_score, avg((p < 0.05 / 2)::int) >= 0.3 as is_drifted from fp group by 1, 2 union all
+  select 'passages', run, greatest(0, 1 - avg(sim)), avg(sim), avg(sim) < 0.35 from gs group by 1, 2 union all
+  select 's' || segment, run_id, k / 3.0, 1 - r, k > 0 from daily union all
+  select 'r' || segment, 1, count(*) filter (where drifted) / 5, (select avg(grounded::int) from tel t where t.segment = rsig.segment and t.sample = 'current'), bool_or(drifted) from rsig group by segment),
+seen4 as (select *, lag(is_drifted) over w as was_bad, bool_or(is_drifted) over (partition by model_id order by run_id rows between unbounded preceding and 1 preceding) as any_bad from runs4 window w as (partition by model_id order by run_id))"""
+
+
+@query(
+    "run_check_all_kinds",
+    _FOUR + """ select model_id, run_id, round(drift_score, 6) as drift_score, round(quality_score, 6) as quality_score, is_drifted,
+  case when is_drifted then 'degraded' when was_bad then 'recovering' else 'healthy' end as state from seen4""",
+)
+def run_check_all_kinds(spark, sf_dir):
+    """Models of all four kinds, registered with stored baselines, checked in one call and, repeated, not again."""
+    reg, inputs, options = _four_kinds(spark, sf_dir)
+    first = run_stored_checks(reg, inputs, options)
+    again = run_stored_checks(reg, inputs, options)
+    runs = first.timeline.unionByName(again.timeline)
+    return runs.select("model_id", "run_id", F.round("drift_score", 6).alias("drift_score"), F.round("quality_score", 6).alias("quality_score"), "is_drifted", "state")
+
+
+def _four_kinds(spark, sf_dir):
+    """A registry with baselines in two batches, and the rows to check by kind."""
+    at = F.timestamp_seconds(F.col("run_id") * 86400)
+    events = _events_with_vectors(spark, sf_dir)
+    telemetry_rows = events.withColumn("model_id", F.concat(F.lit("s"), F.col("segment").cast("string"))).withColumn("run_id", F.dayofmonth("ts").cast("bigint"))
+    rag_rows = events.withColumn("model_id", F.concat(F.lit("r"), F.col("segment").cast("string"))).withColumn("run_id", F.lit(1).cast("bigint"))
+    features = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in ("l_quantity", "l_discount")]))
+    lines = table(spark, sf_dir, "lineitem").select(F.lit("lineitem").alias("model_id"), F.col("l_linenumber").cast("bigint").alias("run_id"), "l_orderkey", features)
+    b = table(spark, sf_dir, "benchmark")
+    following = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    golden = b.select(F.lit("passages").alias("model_id"), F.col("item_id").cast("string").alias("prompt"), F.col("text").alias("expected_answer"), F.col("item_id").cast("bigint").alias("position"))
+    half = F.expr("left(text, cast(length(text) div 2 as int))")
+    answers = b.join(following, "item_id", "left").select(
+        F.lit("passages").alias("model_id"), F.col("item_id").cast("string").alias("prompt"),
+        F.inline(F.array(*[F.struct(F.lit(r).cast("bigint").alias("run_id"), c.alias("actual_answer")) for r, c in ((1, F.col("text")), (2, half), (3, F.coalesce("other", F.lit("nothing"))))])),
+    )
+    based = {
+        "classifier": lines.where("run_id = 1").select("model_id", "feature", "value", "l_orderkey"),
+        "llm": golden,
+        "live_telemetry": telemetry_rows.where("sample = 'baseline'"),
+        "rag": rag_rows.where("sample = 'baseline'"),
+    }
+    reg = Registry(spark, f"{shared_folder(spark)}/registry/{uuid.uuid4().hex}")
+    start = F.timestamp_seconds(F.lit(0))
+    for kind, rows in based.items():
+        data = baseline_data(kind, rows).withColumn("created_at", start)
+        reg.register(data.select("model_id", F.col("model_id").alias("name"), F.lit(kind).alias("check_name"), "created_at", F.lit("{}").alias("config")), data)
+        parts = [rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 2 = 1")] if kind == "classifier" else [rows]
+        for part in parts:  # a baseline may grow by batches
+            store_state(reg, kind, part)
+    inputs = {
+        "classifier": lines.where("run_id > 1").withColumn("ts", at),
+        "llm": answers.withColumn("ts", at),
+        "live_telemetry": telemetry_rows.where("sample = 'current'"),
+        "rag": rag_rows.where("sample = 'current'"),
+    }
+    return reg, inputs, {"live_telemetry": {"limits": _DAILY_LIMITS}, "rag": {"permutations": 100}}

@@ -33,6 +33,13 @@ def value_counts(long: DataFrame, keys: Sequence[str], buckets: int | None = Non
     return with_bucket(counts, value_cuts(rows, keys, "value", buckets), keys, "value", buckets)
 
 
+def weighted_counts(counts: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """``value_counts`` from rows that are counts already: ``(keys, sample, value, n)``, as a stored baseline has them."""
+    side = lambda s: F.sum(F.when(F.col("sample") == s, F.col("n")).otherwise(0))
+    merged = counts.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(side(BASELINE).alias("nb"), side(CURRENT).alias("nc"))
+    return with_bucket(merged, value_cuts(merged, keys, "value", buckets), keys, "value", buckets)
+
+
 def ranked_values(long: DataFrame, keys: Sequence[str], buckets: int | None = None, side: str = "sample") -> DataFrame:
     """Distinct values per key with counts and cumulative counts of both samples.
 
@@ -92,7 +99,11 @@ def _gap() -> Column:
 
 def distance_summary(long: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
     """One row per key: KS D, Wasserstein-1, quartiles of the baseline, both sizes."""
-    ranked = ranked_values(long, keys, buckets)
+    return summary_of(ranked_values(long, keys, buckets), keys)
+
+
+def summary_of(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The summary from ``ranked_values`` or ``ranked_counts`` rows."""
     return ranked.groupBy(*keys).agg(
         F.max(_gap()).alias("ks"),
         F.coalesce(F.sum(_gap() * (F.col("next_value") - F.col("value"))), F.lit(0.0)).alias("wasserstein"),

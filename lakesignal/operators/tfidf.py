@@ -57,6 +57,29 @@ def pair_similarity(pairs: DataFrame, pair_id: Sequence[str], left: str, right:
     return pairs.join(scored, ids, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
+def pair_similarity_by(pairs: DataFrame, keys: Sequence[str], pair_id: Sequence[str], left: str, right: str) -> DataFrame:
+    """``pair_similarity`` with a model of its own for each key: fitted on the texts of both columns of the key's pairs.
+
+    Weights are looked up by (key, term), so neither a frequent term nor a key with most pairs meets in one task.
+    """
+    keys, ids = list(keys), [*keys, *pair_id]
+    both = pinned(pairs.select(*ids, tokens(F.col(left)).alias("_l"), tokens(F.col(right)).alias("_r")))
+    sides = F.concat(
+        F.transform("_l", lambda t: F.struct(t.alias("term"), F.lit(True).alias("is_left"))), F.transform("_r", lambda t: F.struct(t.alias("term"), F.lit(False).alias("is_left")))
+    )
+    counts = both.select(*ids, F.explode(sides).alias("t")).groupBy(*ids, F.col("t.term").alias("term"))
+    counts = pinned(counts.agg(F.count_if("t.is_left").alias("tl"), F.count_if(~F.col("t.is_left")).alias("tr")))
+    sizes = both.groupBy(*keys).agg((F.count(F.lit(1)) * 2).alias("n_docs"))
+    seen = counts.groupBy(*keys, "term").agg(F.sum((F.col("tl") > 0).cast("int") + (F.col("tr") > 0).cast("int")).alias("df")).join(sizes, keys)
+    idf = pinned(seen.select(*keys, "term", (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")))
+    w2 = F.col("idf") * F.col("idf")
+    dots = counts.join(idf, [*keys, "term"]).groupBy(*ids).agg(
+        F.sum(F.col("tl") * F.col("tr") * w2).alias("_dot"), F.sqrt(F.sum(F.col("tl") * F.col("tl") * w2)).alias("_nl"), F.sqrt(F.sum(F.col("tr") * F.col("tr") * w2)).alias("_nr")
+    )
+    cosine = F.when((F.col("_nl") > 0) & (F.col("_nr") > 0), F.col("_dot") / (F.col("_nl") * F.col("_nr"))).otherwise(0.0)
+    return pairs.join(dots.select(*ids, cosine.alias("similarity")), ids, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+
+
 def _kept(text: Column, stopwords: Sequence[str]) -> Column:
     toks = tokens(text)
     return F.filter(toks, lambda t: ~t.isin(list(stopwords))) if stopwords else toks

@@ -49,8 +49,16 @@ def rag_signals(
 ) -> DataFrame:
     """One row per (key, signal).  ``events`` carries a ``sample`` column with both windows."""
     keys = list(keys)
-    counts = event_counts(events, keys)
     summary = distance_summary(pooled_samples(events, keys), [*keys, "signal"], buckets)
+    vectors = events.where(F.size("question_embedding") > 0).select(*keys, "sample", F.col(event_id).alias("id"), F.col("question_embedding").alias("embedding"))
+    return signals_of(event_counts(events, keys), summary, vectors, keys, alpha, min_events, permutations, mmd_method)
+
+
+def signals_of(
+    counts: DataFrame, summary: DataFrame, vectors: DataFrame, keys: Sequence[str], alpha: float = 0.05, min_events: int = 8, permutations: int = 200, mmd_method: str = "exact"
+) -> DataFrame:
+    """The signals from ``event_counts``, the summary of the pooled samples by signal, and the vectors of both windows."""
+    keys = list(keys)
     ks = ks_rows(summary, [*keys, "signal"], alpha)
     wass = wasserstein_rows(summary, [*keys, "signal"])
     cols = ["statistic", "p_value", "effect_size", "drift_detected", "confidence", "insufficient_sample"]
@@ -88,7 +96,6 @@ def rag_signals(
         "p_value",
         "insufficient_sample",
     )
-    vectors = events.where(F.size("question_embedding") > 0).select(*keys, "sample", F.col(event_id).alias("id"), F.col("question_embedding").alias("embedding"))
     mmd = mmd_test(vectors, keys, permutations, alpha, method=mmd_method)
     found = counts.select(*keys).join(mmd, keys, "left")
     embedding = found.select(

@@ -24,8 +24,13 @@ def tabular_signals(
 
     ``long`` has columns keys, feature, sample, value.
     """
+    return signals_of(distance_summary(long, [*keys, feature], buckets), keys, feature, alpha, bonferroni)
+
+
+def signals_of(summary: DataFrame, keys: Sequence[str] = (), feature: str = "feature", alpha: float = 0.05, bonferroni: bool = True) -> DataFrame:
+    """The signals from a ``distance_summary``."""
     by = [*keys, feature]
-    summary = distance_summary(long, by, buckets).where((F.col("n_baseline") > 0) & (F.col("n_current") > 0))
+    summary = summary.where((F.col("n_baseline") > 0) & (F.col("n_current") > 0))
     # one row per feature is left here, so counting them per check is a tiny window
     joined = summary.withColumn("n_features", F.count(F.lit(1)).over(W.partitionBy(*keys)))
     threshold = F.lit(alpha) / F.col("n_features") if bonferroni else F.lit(alpha)

@@ -35,6 +35,9 @@ TABLES = {
     "health": "model_id string, state string, consecutive_drifted bigint, consecutive_clean bigint, updated_at timestamp, run_id bigint, seq bigint",
     "experiments": "experiment_id string, name string, kind string, created_at timestamp, config string, results string, status string",
     "traces": "trace_id string, model_id string, created_at timestamp, data string",
+    "baseline_values": "model_id string, version int, feature string, value double, n bigint",
+    "baseline_answers": "model_id string, version int, prompt string, expected_answer string, position bigint",
+    "baseline_vectors": "model_id string, version int, id string, embedding array<double>",
 }
 
 #: Natural key of the tables whose rows are superseded, with the order that decides the latest.
