@@ -24,6 +24,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Texts that go to Python workers at once; the session's default of 10,000 is meant for short rows.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size for rows with whole texts, unless it was set to something else."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 #: Bytes that are broadcast at most.
 BROADCAST_BYTES = 32 << 20
 

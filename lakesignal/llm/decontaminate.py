@@ -13,7 +13,7 @@ limit, and by a shuffled join on the hash beyond it.  Texts are looked at again
 of a text are one row from the first aggregation on.
 
 Defined cases: case, punctuation and white space do not count; a null or empty text or item has no word and no overlap;
-items below ``fewest`` words are
+items below ``fewest`` words (one, unless asked otherwise) are
 never found; repeated documents and items are each reported once per distinct (doc_id, item_id), null ids included;
 empty tables give an empty result; ``drop_contaminated`` keeps every column of the documents it keeps.
 """

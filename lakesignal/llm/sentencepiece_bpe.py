@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 BLANK = "▁"
 #: Words in each of two generations, and pairs of pieces and prefixes, remembered per worker; an entry takes some 200 bytes.
-CACHE, PAIRS = 400_000, 600_000
+CACHE, PAIRS = 200_000, 300_000
 
 
 class Pieces:
