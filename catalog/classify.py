@@ -8,6 +8,7 @@ from lakesignal.operators.classify import (
     folds,
     majority_prediction,
     out_of_fold_probabilities,
+    out_of_fold_classes,
     principal_components,
     review_sample,
     stratified_split,
@@ -15,7 +16,7 @@ from lakesignal.operators.classify import (
 )
 from lakesignal.operators.neighbours import nearest, neighbour_vote
 from lakesignal.operators.scoring import threshold_sweep
-from lakesignal.scale import pinned
+from lakesignal.scale import attach_row, pinned
 from lakesignal.sources.datasets import combined, pending_groups
 
 
@@ -143,6 +144,16 @@ def lr_threshold_sweep(spark, sf_dir):
     return threshold_sweep(oof, F.col("label") == "flagged", F.col("probability"))
 
 
+@query("text_classes", "select lang, count(*)::bigint as n, true as mostly_right, 0::bigint as leaking from documents where lang is not null group by 1")
+def text_classes(spark, sf_dir):
+    """Four languages told apart out of fold, by sources: every row once, nine of ten of all right, no source on both sides."""
+    d = table(spark, sf_dir, "documents").where("lang is not null").select("doc_id", "source", "text", F.col("lang").alias("label"))
+    found = pinned(out_of_fold_classes(d, "source", 3, buckets=1 << 14).select("doc_id", "source", "label", "fold", "prediction"))
+    leaking = found.groupBy("source").agg(F.count_distinct("fold").alias("f")).agg(F.count_if(F.col("f") > 1).alias("leaking"))
+    right = found.agg((F.avg((F.col("prediction") == F.col("label")).cast("double")) >= 0.9).alias("mostly_right"))
+    return attach_row(attach_row(found.groupBy(F.col("label").alias("lang")).agg(F.count(F.lit(1)).alias("n")), right), leaking)
+
+
 @query("text_classifier")
 def text_classifier_query(spark, sf_dir):
     """TF-IDF and balanced logistic regression on document quality, 75/25 stratified split."""

@@ -2,9 +2,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from lakesignal.operators.classify import out_of_fold_probabilities, principal_components, stratified_split, text_classifier
+from lakesignal.operators.classify import class_names, class_scores, out_of_fold_classes, out_of_fold_probabilities, principal_components, stratified_split, text_classifier
 from lakesignal.operators.evaluation import by_category, narrowed, quality_gate, score_cases, summarize
 from lakesignal.operators.neighbours import nearest, neighbour_vote
 from lakesignal.operators.retrieval import all_candidates, bm25_index, bm25_ranking, bm25_scores, first_relevant_rank, fuse, hybrid_top_k
@@ -149,3 +150,41 @@ def test_splits_and_models(spark):
     u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
     assert np.allclose(np.abs(pts), np.abs(u[:, :2] * s[:2]), atol=1e-6)
     assert principal_components(df.limit(2), "id", "vector").count() == 0
+
+
+def test_multinomial_text_classes(spark):
+    rng = np.random.default_rng(3)
+    words = {"none": "rent lease tenant", "high": "penalty forfeit seize", "medium": "notice renew period", "low": "colour paint carpet"}
+    rows = [(i, f"g{i % 13}", label, " ".join(rng.choice((w + " shared common words").split(), 12))) for i in range(160) for label, w in [list(words.items())[i % 4]]] + [(900, "g1", "none", None), (901, "g2", "none", "")]
+    df = spark.createDataFrame(rows, "id long, grp string, label string, text string").na.fill("", ["text"])
+    assert class_names(df) == ["none", "high", "low", "medium"]
+    found = out_of_fold_classes(df, "grp", 4, buckets=1 << 10).collect()
+    assert sorted(r["id"] for r in found) == sorted(r[0] for r in rows)
+    by_group = {}
+    for r in found:
+        by_group.setdefault(r["grp"], set()).add(r["fold"])
+        assert abs(sum(r["probabilities"]) - 1) < 1e-9 and len(r["probabilities"]) == 4
+    assert all(len(f) == 1 for f in by_group.values()) and len(set().union(*by_group.values())) > 1
+    assert np.mean([r["prediction"] == r["label"] for r in found if r["id"] < 900]) > 0.9
+    one = class_scores(df.where("label = 'none'"), df.limit(3)).collect()
+    assert {r["prediction"] for r in one} == {"none"}
+
+
+def test_softmax_fit_is_a_stationary_point(spark):
+    """The gradient of the weighted, regularised loss vanishes at the fitted coefficients."""
+    from lakesignal.operators import classify
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 5))
+    y = np.argmax(x[:, :4] + rng.normal(size=(120, 4)), axis=1)
+    df = spark.createDataFrame([(str(k), v.tolist()) for v, k in zip(x, y)], "label string, v array<double>")
+    ready = classify._numbered(classify.balanced_weights(df), "label", ["0", "1", "2", "3"]).withColumn("features", array_to_vector("v"))
+    model = classify._fit_lr(ready, "multinomial", 1e-12)
+    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    weight = (120 / (4 * np.bincount(y)))[y]
+    z = x @ w.T + b
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p = p / p.sum(axis=1, keepdims=True)
+    error = (p - np.eye(4)[y]) * weight[:, None]
+    gradient = error.T @ x / weight.sum() + w / 120
+    assert np.abs(gradient).max() < 1e-4 and np.abs(error.sum(axis=0) / weight.sum()).max() < 1e-4
