@@ -31,6 +31,7 @@ def pair_similarity(pairs: DataFrame, pair_id: Sequence[str], left: str, right:
     every term up front instead.
     """
     ids = list(pair_id)
+    pairs = pinned(pairs)  # read for the terms, their number and the result: whatever made the pairs runs once
     both = pairs.select(*ids, tokens(F.col(left)).alias("_l"), tokens(F.col(right)).alias("_r"))
     n_docs = pairs.agg((F.count(F.lit(1)) * 2).alias("n_docs"))
     exploded = both.select(
@@ -42,8 +43,8 @@ def pair_similarity(pairs: DataFrame, pair_id: Sequence[str], left: str, right:
             )
         ).alias("t"),
     )
-    counts = exploded.groupBy(*ids, F.col("t.term").alias("term")).agg(
-        F.count_if("t.is_left").alias("tl"), F.count_if(~F.col("t.is_left")).alias("tr")
+    counts = pinned(
+        exploded.groupBy(*ids, F.col("t.term").alias("term")).agg(F.count_if("t.is_left").alias("tl"), F.count_if(~F.col("t.is_left")).alias("tr"))
     )
     idf = document_frequencies(counts, n_docs, (F.col("tl") > 0).cast("int") + (F.col("tr") > 0).cast("int"))
     weighted = salted_lookup(counts, idf, ["term"], salts)
