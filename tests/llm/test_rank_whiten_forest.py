@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakesignal.llm import lsh_forest, ngram_join, queries, ranked_search, whitening
+from lakesignal.llm import common, lsh_forest, ngram_join, queries, ranked_search, whitening
 from tests.llm.test_table_operators import WORDS, edited, plain_components, plain_sets
 
 DOCS = "doc_id long, text string, lang string"
@@ -221,3 +221,25 @@ def test_texts_are_cut_by_rows_and_length(monkeypatch):
     rows = pd.DataFrame({"_text": ["a" * 4, "b" * 4, "c" * 4, "d" * 30, "", "e"], "x": range(6)})
     assert [list(p["x"]) for p in ngram_join._sliced(iter([rows, rows.iloc[:0]]), 500)] == [[0, 1], [2], [3], [4, 5]]
     assert [len(p) for p in ngram_join._sliced(iter([rows[["x"]]]), 4)] == [4, 2]
+
+
+# --- shared helpers ---------------------------------------------------------------------------------------------------
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    numbers, texts = spark.range(3), spark.range(3).select(F.col("id").cast("string"))
+    assert hinted(common.bounded_broadcast(numbers, 1_000_000)) and not hinted(common.bounded_broadcast(numbers, 1_000_001))
+    assert hinted(common.bounded_broadcast(texts, 500_000)) and not hinted(common.bounded_broadcast(texts, 600_000))
+
+
+def test_batches_of_texts_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("10000", str(common.BATCH_ROWS)), ("77", "77")):
+            spark.conf.set(name, given)
+            common.bounded_batches(spark)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
