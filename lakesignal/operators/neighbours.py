@@ -4,6 +4,11 @@ Queries and items of one scope are cut into blocks of at most about
 ``block_rows`` rows.  A (query block, item block) pair is one task: it compares
 the two small matrices in numpy and returns only k rows per query.  A scope
 that holds a third of all rows becomes many block pairs, never one group.
+
+A row is sent once per block of the other side, so blocks grow from
+``BLOCK_ROWS`` to ``MOST_BLOCK_ROWS`` with the scope.  Inside a pair, strips of
+queries meet all items in one matrix product; what this estimate leaves among
+the k nearest is measured again entry by entry, so distances and ties are exact.
 """
 
 from __future__ import annotations
@@ -18,12 +23,16 @@ from pyspark.sql import functions as F
 
 from lakesignal.scale import pinned, top_per_key
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS, MOST_BLOCK_ROWS = 2048, 16384
+#: Blocks a side before blocks grow, and distances held at once by a task.
+FEW_BLOCKS, STRIP = 8, 1 << 21
 
 
 def _blocked(df: DataFrame, scope: Sequence[str], row_id: str, name: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
     # one row per scope, written once: its exact size lets Spark broadcast it without shuffling the vectors by scope
-    counts = pinned(df.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(f"n_{name}")))
+    n = F.count(F.lit(1))
+    grown = F.greatest(F.lit(FEW_BLOCKS), F.ceil(n / (block_rows * (MOST_BLOCK_ROWS // BLOCK_ROWS))))
+    counts = pinned(df.groupBy(*scope).agg(F.least(F.ceil(n / block_rows), grown).cast("int").alias(f"n_{name}")))
     return df.join(counts, list(scope)).withColumn(name, F.pmod(F.xxhash64(row_id), F.col(f"n_{name}")).cast("int")), counts
 
 
@@ -47,8 +56,10 @@ def nearest(
         raise ValueError(f"unknown metric {metric}")
     scope = list(scope)
     extra = ["_exclude"] if exclude else []
-    q = queries.select(*scope, "query_id", F.col("vector").cast("array<double>").alias("vector"), *([F.col(exclude).alias("_exclude")] if exclude else []))
-    i = items.select(*scope, "item_id", F.col("vector").cast("array<double>").alias("vector"), *([F.col(exclude).alias("_exclude")] if exclude else []))
+    kinds = {dict(df.dtypes)["vector"] for df in (queries, items)}
+    sent = "array<float>" if kinds == {"array<float>"} else "array<double>"  # floats are widened where they are compared
+    q = queries.select(*scope, "query_id", F.col("vector").cast(sent).alias("vector"), *([F.col(exclude).alias("_exclude")] if exclude else []))
+    i = items.select(*scope, "item_id", F.col("vector").cast(sent).alias("vector"), *([F.col(exclude).alias("_exclude")] if exclude else []))
     q, q_counts = _blocked(q, scope, "query_id", "qb", block_rows)
     i, i_counts = _blocked(i, scope, "item_id", "ib", block_rows)
     left = q.join(i_counts, scope).withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("n_ib") - 1))).select(*scope, "qb", "ib", "query_id", "vector", *extra)
@@ -64,27 +75,45 @@ def nearest(
             return pd.DataFrame({n: [] for n in names})
         b = b.sort_values("item_id", kind="stable")
         m = np.array(b["vector"].tolist(), dtype=float)
-        norms = np.sqrt((m * m).sum(axis=1))
+        squares = (m * m).sum(axis=1)
+        norms = np.sqrt(squares)
         ids = b["item_id"].to_numpy()
         groups = b["_exclude"].to_numpy() if exclude else None
         out_q, out_i, out_d = [], [], []
         own = a["_exclude"].to_numpy() if exclude else None
-        for at, (query_id, vector) in enumerate(zip(a["query_id"], a["vector"])):
-            v = np.asarray(vector, dtype=float)
-            if metric == "cosine":
-                scale = norms * np.sqrt((v * v).sum())
-                d = 1.0 - np.divide(m @ v, scale, out=np.zeros(len(m)), where=scale > 0)
-            else:
-                d = np.sqrt(((m - v) ** 2).sum(axis=1))
-            keep = np.flatnonzero(groups != own[at]) if exclude else np.arange(len(m))
-            near = d[keep]
-            if len(keep) > k:  # only what can be among the k nearest is sorted
-                some = near <= np.partition(near, k - 1)[k - 1] + 1e-11
-                keep, near = keep[some], near[some]
-            best = keep[np.lexsort((keep, np.round(near, 12)))[:k]]
-            out_q += [query_id] * len(best)
-            out_i += ids[best].tolist()
-            out_d += d[best].tolist()
+        asked = a["query_id"].to_numpy()
+        step = max(1, STRIP // len(m))
+        for start in range(0, len(a), step):
+            vs = np.array(a["vector"].iloc[start : start + step].tolist(), dtype=float)
+            own_squares = (vs * vs).sum(axis=1)
+            with np.errstate(invalid="ignore", over="ignore"):
+                products = vs @ m.T
+                estimates = products if metric == "cosine" else np.add.outer(own_squares, squares) - 2.0 * products
+            for at, v in enumerate(vs):
+                keep = np.flatnonzero(groups != own[start + at]) if exclude else np.arange(len(m))
+                if len(keep) > k and np.isfinite(estimates[at]).all():  # only what can be among the k nearest is measured
+                    if metric == "cosine":
+                        scale = norms * np.sqrt(own_squares[at])
+                        rough = 1.0 - np.divide(estimates[at], scale, out=np.zeros(len(m)), where=scale > 0)[keep]
+                        slack = 1e-9
+                    else:
+                        rough = estimates[at][keep]
+                        # rounding of the squares, and of distances to 12 digits
+                        slack = 1e-9 * (own_squares[at] + squares.max()) + 1e-9
+                    keep = keep[rough <= np.partition(rough, k - 1)[k - 1] + slack]
+                part = m[keep]
+                if metric == "cosine":
+                    scale = norms[keep] * np.sqrt((v * v).sum())
+                    near = 1.0 - np.divide(part @ v, scale, out=np.zeros(len(part)), where=scale > 0)
+                else:
+                    near = np.sqrt(((part - v) ** 2).sum(axis=1))
+                if len(keep) > k:
+                    some = near <= np.partition(near, k - 1)[k - 1] + 1e-11
+                    keep, near = keep[some], near[some]
+                best = np.lexsort((keep, np.round(near, 12)))[:k]
+                out_q += [asked[start + at]] * len(best)
+                out_i += ids[keep[best]].tolist()
+                out_d += near[best].tolist()
         frame = pd.DataFrame({"query_id": out_q, "item_id": out_i, "distance": out_d})
         for s in scope:
             frame[s] = a[s].iloc[0]

@@ -1,9 +1,10 @@
 """Figures that must not grow faster than the input: where rows are dealt to, how often they are repeated."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakesignal.operators import classify
+from lakesignal.operators import classify, neighbours
 
 
 @pytest.fixture
@@ -25,3 +26,21 @@ def test_class_weights_leave_rows_where_they_are(spark, no_small_tables):
     assert len(used) == 8 and {r["count"] for r in used} == {50}
     assert {(r["label"], r["weight"]) for r in out.select("label", "weight").distinct().collect()} == {("a", 2.0), ("b", 400 / 600)}
 
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_sends_rows_to_few_blocks_and_stays_exact(spark, kind):
+    rng = np.random.default_rng(3)
+    points = (rng.normal(size=(120, 6)) * 1000).astype(np.float32)
+    points[40:80] = points[0]  # copies: ties at distance 0
+    rows = [(0, i, [float(x) for x in p]) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, f"scope int, query_id long, vector array<{kind}>").withColumn("item_id", F.col("query_id")).withColumn("own", F.col("query_id"))
+    blocked, _ = neighbours._blocked(df, ["scope"], "item_id", "ib", 2)
+    assert blocked.agg(F.max("n_ib")).first()[0] == 8  # 60 blocks before: each row was sent 60 times
+    m = points.astype(float)
+    found = neighbours.nearest(df, df, ["scope"], 4, exclude="own", block_rows=2).collect()
+    assert len(found) == 480
+    for r in found:
+        d = np.sqrt(((m - m[r["query_id"]]) ** 2).sum(axis=1))
+        order = sorted((round(x, 12), j) for j, x in enumerate(d) if j != r["query_id"])
+        assert order[r["rank"] - 1][1] == r["item_id"] and abs(d[r["item_id"]] - r["distance"]) < 1e-12
