@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lakesignal.functions.fixed_rules import ANSWER_TEXTS, OBLIGATION_CATEGORIES, OVERVIEW_FIELDS, OVERVIEW_STATUSES
 from lakesignal.functions.text import normalize, strip
 from lakesignal.operators.grounding import ground_quotes
+from lakesignal.operators.quote_index import QuoteIndex
 
 
 def salvage_json(raw: Column) -> Column:
@@ -177,8 +178,11 @@ def overview_fields(outputs: DataFrame, chunks: DataFrame, documents: DataFrame,
     )
 
 
-def overview_items(outputs: DataFrame, chunks: DataFrame, documents: DataFrame, name: str) -> DataFrame:
-    """Entries of a list field (plain texts, or objects with text and source_quote); blank ones are dropped."""
+def overview_items(outputs: DataFrame, chunks: DataFrame | None, documents: DataFrame | None, name: str, index: QuoteIndex | None = None) -> DataFrame:
+    """Entries of a list field (plain texts, or objects with text and source_quote); blank ones are dropped.
+
+    ``index`` is used in place of chunks and documents, so that several lists share one.
+    """
     each = with_parsed(outputs).select("doc_id", F.posexplode(items(F.col("data"), f"$.{name}")).alias("position", "o"))
     whole = F.try_variant_get("o", "$", "string")
     is_object = F.schema_of_variant("o").startswith("OBJECT")
@@ -188,7 +192,7 @@ def overview_items(outputs: DataFrame, chunks: DataFrame, documents: DataFrame,
         F.when(is_object, F.coalesce(text_or(F.col("o"), "$.text", None), whole)).otherwise(whole).alias("text"),
         F.when(is_object, text_or(F.col("o"), "$.source_quote", "")).otherwise("").alias("source_quote"),
     ).where(strip(F.col("text")) != "")
-    return ground_quotes(rows, chunks, documents, ["position"], "source_quote")
+    return ground_quotes(rows, chunks, documents, ["position"], "source_quote", index)
 
 
 SUMMARY_LISTS = ("parties", "key_obligations", "important_dates", "penalty_clauses", "termination_conditions")

@@ -41,25 +41,53 @@ class QuoteIndex:
     texts: DataFrame
     grams: DataFrame
     words: DataFrame
+    is_stored: bool = False
 
     @staticmethod
     def of(chunks: DataFrame, documents: DataFrame) -> QuoteIndex:
         """Index of ``chunks`` (doc_id, chunk_index, text) and ``documents`` (doc_id, text).
 
-        The tables are lazy but for the texts; ``stored`` writes the others.  Unstored, a filter on them is applied while
-        the units are read, so a one-off set of quotes never shuffles the whole index.
+        The tables are lazy but for the texts; ``stored`` writes the others.  Unstored, the units meet what a one-off set
+        of quotes asks of their document, and only that leaves a row: texts are shuffled, never one row per word.
         """
         whole = documents.select("doc_id", F.lit(WHOLE).alias("unit"), "text")
         units = chunks.select("doc_id", F.col("chunk_index").cast("int").alias("unit"), "text").unionByName(whole)
         texts = pinned(units.select("doc_id", "unit", normalize(F.col("text")).alias("t")))
+        return QuoteIndex.over(texts)
+
+    def stored(self) -> QuoteIndex:
+        """The index with all tables written, ordered by document, so that readers skip what they do not ask for.
+
+        Units are dealt by range once; their grams and words are made where they lie, so only texts are shuffled.
+        """
+        texts = pinned(self.texts.repartitionByRange("doc_id", "unit").sortWithinPartitions("doc_id", "unit"))
+        lazy = QuoteIndex.over(texts)
+        put = lambda df, *order: pinned(df.sortWithinPartitions(*order))
+        return QuoteIndex(texts, put(lazy.grams, "doc_id", "gram"), put(lazy.words, "doc_id", "word"), True)
+
+    @staticmethod
+    def over(texts: DataFrame) -> QuoteIndex:
+        """The lazy tables over written ``texts``."""
         grams = texts.select("doc_id", "unit", F.posexplode(gram_hashes(split_words(F.col("t")))).alias("pos", "gram"))
         words = texts.select("doc_id", "unit", F.explode(F.array_distinct(distinct_content_words(F.col("t")))).alias("word"))
         return QuoteIndex(texts, grams.select("doc_id", "gram", "unit", "pos"), words.select("doc_id", "word", "unit"))
 
-    def stored(self) -> QuoteIndex:
-        """The index with all tables written, ordered by document, so that readers skip what they do not ask for."""
-        put = lambda df, *order: pinned(df.repartitionByRange(*order).sortWithinPartitions(*order))
-        return QuoteIndex(self.texts, put(self.grams, "doc_id", "gram"), put(self.words, "doc_id", "word"))
+    def word_units(self, wanted: DataFrame) -> DataFrame:
+        """(doc_id, word, unit): the units of the ``wanted`` (doc_id, word)."""
+        wanted = wanted.select("doc_id", "word").distinct()
+        if self.is_stored:
+            return self.words.join(wanted, ["doc_id", "word"], "left_semi")
+        asked = asked_of_documents(wanted, ["word"], 4096)
+        held = self.texts.join(asked, "doc_id")
+        found = F.array_intersect(distinct_content_words(F.col("t")), F.transform("_asked", lambda a: a["word"]))
+        return held.select("doc_id", F.explode(found).alias("word"), "unit")
+
+
+def asked_of_documents(rows: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """(doc_id, _asked): the rows of a document as structs, in arrays of about ``most`` at most, for a join that does not sort texts."""
+    parts = rows.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts"))
+    dealt = rows.join(parts, "doc_id").withColumn("_part", F.pmod(F.xxhash64(*columns), F.col("_parts")))
+    return dealt.groupBy("doc_id", "_part").agg(F.collect_list(F.struct(*columns)).alias("_asked")).drop("_part").hint("shuffle_hash")
 
 
 def contained(quotes: DataFrame, index: QuoteIndex, keys: list[str]) -> DataFrame:
@@ -74,6 +102,8 @@ def contained(quotes: DataFrame, index: QuoteIndex, keys: list[str]) -> DataFram
     middle = F.slice(w, F.floor((inner - GRAM) / 2).cast("int") + 2, GRAM)
     probed = quotes.select(*keys, "_q", F.when(inner >= GRAM, gram_hashes(middle)[0]).alias("gram"))
     probes = pinned(probed)  # a hash a quote: its size decides how the index is joined
+    if not index.is_stored:
+        return _in_document(probes, index, keys)
     long = probes.where("gram is not null")
     # first the index by the wanted grams, then quotes: equal probes do not repeat index rows before they are compared
     hits = index.grams.select("doc_id", "gram", "unit").join(long.select("doc_id", "gram").distinct(), ["doc_id", "gram"], "left_semi").distinct()
@@ -81,9 +111,26 @@ def contained(quotes: DataFrame, index: QuoteIndex, keys: list[str]) -> DataFram
     near = near.join(index.texts, ["doc_id", "unit"])
     short = salted_lookup(index.texts, probes.where("gram is null").select(*keys, "_q"), ["doc_id"], 4)
     found = near.select(*keys, "unit", "_q", "t").unionByName(short.select(*keys, "unit", "_q", "t")).where(F.contains("t", "_q"))
+    return _places(found, keys)
+
+
+def _places(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.min(F.when(F.col("unit") != WHOLE, F.col("unit"))).alias("exact"), F.bool_or(F.col("unit") == WHOLE).alias("in_doc"))
 
 
+def _in_document(probes: DataFrame, index: QuoteIndex, keys: list[str]) -> DataFrame:
+    """``contained`` in one pass over the texts: a unit meets the quotes of its document, of many only those whose probe it holds."""
+    rest = [k for k in keys if k != "doc_id"]
+    held = index.texts.join(asked_of_documents(probes, [*rest, "_q", "gram"], 512), "doc_id")
+    probed = F.array_intersect(gram_hashes(split_words(F.col("t"))), F.transform("_asked", lambda a: a["gram"]))
+    # few quotes are compared at once, which is quicker than hashing the words
+    held = held.withColumn("_held", F.when(F.size("_asked") > 16, probed))
+    near = lambda a: F.col("_held").isNull() | a["gram"].isNull() | F.array_contains("_held", a["gram"])
+    hits = F.filter("_asked", lambda a: near(a) & F.contains(F.col("t"), a["_q"]))
+    found = held.select("doc_id", "unit", F.explode(F.transform(hits, lambda a: F.struct(*[a[k].alias(k) for k in rest]))).alias("h"))
+    return _places(found.select("doc_id", "unit", "h.*"), keys)
+
+
 def overlapping(quotes: DataFrame, index: QuoteIndex, keys: list[str], threshold: float) -> DataFrame:
     """(keys, ratio, neg_unit, doc_ratio): the best share of a quote's content words ``_w`` in one clause, and in the document.
 
@@ -93,7 +140,7 @@ def overlapping(quotes: DataFrame, index: QuoteIndex, keys: list[str], threshold
     """
     counted = quotes.select(*keys, F.size("_w").alias("n"), F.explode("_w").alias("word")).groupBy(*keys, "n", "word").agg(F.count(F.lit(1)).alias("times"))
     asked = pinned(counted)
-    places = pinned(index.words.join(asked.select("doc_id", "word").distinct(), ["doc_id", "word"], "left_semi"))
+    places = pinned(index.word_units(asked))
     common = places.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("units"))
     ranked = asked.join(common, ["doc_id", "word"], "left").groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("units", F.lit(0)).alias("units"), "word", "times"))).alias("ws"))
     spare = F.col("n") - F.floor(threshold * F.col("n"))  # so many may be missing, or one less
