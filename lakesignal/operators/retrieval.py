@@ -17,6 +17,26 @@ def _words(text: str):
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\S+"), F.lit(0))
 
 
+#: Chunks of a scope whose words are counted in one place; the words of larger scopes are dealt by their hash.
+TOGETHER, MOST_PARTS = 256, 64
+
+
+def _frequencies(sized: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, term, _df): in how many chunks of the scope a term occurs.
+
+    A chunk is dealt as one row with its distinct words, which takes far less room than one row a word; the chunks of a
+    large scope are dealt once per part, each with the words of that part, so that the scope is spread over many tasks.
+    """
+    large = pinned(sized.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > TOGETHER))
+    parts = large.select(*scope, F.least(F.ceil(F.col("_n") / TOGETHER), F.lit(MOST_PARTS)).cast("int").alias("_parts"))
+    dealt = sized.select(*scope, F.array_distinct("_w").alias("_w")).join(parts, scope, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    own = F.filter("_w", lambda w: F.pmod(F.xxhash64(w), F.col("_parts")) == F.col("_part"))
+    dealt = dealt.select(*scope, "_part", F.when(F.col("_parts") == 1, F.col("_w")).otherwise(own).alias("_w")).repartition(*scope, "_part")
+    counts = dealt.select(*scope, "_part", F.explode("_w").alias("term")).groupBy(*scope, "_part", "term").agg(F.count(F.lit(1)).alias("_df"))
+    return counts.drop("_part")
+
+
 def bm25_index(chunks: DataFrame, scope: Sequence[str] = ("doc_id",), item: str = "chunk_index", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """Term weights (scope, item, term, weight): built once per collection, not per query.
 
@@ -29,18 +49,21 @@ def bm25_index(chunks: DataFrame, scope: Sequence[str] = ("doc_id",), item: str
     scope = list(scope)
     sized = pinned(chunks.select(*scope, item, _words(text).alias("_w")).withColumn("_len", F.size("_w")))  # texts are split once
     stats = sized.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"))
-    # terms are made distinct inside the row, so document frequencies need one shuffle
-    df = sized.select(*scope, F.explode(F.array_distinct("_w")).alias("term")).groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("_df"))
+    df = _frequencies(sized, scope)
     raw_idf = F.ln(F.col("_n") - F.col("_df") + 0.5) - F.ln(F.col("_df") + 0.5)
     # the mean idf of a scope only needs how many terms have each frequency
     shape = df.groupBy(*scope, "_df").agg(F.count(F.lit(1)).alias("_m")).join(stats, scope)
     per_scope = shape.groupBy(*scope).agg(
         (EPSILON * F.sum(F.col("_m") * raw_idf) / F.sum("_m")).alias("_eps"), F.max("_n").alias("_n"), F.max("_avg").alias("_avg")
     )
-    tokens = sized.select(*scope, item, "_len", F.explode("_w").alias("term"))
+    held = sized
     if terms is not None:
-        wanted = pinned(terms.select(*scope, "term").distinct())  # small for a set of questions; its size decides the join
-        tokens, df = (t.join(wanted, [*scope, "term"], "left_semi") for t in (tokens, df))
+        # chunks meet the terms that their scope is asked for, and only those leave a row
+        asked = terms.select(*scope, "term").distinct().groupBy(*scope).agg(F.collect_set("term").alias("_asked")).hint("shuffle_hash")
+        wanted = F.filter("_w", lambda w: F.array_contains("_asked", w))
+        held = pinned(sized.join(asked, scope).select(*scope, item, "_len", wanted.alias("_w")).where(F.size("_w") > 0))
+        df = held.select(*scope, F.explode(F.array_distinct("_w")).alias("term")).groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("_df"))
+    tokens = held.select(*scope, item, "_len", F.explode("_w").alias("term"))
     tf = tokens.groupBy(*scope, item, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
     idf = df.join(per_scope, scope).select(*scope, "term", "_avg", F.when(raw_idf < 0, F.col("_eps")).otherwise(raw_idf).alias("_idf"))
     saturation = F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
