@@ -196,7 +196,7 @@ def between_components(nodes: DataFrame, labels: DataFrame, percent: int) -> Dat
     members = comp.select("r.tree", "r.root", "node", "comp")
     mixed = members.groupBy("tree", "root").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     mixed = pinned(mixed.select("tree", "root", "m"))
-    full = members.join(mixed, ["tree", "root"]).join(nodes, "node")
+    held = pinned(members.join(mixed, ["tree", "root"]))  # once: regions of both kinds are read from it, large ones several times
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -232,11 +232,10 @@ def between_components(nodes: DataFrame, labels: DataFrame, percent: int) -> Dat
                 out_b.append(node[j[good]])
         return _forest(np.concatenate(out_a), np.concatenate(out_b))
 
-    few = full.where(F.col("m") <= SMALL).select("tree", "root", "node", "comp", "n", "sig")
+    few = held.where(F.col("m") <= SMALL).join(nodes, "node").select("tree", "root", "node", "comp", "n", "sig")
     found = few.repartition("tree", "root").sortWithinPartitions("tree", "root").mapInPandas(stream, "a long, b long")
 
-    big = pinned(mixed.where(F.col("m") > SMALL))
-    crowd = members.join(big, ["tree", "root"])
+    crowd = held.where(F.col("m") > SMALL)
     # by counts per component, pre-aggregated: the largest component and how many nodes are outside it
     sizes = crowd.groupBy("tree", "root", "m", "comp").agg(F.count(F.lit(1)).alias("c"))
     shape = sizes.groupBy("tree", "root", "m").agg(F.max(F.struct("c", "comp")).alias("top"))

@@ -195,6 +195,21 @@ def test_search_odd_tables(spark):
     assert [(r["item_id"], r["doc_id"]) for r in one.collect()] == [("x", 1)]
 
 
+def test_labels_are_taken_apart_once_for_all_regions(spark, monkeypatch):
+    """Small and large regions read the stored rows of their nodes: the plan of the pairs has no label in it."""
+    monkeypatch.setattr(lsh_forest, "SMALL", 2)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[i % 3 :], rng.integers(0, 1 << 63, i % 4).astype(np.uint64)])) for i in range(12)]
+    rows = [(i, len(s), bytearray(lsh_forest.signature(s).tobytes())) for i, s in enumerate(sets)]
+    nodes = common.pinned(spark.createDataFrame(rows, "node long, n long, sig binary"))
+    pairs = lsh_forest.between_components(nodes, spark.createDataFrame([], "node long, label long"), 85)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence" in plan and "explode(array" not in plan
+    joined = lsh_forest.components(pairs).groupBy("label").count().collect()
+    assert [tuple(r) for r in joined] == [(0, 12)]
+
+
 @pytest.mark.parametrize("name", ["op11_lsh_forest", "op12_whitening", "op13_ranked_search"])
 def test_registered(name):
     assert name in queries.QUERIES and (name in queries.ORACLE) == (name != "op12_whitening")
