@@ -7,13 +7,14 @@ shuffle until results are grouped.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesignal.functions.fixed_rules import COVERAGE_CATEGORIES, RISK_RULES, Category, Rule
-from lakesignal.functions.text import collapse
+from lakesignal.functions.text import collapse, let
 from lakesignal.scale import small_rows
 
 #: Case-insensitive, dot matches newline, Unicode classes and word boundaries.
@@ -37,11 +38,37 @@ def rules_from_table(rules: DataFrame, limit: int = 1000) -> tuple[Rule, ...]:
     )
 
 
-def _first_pattern(text: Column, patterns: Sequence[str]) -> Column:
-    """Index of the first pattern that matches, in pattern order; null for none."""
+def needed_word(pattern: str) -> str:
+    """The longest run of plain characters that every match of ``pattern`` holds, in lower case; "" if none is certain.
+
+    Only what stands outside of groups, alternatives, classes and repeats counts.  Patterns with a class inside a class,
+    quotes or other signs that Java reads in its own way have none.
+    """
+    if re.search(r"\[[^\]]*\[|&&|\\[QEvzhHRXGNcep0]|\(\?[a-zA-Z-]", pattern):
+        return ""
+    try:
+        parts = re._parser.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return ""
+    runs = [""]
+    for kind, value in parts:
+        plain = str(kind) == "LITERAL" and value < 128 and (chr(value).isalnum() or chr(value) in " @+-")
+        runs = [*runs[:-1], runs[-1] + chr(value).lower()] if plain else [*runs, ""]
+    return max(runs, key=lambda r: (len(r), r.strip() != ""))
+
+
+def folded(text: Column) -> Column:
+    """Lower case; the four other characters that Java takes for an ASCII letter when case is ignored become that letter."""
+    return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+def _first_pattern(text: Column, low: Column, patterns: Sequence[str]) -> Column:
+    """Index of the first pattern that matches, in pattern order; null for none.  ``low`` is the folded text."""
     out = None
     for i, p in enumerate(patterns):
         hit = text.rlike(_FLAGS + p)
+        if word := needed_word(p):
+            hit = F.contains(low, F.lit(word)) & hit  # a plain search, many times faster than the pattern
         out = F.when(hit, i) if out is None else out.when(hit, i)
     return out
 
@@ -49,7 +76,8 @@ def _first_pattern(text: Column, patterns: Sequence[str]) -> Column:
 def scan_rules(chunks: DataFrame, rules: Sequence[Rule] = RISK_RULES) -> DataFrame:
     """One finding per (chunk, rule): ``rule_no, pattern_no`` plus the rule's texts, excerpt and factors."""
     text = F.col("text")
-    hits = F.transform(F.array(*[_first_pattern(text, r.patterns) for r in rules]), lambda x, i: F.struct(i.alias("rule_no"), x.alias("pattern_no")))
+    first = let(folded(text), lambda low: F.array(*[_first_pattern(text, low, r.patterns) for r in rules]))
+    hits = F.transform(first, lambda x, i: F.struct(i.alias("rule_no"), x.alias("pattern_no")))
     found = chunks.select("*", F.inline(F.filter(hits, lambda h: h["pattern_no"].isNotNull())))
     names = ("rule_id", "label", "severity", "explanation", "affects")
     texts = F.array(*[F.struct(*[F.lit(getattr(r, n)).alias(n) for n in names], F.array(*[F.lit(_FLAGS + p) for p in r.patterns]).alias("patterns")) for r in rules])

@@ -2,11 +2,11 @@ import re
 
 from pyspark.sql import functions as F
 
-from lakesignal.functions.fixed_rules import QUESTION_CATEGORIES
+from lakesignal.functions.fixed_rules import QUESTION_CATEGORIES, RISK_RULES, Rule
 from lakesignal.functions.text import content_words, duration_days, html_text, keyword_category
 from lakesignal.operators.chunking import BOUNDARY_PATTERNS, chunk_documents, sentences
 from lakesignal.operators.grounding import best_chunks_by_overlap, ground_quotes
-from lakesignal.operators.rules import clause_labels, compare_documents, coverage, label_clauses, scan_rules, severity_counts
+from lakesignal.operators.rules import clause_labels, compare_documents, coverage, label_clauses, needed_word, scan_rules, severity_counts
 from lakesignal.plans.review import contradictions, document_text, extraction_quality, review_items
 
 
@@ -201,3 +201,23 @@ def test_pages(spark):
     got = {r["doc_id"]: r["summary"] for r in extraction_quality(pages).collect()}
     assert got["e"] == "Extracted cleanly from native text; no quality concerns detected."
     assert got["d"] == "1 of 3 page(s) required OCR (no native text layer); 1 page extracted unusually little text -- worth a manual check."
+
+
+def test_needed_word_is_only_what_every_match_holds():
+    cases = {
+        r"\blicen[sc]e\b": "licen", r"[a-z]+@[a-z]+\.[a-z]{2,}": "@", "a|bcd": "", "(abc)?de": "de", "ab?cd": "cd", "Abc D": "abc d", "x{0}yy": "yy",
+        "(?i)abc": "", "(?x)a b c": "", r"\Qa+\E": "", "[a[b]cde]": "", r"\p{L}abc": "", "(abc": "", "(?=abcd)ef": "ef", "(?!abcd)ef": "ef", "äbc": "bc", r"\vabc": "",
+    }
+    assert {p: needed_word(p) for p in cases} == cases
+    assert all(needed_word(p) for r in RISK_RULES for p in r.patterns)
+
+
+def test_scan_finds_what_the_patterns_alone_find(spark):
+    """Also where another character stands for an ASCII letter, and chunks without the needed word skip the pattern."""
+    rules = [Rule(f"r{i}", "l", "low", (p,)) for i, p in enumerate(["kiss", r"\bRisk\b.{0,9}?lies", "a|b", r"\d{3}-\d"])]
+    texts = ["KISS", "\u212ai\u017fs", "k\u0130ss and k\u0131SS", "rI\u017fK \u00e4 L\u0130ES", "risk", "\u0130\u00df b", "123-4", "", None]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("chunk_index", F.lit(0))
+    found = scan_rules(chunks, rules)
+    assert "Contains(" in found._jdf.queryExecution().analyzed().toString() or "contains(" in found._jdf.queryExecution().analyzed().toString()
+    want = {(r[0], x.rule_id) for x in rules for r in chunks.where(F.col("text").rlike("(?isU)" + x.patterns[0])).select("doc_id").collect()}
+    assert {(r.doc_id, r.rule_id) for r in found.collect()} == want and {(0, "r0"), (1, "r0"), (2, "r0"), (3, "r1")} <= want
