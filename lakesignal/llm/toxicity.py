@@ -113,8 +113,12 @@ def features(total: float, words: int) -> tuple[float, float]:
     return math.log1p(total), math.log1p(100 * total / max(words, 1))
 
 
+#: Terms that a task counts at once; then it hands its counts on and begins anew.
+TERMS_HELD = 100_000
+
+
 def _per_task_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts with each word or beginning, summed over one task's share of the bounded sample."""
+    """Texts with each word or beginning in one task's share of the bounded sample, in parts that are to be summed."""
     n, toxic = Counter(), Counter()
     for batch in batches:
         for text, label in zip(batch["text"], batch["label"]):
@@ -123,9 +127,15 @@ def _per_task_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n.update(found)
             if label:
                 toxic.update(found)
+            if len(n) >= TERMS_HELD:
+                yield _counted(n, toxic)
+                n, toxic = Counter(), Counter()
     if n:
-        keys = list(n)
-        yield pd.DataFrame({"term": keys, "n": [n[k] for k in keys], "t": [toxic[k] for k in keys]})
+        yield _counted(n, toxic)
+
+
+def _counted(n: Counter, toxic: Counter) -> pd.DataFrame:
+    return pd.DataFrame({"term": list(n), "n": list(n.values()), "t": [toxic[k] for k in n]})
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, keep, train_rows: int) -> DataFrame:

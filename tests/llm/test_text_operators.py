@@ -6,6 +6,7 @@ import re
 import time
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -437,3 +438,14 @@ def test_pages(spark):
     assert html.extract(pages.limit(0)).count() == 0
     deep = "<div>" * 3000 + LONG
     assert html.main_blocks(deep) == [LONG.strip()]
+
+
+def test_term_counts_are_handed_on_in_parts(monkeypatch):
+    """A task that meets many words holds a bounded number of them; the parts add up to the counts of all."""
+    rows = pd.DataFrame({"text": [f"w{i % 30:02d} common x{i:03d}" for i in range(90)], "label": [i % 3 == 0 for i in range(90)]})
+    whole = pd.concat(toxicity._per_task_counts(iter([rows])))
+    monkeypatch.setattr(toxicity, "TERMS_HELD", 40)
+    parts = list(toxicity._per_task_counts(iter([rows[:50], rows[50:]])))
+    assert len(parts) > 2 and max(map(len, parts)) < 60
+    added = lambda p: p.groupby("term").sum().sort_index()
+    assert whole["term"].is_unique and added(pd.concat(parts)).equals(added(whole))
