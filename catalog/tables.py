@@ -14,7 +14,7 @@ from lakesignal.operators.chunking import chunk_documents
 from lakesignal.operators.rules import impact_text, rules_from_table, scan_rules, severity_rank
 from lakesignal.plans.run_check import run_telemetry_checks, telemetry_baselines
 from lakesignal.plans.stored_checks import baseline_data, run_stored_checks, store_state
-from lakesignal.scale import shared_folder, top_per_key
+from lakesignal.scale import pinned, shared_folder, top_per_key
 from lakesignal.sources import datasets, documents, files, registry
 from lakesignal.sources.registry import Registry
 from lakesignal.sources.telemetry import newest, traced, with_defaults
@@ -465,7 +465,7 @@ def run_check_all_kinds(spark, sf_dir):
 def _four_kinds(spark, sf_dir):
     """A registry with baselines in two batches, and the rows to check by kind."""
     at = F.timestamp_seconds(F.col("run_id") * 86400)
-    events = _events_with_vectors(spark, sf_dir)
+    events = pinned(_events_with_vectors(spark, sf_dir))  # read for two baselines and two kinds of runs
     telemetry_rows = events.withColumn("model_id", F.concat(F.lit("s"), F.col("segment").cast("string"))).withColumn("run_id", F.dayofmonth("ts").cast("bigint"))
     rag_rows = events.withColumn("model_id", F.concat(F.lit("r"), F.col("segment").cast("string"))).withColumn("run_id", F.lit(1).cast("bigint"))
     features = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in ("l_quantity", "l_discount")]))

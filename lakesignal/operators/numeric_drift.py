@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lakesignal.functions.stats import clamp01, ks_p_value
 from lakesignal.operators.detector import BASELINE, CURRENT, MIN_SAMPLE_SIZE, detector_rows
-from lakesignal.scale import value_cuts, with_bucket
+from lakesignal.scale import pinned, value_cuts, with_bucket
 
 
 def unpivot_features(df: DataFrame, features: Sequence[str], sample: Column, keep: Sequence[str] = ()) -> DataFrame:
@@ -36,7 +36,7 @@ def value_counts(long: DataFrame, keys: Sequence[str], buckets: int | None = Non
 def weighted_counts(counts: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
     """``value_counts`` from rows that are counts already: ``(keys, sample, value, n)``, as a stored baseline has them."""
     side = lambda s: F.sum(F.when(F.col("sample") == s, F.col("n")).otherwise(0))
-    merged = counts.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(side(BASELINE).alias("nb"), side(CURRENT).alias("nc"))
+    merged = pinned(counts.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(side(BASELINE).alias("nb"), side(CURRENT).alias("nc")))  # read for the cuts and the ranks
     return with_bucket(merged, value_cuts(merged, keys, "value", buckets), keys, "value", buckets)
 
 

@@ -11,7 +11,7 @@ from lakesignal.operators.categorical_drift import two_proportion_test
 from lakesignal.operators.detector import BASELINE, CURRENT
 from lakesignal.operators.embedding_drift import mmd_test
 from lakesignal.operators.numeric_drift import distance_summary, ks_rows, wasserstein_rows
-from lakesignal.scale import stacked
+from lakesignal.scale import pinned, stacked
 
 SIGNALS = ("retrieval", "generation_latency", "refusal", "citation_validity", "embedding")
 
@@ -59,6 +59,7 @@ def signals_of(
 ) -> DataFrame:
     """The signals from ``event_counts``, the summary of the pooled samples by signal, and the vectors of both windows."""
     keys = list(keys)
+    summary = pinned(summary)  # read by both tests; a row per key and signal
     ks = ks_rows(summary, [*keys, "signal"], alpha)
     wass = wasserstein_rows(summary, [*keys, "signal"])
     cols = ["statistic", "p_value", "effect_size", "drift_detected", "confidence", "insufficient_sample"]

@@ -30,10 +30,10 @@ class Checked:
 
 
 def telemetry_baselines(events: DataFrame) -> DataFrame:
-    """(model_id, data): what to keep of each model's baseline events, as JSON for the registry."""
+    """(model_id, data): what to keep of each model's baseline events, as JSON for the registry; pinned, as that reads it for several tables."""
     kept = telemetry_metrics(events, ["model_id"])
     names = [c.split()[0] for c in METRICS.split(", ")]
-    return kept.select("model_id", F.to_json(F.struct(*names)).alias("data"))
+    return pinned(kept.select("model_id", F.to_json(F.struct(*names)).alias("data")))
 
 
 def run_telemetry_checks(registry: Registry, events: DataFrame, limits: dict | None = None, health_limits: tuple[int, int, int] = (1, 1, 1), buckets: int | None = None) -> Checked:

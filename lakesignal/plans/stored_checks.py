@@ -45,8 +45,9 @@ def _event_counts(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _values(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return long.where(F.col("value").isNotNull()).groupBy(*keys, "feature", F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+def _values(long: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return long.where(F.col("value").isNotNull()).groupBy(*keys, "feature", F.col("value").cast("double").alias("value")).agg(n.alias("n"))
 
 
 def _pooled(events: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -59,13 +60,16 @@ def _vectors(events: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def baseline_data(check_name: str, rows: DataFrame) -> DataFrame:
-    """(model_id, data): the JSON part of a baseline, for ``Registry.register`` or ``rebaseline``."""
+    """(model_id, data): the JSON part of a baseline, for ``Registry.register`` or ``rebaseline``.
+
+    Pinned, a row per model: the registry reads it for several tables, and the rows are read for it once.
+    """
     if check_name == "live_telemetry":
         return telemetry_baselines(rows)
     if check_name == "rag":
-        return _event_counts(rows, ["model_id"]).select("model_id", F.to_json(F.struct("events", "grounded", "valid", "requested")).alias("data"))
+        return pinned(_event_counts(rows, ["model_id"]).select("model_id", F.to_json(F.struct("events", "grounded", "valid", "requested")).alias("data")))
     if check_name in ("classifier", "llm"):
-        return rows.groupBy("model_id").agg(F.count(F.lit(1)).alias("rows")).select("model_id", F.to_json(F.struct("rows")).alias("data"))
+        return pinned(rows.groupBy("model_id").agg(F.count(F.lit(1)).alias("rows")).select("model_id", F.to_json(F.struct("rows")).alias("data")))
     raise KeyError(f"unknown check '{check_name}'")
 
 
@@ -106,14 +110,18 @@ def _with_signals(verdict: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def classifier_runs(registry: Registry, models: DataFrame, rows: DataFrame, alpha: float = 0.05, buckets: int | None = None) -> DataFrame:
-    """KS per feature against the stored value counts; quality is the share of right predictions where there are any."""
+    """KS per feature against the stored value counts; quality is the share of right predictions where there are any.
+
+    Rows may come counted, with their number in ``_n``.
+    """
+    weight = "_n" if "_n" in rows.columns else None
     runs = rows.select(*RUN).distinct()
-    counts = _both(_state(registry, "baseline_values", models), _values(rows, RUN), runs)
+    counts = _both(_state(registry, "baseline_values", models), _values(rows, RUN, weight), runs)
     by = [*RUN, "feature"]
     signals = pinned(tabular_check.signals_of(summary_of(ranked_counts(weighted_counts(counts, by, buckets), by), by), RUN, alpha=alpha))
     verdict = tabular_check.tabular_verdict(signals, RUN)
     if "prediction" in rows.columns:
-        verdict = verdict.join(tabular_check.accuracy(rows, RUN, "prediction", "label"), RUN, "left")
+        verdict = verdict.join(tabular_check.accuracy(rows, RUN, "prediction", "label", weight), RUN, "left")
     else:
         verdict = verdict.withColumn("quality_score", F.lit(None).cast("double"))
     return _with_signals(verdict, signals.select(*RUN, F.col("feature").alias("name"), F.col("statistic").alias("value"), "is_drifted"))
@@ -152,6 +160,25 @@ def rag_runs(registry: Registry, models: DataFrame, rows: DataFrame, alpha: floa
     return _with_signals(rag_check.rag_verdict(signals, quality, RUN), signals)
 
 
+#: What a kind reads of its rows beside model_id, run_id and ts.
+READS = {
+    "classifier": ("feature", "value", "prediction", "label"),
+    "llm": ("prompt", "actual_answer"),
+    "live_telemetry": ("grounded", "citations", "latency_ms"),
+    "rag": ("event_id", "grounded", "citations", "citations_requested", "retrieval_scores", "generation_latency_ms", "question_embedding"),
+}
+
+
+def _read(kind: str, rows: DataFrame) -> DataFrame:
+    """What a kind reads of its rows; a classifier's rows are counted (``_n``), as it asks only how often a value comes."""
+    if kind not in READS:
+        return rows
+    kept = rows.select(*[c for c in rows.columns if c.lower() in (*RUN, "ts", *READS[kind])])
+    if kind != "classifier":
+        return kept
+    return kept.groupBy(*[c for c in kept.columns if c.lower() != "ts"]).agg(F.max("ts").alias("ts"), F.count(F.lit(1)).alias("_n"))
+
+
 KINDS = {"classifier": classifier_runs, "llm": golden_runs, "live_telemetry": telemetry_runs, "rag": rag_runs}
 
 
@@ -171,15 +198,15 @@ def run_stored_checks(
         if kind not in KINDS:
             raise KeyError(f"unknown check '{kind}', known: {', '.join(sorted(KINDS))}")
         own = models.where(F.col("check_name") == kind)
-        new = pinned(rows.join(stored, RUN, "left_anti"))  # read several times by every kind
-        stranger = new.join(own, "model_id", "left_anti").select("model_id").limit(1).collect()
+        new = pinned(_read(kind, rows.join(stored, RUN, "left_anti")))  # read several times by every kind
+        at = pinned(new.groupBy(*RUN).agg(F.max("ts").alias("ts")))  # a row per run, enough to look for its model
+        stranger = at.join(own, "model_id", "left_anti").select("model_id").limit(1).collect()
         if stranger:
             raise LookupError(f"model '{stranger[0][0]}' is not registered with the check '{kind}'")
-        bare = new.join(based, "model_id", "left_anti").select("model_id").limit(1).collect()
+        bare = at.join(based, "model_id", "left_anti").select("model_id").limit(1).collect()
         if bare:
             raise NoBaseline(f"model '{bare[0][0]}' has no baseline")
         found = KINDS[kind](registry, own, new.drop("ts"), **(options or {}).get(kind, {}))
-        at = new.groupBy(*RUN).agg(F.max("ts").alias("ts"))
         out, times = (found, at) if out is None else (out.unionByName(found), times.unionByName(at))
     runs = pinned(out.join(times, RUN))
     by_name: Column = F.to_json("signals")

@@ -64,7 +64,8 @@ def missing_features(long: DataFrame, keys: Sequence[str] = (), feature: str = "
     return base.join(seen.where(F.col("sample") == "current").drop("sample"), by, "left_anti")
 
 
-def accuracy(df: DataFrame, keys: Sequence[str], prediction: str, label: str) -> DataFrame:
-    """Share of labelled rows predicted right; null when there is no labelled row."""
-    right = (F.col(prediction) == F.col(label)).cast("double")
-    return df.where(F.col(label).isNotNull()).groupBy(*keys).agg(F.avg(F.coalesce(right, F.lit(0.0))).alias("quality_score"))
+def accuracy(df: DataFrame, keys: Sequence[str], prediction: str, label: str, weight: str | None = None) -> DataFrame:
+    """Share of labelled rows predicted right; null when there is no labelled row.  A row counts ``weight`` times."""
+    right = F.coalesce((F.col(prediction) == F.col(label)).cast("double"), F.lit(0.0))
+    share = F.avg(right) if weight is None else F.sum(right * F.col(weight)) / F.sum(weight)
+    return df.where(F.col(label).isNotNull()).groupBy(*keys).agg(share.alias("quality_score"))

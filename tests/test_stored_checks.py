@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from lakesignal.operators.numeric_drift import distance_summary, ranked_counts, summary_of, weighted_counts
 from lakesignal.operators.tfidf import pair_similarity, pair_similarity_by
+from lakesignal.plans import stored_checks
 from lakesignal.plans.run_check import NoBaseline
 from lakesignal.plans.stored_checks import baseline_data, run_stored_checks, store_state
-from lakesignal.sources.registry import Registry
+from lakesignal.sources.registry import TABLES, Registry, _schema
 
 
 def registered(spark, tmp_path, kinds):
@@ -82,3 +83,53 @@ def test_what_cannot_be_checked(spark, tmp_path):
     reg.append("models", spark.createDataFrame([("bare", "bare", "classifier", 1)], "model_id string, name string, check_name string, current_version int"))
     with pytest.raises(NoBaseline):
         run_stored_checks(reg, {"classifier": features(spark, "bare", 1, [1])})
+
+
+def test_rows_are_read_once_and_counts_are_kept(spark, tmp_path, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        read.add(1)
+        return x
+
+    seen = seen.asNondeterministic()  # not to be copied by the optimizer
+
+    def rows(run):
+        n = spark.range(600).select(F.lit("m").alias("model_id"), F.lit(run).cast("bigint").alias("run_id"), F.lit("x").alias("feature"), (F.col("id") % 5).cast("double").alias("value"), F.col("id").alias("other"))
+        return n.withColumn("value", seen("value"))
+
+    reg = Registry(spark, str(tmp_path / uuid.uuid4().hex))
+    data = baseline_data("classifier", rows(0).where("value >= 0")).withColumn("created_at", F.timestamp_seconds(F.lit(0)))
+    reg.register(data.select("model_id", F.col("model_id").alias("name"), F.lit("classifier").alias("check_name"), "created_at", F.lit("{}").alias("config")), data)
+    assert read.value == 600  # once for each table of the registry before
+    store_state(reg, "classifier", rows(0))
+    sizes, keep = [], stored_checks.pinned
+    monkeypatch.setattr(stored_checks, "pinned", lambda df: sizes.append((out := keep(df)).count()) or out)
+    before = read.value
+    out = run_stored_checks(reg, {"classifier": rows(1).withColumn("ts", F.timestamp_seconds(F.col("other")))})
+    assert read.value - before == 600 and max(sizes) == 5  # all 600 rows were written before
+    got = out.timeline.select("model_id", "run_id", "is_drifted", F.unix_timestamp("ts").alias("ts")).collect()
+    assert [tuple(r) for r in got] == [("m", 1, False, 599)]
+
+
+def test_counted_rows_have_the_quality_of_rows(spark, tmp_path):
+    reg = registered(spark, tmp_path, {"classifier": features(spark, "m", 0, range(40)).drop("run_id", "ts")})
+    rng = random.Random(4)
+    told = [("m", run, "x", rng.choice([None, 1.0, 2.0, 3.0]), rng.choice([0, 1, None]), rng.choice([0, 1, None])) for run in (1, 2, 3) for _ in range(90)]
+    told += [("m", 4, "x", float(v), 1, None) for v in range(20)] + [("m", 5, "x", None, 1, 1)]  # without labels; without values
+    rows = spark.createDataFrame(told, "model_id string, run_id long, feature string, value double, prediction int, label int").withColumn("ts", F.timestamp_seconds("run_id"))
+    got = {r["run_id"]: r["quality_score"] for r in run_stored_checks(reg, {"classifier": rows}).timeline.collect()}
+    wanted = {}
+    for run in (1, 2, 3, 4):
+        labelled = [(p, y) for _, r, _, _, p, y in told if r == run and y is not None]
+        wanted[run] = sum(p == y for p, y in labelled) / len(labelled) if labelled else None
+    assert got == wanted
+
+
+def test_joins_with_a_table_not_yet_written_move_no_rows(spark, tmp_path):
+    reg = Registry(spark, str(tmp_path / "none"))
+    runs = reg.raw("runs")
+    assert runs.count() == 0 and [(f.name, f.dataType) for f in runs.schema] == [(f.name, f.dataType) for f in _schema(TABLES["runs"])]
+    new = spark.range(10).select(F.lit("m").alias("model_id"), F.col("id").alias("run_id")).join(runs.select("model_id", "run_id"), ["model_id", "run_id"], "left_anti")
+    assert new.count() == 10 and "Join" not in new._jdf.queryExecution().optimizedPlan().toString()
