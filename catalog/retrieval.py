@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import query, table
 from catalog.text import CHUNKS, chunk_table, docs
+from lakesignal.functions.text import first_words
 from lakesignal.operators.neighbours import nearest
 from lakesignal.operators.postings import asked_of_documents, build_postings, dense_distances, dense_top_k, fused_top_k, merged_excerpts
 from lakesignal.operators.retrieval import first_relevant_rank, fuse
@@ -29,7 +30,7 @@ br as (select q.doc_id, q.query_id, c.chunk_index, coalesce(score, 0) as score,
 
 def questions(spark, sf_dir):
     """A question per document: six words from its beginning."""
-    words = F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 4, 6)
+    words = F.slice(first_words(F.col("text"), 9), 4, 6)
     return docs(spark, sf_dir).select("doc_id", F.col("doc_id").alias("query_id"), F.array_join(words, " ").alias("text"))
 
 
