@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesignal.functions.text import CASE_STOPWORDS, distinct_content_words
-from lakesignal.operators.quote_index import QuoteIndex, contained, overlapping, prepared
+from lakesignal.functions.text import CASE_STOPWORDS, distinct_content_words, normalize
+from lakesignal.operators.quote_index import QuoteIndex, contained, found_at_once, overlapping, prepared
 from lakesignal.scale import pinned, salted_lookup, top_per_key
 
 OVERLAP_THRESHOLD, MIN_CONTENT_WORDS = 0.85, 3
@@ -25,12 +25,16 @@ def ground_quotes(
     stored index to use in place of chunks and documents.
     """
     keys = ["doc_id", *quote_keys]
-    index = index or QuoteIndex.of(chunks, documents)
-    q = pinned(prepared(quotes, keys, quote))
-    exact = pinned(contained(q, index, keys))
-    open_ones = q.where(F.size("_w") >= MIN_CONTENT_WORDS).join(exact.where("exact is not null"), keys, "left_anti")
-    overlap = overlapping(open_ones, index, keys, OVERLAP_THRESHOLD)
-    out = quotes.join(exact, keys, "left").join(overlap, keys, "left")
+    index = index or QuoteIndex.of(chunks, documents, keep=False)
+    quotes = pinned(quotes)  # read for what is asked and for the result
+    if index.is_stored:
+        q = pinned(prepared(quotes, keys, quote))
+        exact = pinned(contained(q, index, keys))
+        open_ones = q.where(F.size("_w") >= MIN_CONTENT_WORDS).join(exact.where("exact is not null"), keys, "left_anti")
+        out = quotes.join(exact, keys, "left").join(overlapping(open_ones, index, keys, OVERLAP_THRESHOLD), keys, "left")
+    else:
+        asked = quotes.select(*keys, normalize(F.col(quote)).alias("_q")).where("_q <> ''")
+        out = quotes.join(found_at_once(asked, index, keys, OVERLAP_THRESHOLD, MIN_CONTENT_WORDS), keys, "left")
     near = F.coalesce(F.col("ratio") >= OVERLAP_THRESHOLD, F.lit(False))
     whole = F.coalesce("in_doc", F.lit(False)) | F.coalesce(F.col("doc_ratio") >= OVERLAP_THRESHOLD, F.lit(False))
     return out.withColumns(

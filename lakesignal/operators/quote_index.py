@@ -12,12 +12,15 @@ All keys go beyond the document, so a document with most quotes or most clauses
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesignal.functions.text import content_words, distinct_content_words, normalize
+from lakesignal.functions.text import STOPWORDS, content_words, distinct_content_words, normalize
 from lakesignal.scale import pinned, salted_lookup
 
 GRAM = 5
@@ -42,18 +45,21 @@ class QuoteIndex:
     grams: DataFrame
     words: DataFrame
     is_stored: bool = False
+    #: (doc_id): documents that come more than once
+    again: DataFrame | None = None
 
     @staticmethod
-    def of(chunks: DataFrame, documents: DataFrame) -> QuoteIndex:
+    def of(chunks: DataFrame, documents: DataFrame, keep: bool = True) -> QuoteIndex:
         """Index of ``chunks`` (doc_id, chunk_index, text) and ``documents`` (doc_id, text).
 
-        The tables are lazy but for the texts; ``stored`` writes the others.  Unstored, the units meet what a one-off set
-        of quotes asks of their document, and only that leaves a row: texts are shuffled, never one row per word.
+        The tables are lazy but for the texts, which ``keep=False`` leaves lazy too, for a single use; ``stored`` writes the
+        others.  Unstored, the units meet a one-off set of quotes of their document in one pass, which only hits leave.
         """
         whole = documents.select("doc_id", F.lit(WHOLE).alias("unit"), "text")
         units = chunks.select("doc_id", F.col("chunk_index").cast("int").alias("unit"), "text").unionByName(whole)
-        texts = pinned(units.select("doc_id", "unit", normalize(F.col("text")).alias("t")))
-        return QuoteIndex.over(texts)
+        texts = units.select("doc_id", "unit", normalize(F.col("text")).alias("t"))
+        again = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+        return replace(QuoteIndex.over(pinned(texts) if keep else texts), again=again)
 
     def stored(self) -> QuoteIndex:
         """The index with all tables written, ordered by document, so that readers skip what they do not ask for.
@@ -75,12 +81,7 @@ class QuoteIndex:
     def word_units(self, wanted: DataFrame) -> DataFrame:
         """(doc_id, word, unit): the units of the ``wanted`` (doc_id, word)."""
         wanted = wanted.select("doc_id", "word").distinct()
-        if self.is_stored:
-            return self.words.join(wanted, ["doc_id", "word"], "left_semi")
-        asked = asked_of_documents(wanted, ["word"], 4096)
-        held = self.texts.join(asked, "doc_id")
-        found = F.array_intersect(distinct_content_words(F.col("t")), F.transform("_asked", lambda a: a["word"]))
-        return held.select("doc_id", F.explode(found).alias("word"), "unit")
+        return self.words.join(wanted, ["doc_id", "word"], "left_semi")
 
 
 def asked_of_documents(rows: DataFrame, columns: list[str], most: int) -> DataFrame:
@@ -102,8 +103,6 @@ def contained(quotes: DataFrame, index: QuoteIndex, keys: list[str]) -> DataFram
     middle = F.slice(w, F.floor((inner - GRAM) / 2).cast("int") + 2, GRAM)
     probed = quotes.select(*keys, "_q", F.when(inner >= GRAM, gram_hashes(middle)[0]).alias("gram"))
     probes = pinned(probed)  # a hash a quote: its size decides how the index is joined
-    if not index.is_stored:
-        return _in_document(probes, index, keys)
     long = probes.where("gram is not null")
     # first the index by the wanted grams, then quotes: equal probes do not repeat index rows before they are compared
     hits = index.grams.select("doc_id", "gram", "unit").join(long.select("doc_id", "gram").distinct(), ["doc_id", "gram"], "left_semi").distinct()
@@ -118,17 +117,78 @@ def _places(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.min(F.when(F.col("unit") != WHOLE, F.col("unit"))).alias("exact"), F.bool_or(F.col("unit") == WHOLE).alias("in_doc"))
 
 
-def _in_document(probes: DataFrame, index: QuoteIndex, keys: list[str]) -> DataFrame:
-    """``contained`` in one pass over the texts: a unit meets the quotes of its document, of many only those whose probe it holds."""
+def _hits(rest: list[str], threshold: float, least_words: int):
+    """For each unit the asked quotes that it contains, or of whose words it has a share of ``threshold``; no shares for documents that come again."""
+    word, stop = re.compile("[a-z0-9]+"), frozenset(STOPWORDS)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, of = batch.column("t").to_pylist(), batch.column("_asked").offsets.to_pylist()
+            asked = batch.column("_asked").values
+            quotes, again = asked.field("qs").to_pylist(), asked.field("_again").to_pylist()
+            known: dict[str, tuple] = {}
+
+            def parts(q: str, known: dict[str, tuple] = known) -> tuple:
+                if q not in known:
+                    # the words of a quote but the first and the last stand in the text as they are
+                    known[q] = [w for w in word.findall(q) if len(w) > 1 and w not in stop], max(q.split(" ")[1:-1], key=len, default=None)
+                return known[q]
+
+            found = []
+            for i, text in enumerate(texts):
+                held = set(word.findall(text))
+                # few quotes are compared at once, which is quicker than taking the text apart
+                whole = set(text.split(" ")) if of[i + 1] - of[i] > 16 else None
+                for j in range(of[i], of[i + 1]):
+                    exact, words = False, {}
+                    for q in quotes[j]:
+                        own, probe = parts(q)
+                        words[len(own)] = words.get(len(own), []) + own if len(quotes[j]) > 1 else own
+                        exact = exact or ((whole is None or probe is None or probe in whole) and q in text)
+                    # quotes of one key with as many words count as one
+                    share = max((sum(map(held.__contains__, w)) / n for n, w in words.items() if n >= least_words), default=0.0)
+                    near = share >= threshold and not again[j]
+                    if exact or near:
+                        found.append((i, j, exact, share if near else None))
+            row, at, exact, share = map(list, zip(*found, strict=True)) if found else [[] for _ in range(4)]
+            row, at = pa.array(row, pa.int64()), pa.array(at, pa.int64())
+            keys = [batch.column("doc_id").take(row), *[asked.field(k).take(at) for k in rest]]
+            yield pa.record_batch([*keys, batch.column("unit").take(row), pa.array(exact, pa.bool_()), pa.array(share, pa.float64())], ["doc_id", *rest, "unit", "holds", "share"])
+
+    return hits
+
+
+def found_at_once(quotes: DataFrame, index: QuoteIndex, keys: list[str], threshold: float, least_words: int) -> DataFrame:
+    """(keys, exact, in_doc, ratio, neg_unit, doc_ratio): ``contained`` and ``overlapping`` in one pass over the texts.
+
+    A text is dealt once, to the quotes (keys, _q) of its document, which come in bounded arrays; only hits leave a row.
+    """
     rest = [k for k in keys if k != "doc_id"]
-    held = index.texts.join(asked_of_documents(probes, [*rest, "_q", "gram"], 512), "doc_id")
-    probed = F.array_intersect(gram_hashes(split_words(F.col("t"))), F.transform("_asked", lambda a: a["gram"]))
-    # few quotes are compared at once, which is quicker than hashing the words
-    held = held.withColumn("_held", F.when(F.size("_asked") > 16, probed))
-    near = lambda a: F.col("_held").isNull() | a["gram"].isNull() | F.array_contains("_held", a["gram"])
-    hits = F.filter("_asked", lambda a: near(a) & F.contains(F.col("t"), a["_q"]))
-    found = held.select("doc_id", "unit", F.explode(F.transform(hits, lambda a: F.struct(*[a[k].alias(k) for k in rest]))).alias("h"))
-    return _places(found.select("doc_id", "unit", "h.*"), keys)
+    again = pinned(index.again)
+    # dealt by document once: the quotes of a key, and then the keys of a document, meet where they lie
+    parts = quotes.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / 512).alias("_parts")).join(again.withColumn("_again", F.lit(True)), "doc_id", "left")
+    dealt = quotes.select(*keys, "_q").join(parts, "doc_id").withColumn("_part", F.pmod(F.xxhash64(*rest), F.col("_parts")))
+    dealt = dealt.groupBy("doc_id", "_part", *rest, "_again").agg(F.collect_set("_q").alias("qs"))
+    asked = dealt.groupBy("doc_id", "_part").agg(F.collect_list(F.struct(*rest, "qs", "_again")).alias("_asked")).hint("shuffle_hash")
+    held = index.texts.where("t is not null").join(asked, "doc_id").select("doc_id", "unit", "t", "_asked")
+    types = dict(quotes.dtypes)
+    schema = "".join(f"`{k}` {types[k]}, " for k in ["doc_id", *rest]) + "unit int, holds boolean, share double"
+    found = held.mapInArrow(_hits(rest, threshold, least_words), schema)
+    clause = F.col("unit") != WHOLE
+    best = found.groupBy(*keys).agg(
+        F.min(F.when(clause & F.col("holds"), F.col("unit"))).alias("exact"),
+        F.bool_or(~clause & F.col("holds")).alias("in_doc"),
+        F.max(F.when(clause & F.col("share").isNotNull(), F.struct(F.col("share").alias("ratio"), (-F.col("unit")).alias("neg_unit")))).alias("best"),
+        F.max(F.when(~clause, F.col("share"))).alias("doc_ratio"),
+    )
+    best = best.select(*keys, "exact", "in_doc", "best.ratio", "best.neg_unit", "doc_ratio")
+    if not again.limit(1).count():
+        return best
+    # the words of a document's copies add up, as in an index of them
+    copies = QuoteIndex.over(pinned(index.texts.join(again, "doc_id", "left_semi")))
+    asked = quotes.select(*keys, "_q", content_words(F.col("_q")).alias("_w")).distinct().where(F.size("_w") >= least_words).join(again, "doc_id", "left_semi")
+    far = overlapping(asked, copies, keys, threshold).withColumnsRenamed({"ratio": "_ratio", "neg_unit": "_neg_unit", "doc_ratio": "_doc_ratio"})
+    return best.join(far, keys, "full").select(*keys, "exact", "in_doc", *[F.coalesce(c, f"_{c}").alias(c) for c in ("ratio", "neg_unit", "doc_ratio")])
 
 
 def overlapping(quotes: DataFrame, index: QuoteIndex, keys: list[str], threshold: float) -> DataFrame:
