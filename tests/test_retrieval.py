@@ -188,3 +188,20 @@ def test_softmax_fit_is_a_stationary_point(spark):
     error = (p - np.eye(4)[y]) * weight[:, None]
     gradient = error.T @ x / weight.sum() + w / 120
     assert np.abs(gradient).max() < 1e-4 and np.abs(error.sum(axis=0) / weight.sum()).max() < 1e-4
+
+
+def test_folds_share_the_term_counts(spark):
+    from lakesignal.operators import classify
+
+    words = {"none": ["rent", "roof", "tenant"], "de": ["und", "das", "haus"], "fr": ["le", "toit", "loyer"]}
+    rows = [(i, i % 7, k, " ".join([*w[: 2 + i % 2], f"n{i % 4}"])) for k, w in words.items() for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, grp int, label string, text string")
+    out = classify.out_of_fold_classes(df, "grp", 3, buckets=1 << 10)
+    assert out.columns == ["id", "grp", "label", "text", "fold", "prediction", "probabilities"] and out.count() == len(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_tok" not in plan and "_bi" not in plan  # no fold takes the texts apart again
+    # each fold's model is that of its own rows
+    fold = out.where("fold = 0")
+    train = out.where("fold <> 0").select("id", "label", "text")
+    alone = classify.class_scores(train, fold.select("id", "label", "text"), classes=classify.class_names(df), buckets=1 << 10)
+    assert {(r["id"], r["label"]): r["prediction"] for r in alone.collect()} == {(r["id"], r["label"]): r["prediction"] for r in fold.collect()}
