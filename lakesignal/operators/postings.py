@@ -128,6 +128,7 @@ def fused_top_k(
     ``lexical_values(keys)`` (keys, item, value) of all items of some queries.  Equal sums keep the dense order.
     """
     keys = list(keys)
+    dense = pinned(dense)  # read for the nearest and for the places of others: distances are taken once
     depth = constant + 2 * k
     gain = lambda place: F.coalesce(1.0 / (constant + place), F.lit(0.0))
     near = dense_top_k(dense, keys, depth, item).select(*keys, item, F.col("rank").alias("d"), F.lit(None).cast("int").alias("l"))

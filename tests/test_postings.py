@@ -118,3 +118,18 @@ def test_vector_index_of_few_rows(spark):
         fit_index(none, "dot")
     rows = spark.range(5000).withColumnRenamed("id", "item_id")
     assert 800 < hashed_sample(rows, "item_id", 1000, 5000).count() < 1200
+
+
+def test_distances_are_taken_once(spark):
+    from pyspark.sql import functions as F
+
+    from lakesignal.operators.postings import fused_top_k
+
+    items = spark.range(12).select(F.lit(1).alias("q"), F.col("id").cast("int").alias("chunk_index"))
+    dense = items.withColumn("distance", F.sin(F.col("chunk_index") / 20))  # rising
+    ranked = items.withColumn("rank", 12 - F.col("chunk_index"))
+    values = items.withColumn("value", -F.col("chunk_index").cast("double"))
+    out = fused_top_k(dense, lambda n: ranked.where(F.col("rank") <= n), lambda some: values.join(some, "q", "left_semi"), ["q"], 2, constant=1)
+    want = sorted(((-(1 / (2 + i) + 1 / (1 + 12 - i)), i + 1, i) for i in range(12)))[:2]
+    assert [(r["chunk_index"], round(r["score"], 9)) for r in out.orderBy("rank").collect()] == [(i, round(-s, 9)) for s, _, i in want]
+    assert "SIN(" not in out._jdf.queryExecution().optimizedPlan().toString().upper()
